@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesselon.llm.mixing import mixed
+from tesselon.llm.pieces import with_pieces
+from tesselon.llm.quality import quality
+from tesselon.llm.secrets import RULES, secret_report
 from tesselon.llm.simhash import simhash_groups
 from tesselon.llm.vectors import near_vectors
 
@@ -13,6 +19,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Path of the SentencePiece model; a parameter, the file is not part of the repository.
+PIECES = os.environ.get("TESSELON_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+DOMAINS = ["de", "en", "es", "fr"]
+WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, domain)``: the language of the documents that the labelled table covers."""
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id").distinct(), "doc_id")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_pieces(read(spark, sf_dir, "documents"), PIECES)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return mixed(docs, domain_labels(docs, read(spark, sf_dir, "labels")), WEIGHTS)
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(read(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -22,9 +56,45 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_embedding_near_dedup, op6_simhash_near_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sentencepiece, op2_embedding_near_dedup, op4_mixing, op6_simhash_near_dedup, op7_secret_scans, op9_quality_classifier)
+}
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def secret_sql() -> str:
+    """The scan by the regexes alone; cases are spelled out, as DuckDB's fold goes beyond ASCII."""
+    parts = []
+    for rank, rule in enumerate(RULES):
+        regex = rule.regex
+        if regex.startswith("(?i:"):
+            head, tail = regex[4:].split("))", 1)
+            regex = "(?:" + "".join(_either_case(c) for c in head) + "))" + tail
+        quoted = regex.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {rank} AS r, '{rule.kind}' AS kind, {rule.least} AS least, regexp_extract_all(text, '{quoted}', 0) AS m,
+  regexp_extract_all(text, '{quoted}', {rule.group}) AS v, string_split_regex(text, '{quoted}') AS g FROM t""")
+    union = "\nUNION ALL\n".join(parts)
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), k AS ({union}),
+u AS (SELECT doc_id, r, kind, least, unnest(m) AS m, unnest(v) AS v, unnest(g[1:len(m)]) AS g, generate_subscripts(m, 1) AS i FROM k WHERE len(m) > 0),
+s AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, r ORDER BY i) AS e FROM u),
+f AS (SELECT doc_id, r, kind, e - length(m) AS b, e, concat(kind, ':', CAST(e - length(m) AS BIGINT), ':', CAST(e AS BIGINT)) AS said FROM s WHERE length(v) >= least),
+d AS (
+  SELECT doc_id, count(*) FILTER (r = 0) AS n_assign, count(*) FILTER (r = 1) AS n_access, count(*) FILTER (r = 2) AS n_hex,
+    string_agg(said, ',' ORDER BY b, r) FILTER (r < 3) AS base, string_agg(said, ',' ORDER BY b, r) AS spans
+  FROM f GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN d USING (doc_id)
+"""
+
 
 ORACLE_SQL = {
+    "op7_secret_scans": secret_sql(),
     "op2_embedding_near_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
