@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tesselon.llm.shared import stored
 
-VOCABULARY, SAMPLE, EVIDENCE, ROUNDS, TOLERANCE = 2000, 20000, 12.0, 60, 1e-6
+VOCABULARY, SAMPLE, EVIDENCE, ROUNDS, TOLERANCE = 2000, 20000, 2.0, 60, 1e-6
 
 
 def words_of(text: Column) -> Column:
