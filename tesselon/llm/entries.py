@@ -7,7 +7,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesselon.llm.gif import media_digest, text_media
+from tesselon.llm.html import page_texts
+from tesselon.llm.licences import RULES as LICENCE_RULES
+from tesselon.llm.licences import SENTENCES, licences, plain
 from tesselon.llm.mixing import mixed
+from tesselon.llm.passages import LEAST_WORDS, without_repeats
 from tesselon.llm.pieces import with_pieces
 from tesselon.llm.quality import quality
 from tesselon.llm.secrets import RULES, secret_report
@@ -39,6 +44,24 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(docs, domain_labels(docs, read(spark, sf_dir, "labels")), WEIGHTS)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.transform("removed", lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string")))
+    cut = without_repeats(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", F.size("removed").cast("bigint").alias("n_removed"), F.array_join(spans, ",").alias("removed_spans"), F.col("kept_text").alias("text"))
+
+
+def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(text_media(read(spark, sf_dir, "documents")))
+
+
+def op8_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences(read(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(read(spark, sf_dir, "pages"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read(spark, sf_dir, "documents"))
 
@@ -58,9 +81,60 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_embedding_near_dedup, op4_mixing, op6_simhash_near_dedup, op7_secret_scans, op9_quality_classifier)
+    for f in (
+        op1_sentencepiece,
+        op2_embedding_near_dedup,
+        op3_substring_dedup,
+        op4_mixing,
+        op5_gif_media,
+        op6_simhash_near_dedup,
+        op7_secret_scans,
+        op8_licence_scans,
+        op9_quality_classifier,
+        op10_html_extraction,
+    )
 }
 
+def licence_sql() -> str:
+    rows = ", ".join("('{}', '{}')".format(plain(s), i) for i, s in SENTENCES.items())
+    steps = ", ".join(f"({r}, '{lic}', {k}, '{s}', {len(seq)})" for r, (lic, seq) in enumerate(LICENCE_RULES) for k, s in enumerate(seq))
+    return f"""
+WITH known(norm, sentence) AS (VALUES {rows}), rules(rule, licence, step, sentence, n) AS (VALUES {steps}),
+cut AS (
+  SELECT doc_id, unnest(s) AS norm, generate_subscripts(s, 1) - 1 AS pos FROM (
+    SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;:])\\s+', '\\1' || chr(10), 'g'), '\\n'),
+      lambda x: trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s
+    FROM documents)
+),
+hits AS (SELECT DISTINCT c.doc_id, c.pos, r.rule, r.licence, r.n, c.pos - r.step AS b FROM cut c JOIN known k USING (norm) JOIN rules r ON r.sentence = k.sentence),
+full_hits AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, rule, b) AS found FROM hits) WHERE found = n),
+best AS (SELECT *, min(rule) OVER (PARTITION BY doc_id, pos) AS first FROM full_hits),
+kept AS (SELECT doc_id, licence FROM best GROUP BY doc_id, rule, licence, b HAVING bool_and(first = rule)),
+told AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(*) AS n_matches FROM kept GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.licences, '') AS licences, coalesce(t.n_matches, 0) AS n_matches FROM documents d LEFT JOIN told t USING (doc_id)
+"""
+
+
+def passage_sql() -> str:
+    return f"""
+WITH lines AS (
+  SELECT doc_id, unnest(u) AS line, generate_subscripts(u, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS u FROM documents WHERE text IS NOT NULL)
+), placed AS (
+  SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS BIGINT) AS b,
+    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r\\v\\f]+', ' ', 'g')) AS unit
+  FROM lines
+), ranked AS (
+  SELECT *, length(unit) - length(replace(unit, ' ', '')) + 1 >= {LEAST_WORDS} AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, pos) > 1 AS gone FROM placed
+), told AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(concat(b, '-', b + length(line)), ',' ORDER BY pos) FILTER (gone) AS removed_spans,
+    string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS text
+  FROM ranked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.removed_spans, '') AS removed_spans,
+  CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text FROM documents d LEFT JOIN told t USING (doc_id)
+"""
+
+
 def _either_case(word: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 
@@ -94,7 +168,9 @@ FROM t LEFT JOIN d USING (doc_id)
 
 
 ORACLE_SQL = {
+    "op3_substring_dedup": passage_sql(),
     "op7_secret_scans": secret_sql(),
+    "op8_licence_scans": licence_sql(),
     "op2_embedding_near_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
