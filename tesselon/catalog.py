@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tesselon.plans import raster
+
+QUERIES = {**raster.QUERIES}
+ORACLE_SQL = {**raster.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """Edges, features and nearest centroids of every image: one row per image with its label and score."""
+    return QUERIES["r26_topk_labels"](spark, sf_dir)
