@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselon.plans import logs, raster, requests
+from tesselon.plans import logs, raster, requests, streams
 
-QUERIES = {**raster.QUERIES, **requests.QUERIES, **logs.QUERIES}
-ORACLE_SQL = {**raster.ORACLE_SQL, **requests.ORACLE_SQL, **logs.ORACLE_SQL}
+QUERIES = {**raster.QUERIES, **requests.QUERIES, **logs.QUERIES, **streams.QUERIES}
+ORACLE_SQL = {**raster.ORACLE_SQL, **requests.ORACLE_SQL, **logs.ORACLE_SQL, **streams.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
