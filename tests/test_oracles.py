@@ -1,7 +1,7 @@
 """Every registered query against its DuckDB counterpart."""
 
 import pytest
-from conftest import DATA, same_rows
+from compare import DATA, same_rows
 
 from tesselon.catalog import ORACLE_SQL, QUERIES
 
