@@ -54,6 +54,15 @@ def k7(spark, sf):
     return files.read_results(spark, path).select("task_id", "status", "output_format", "finished_at")
 
 
+def k8(spark, sf):
+    """Succeeded tasks whose output file is there: outputs are the files of a written table, every tenth path names none."""
+    path = files.scratch(spark, "outputs")
+    views.tasks(spark, sf).select("task_id", "status").write.parquet(path)
+    lost = F.when(F.col("task_id") % 10 == 0, F.lit("/nowhere")).otherwise(F.input_file_name())
+    results = spark.read.schema("task_id bigint, status string").parquet(path).withColumn("output_path", lost)
+    return files.read_outputs(results, path, "*.parquet").select("task_id")
+
+
 def k10(spark, sf):
     """Headers of the images: PNG for even ids, GIF for odd ones, noise for every seventh."""
     z = views.px_wide(spark, sf).groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
@@ -140,6 +149,7 @@ _ALL = [
     ("k3_raster_round_trip", k3, "px px_wide", " SELECT image_id, y, x, r, g, b FROM px_wide"),
     ("k7_write_results", k7, "tasks", """ SELECT task_id, CASE status WHEN 'queued' THEN 'succeeded' ELSE status END AS status, CASE WHEN task_id % 2 = 0 THEN 'png' ELSE 'webp' END AS output_format,
       coalesce(finished_at, created_at) + CASE WHEN status = 'queued' THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS finished_at FROM tasks"""),
+    ("k8_read_outputs", k8, "tasks", " SELECT task_id FROM tasks WHERE status = 'succeeded' AND task_id % 10 <> 0"),
     ("k9_stream_tasks", k9, "requests", " SELECT request_id, file_name FROM requests"),
     ("k10_probe_header", k10, "px px_wide", f" SELECT image_id, CASE WHEN image_id % 7 = 0 THEN NULL WHEN image_id % 2 = 0 THEN 'png' ELSE 'gif' END AS format, CASE WHEN image_id % 7 <> 0 THEN w ELSE 0 END AS width, CASE WHEN image_id % 7 <> 0 THEN h ELSE 0 END AS height FROM {d.sizes('px_wide')}"),
     ("t1_stream_latest_node", t1, "heartbeats", " SELECT node_id, arg_max(queue_size, (ts, event_id)) AS queue_size, arg_max(workers_busy, (ts, event_id)) AS workers_busy, arg_max(cpu_percent, (ts, event_id)) AS cpu_percent, count(*) AS beats FROM heartbeats GROUP BY node_id"),
