@@ -6,13 +6,14 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SIDE = 24
-FRAME = SIDE * SIDE
+WIDTH, HEIGHT, STRIP = 96, 36, 6
+UNIT = WIDTH * STRIP
 GRAY = bytes(v for i in range(256) for v in (i, i, i))
 FULL = 4096
 BINS = 8
@@ -31,38 +32,40 @@ _SCHEDULE = {m: _widths(m) for m in range(2, 9)}
 
 
 def lzw_codes(samples: bytes, minimum: int = 8) -> list[int]:
-    """The code stream of ``samples``, from the clear code to the end code."""
-    clear = 1 << minimum
-    out, table, free = [clear], {}, clear + 2
+    """The code stream of ``samples``, from the clear code to the end code, each code times 256 (the low byte is free)."""
+    clear = 256 << minimum
+    out = [clear]
     if not samples:
-        return [clear, clear + 1]
-    prefix = samples[0]
-    for b in samples[1:]:
-        key = prefix << 8 | b
-        code = table.get(key)
-        if code is not None:
-            prefix = code
-            continue
-        out.append(prefix)
-        prefix = b
-        if free < FULL:
-            table[key] = free
-            free += 1
-        else:
-            out.append(clear)
-            table, free = {}, clear + 2
-    out.append(prefix)
-    out.append(clear + 1)
+        return [clear, clear + 256]
+    send, room = out.append, FULL - (1 << minimum) - 2
+    for at in range(0, len(samples), room):  # a stretch that cannot fill the table; the next begins with a clear code
+        if at:
+            send(clear)
+        part = samples[at : at + room]
+        table: dict[int, int] = {}
+        find, free, prefix = table.get, clear + 512, part[0] << 8
+        for b in part[1:]:
+            code = find(prefix | b)
+            if code:
+                prefix = code
+            else:
+                send(prefix)
+                table[prefix | b] = free
+                free += 256
+                prefix = b << 8
+        send(prefix)
+    send(clear + 256)
     return out
 
 
 def pack_streams(streams: list[list[int]], minimum: int = 8) -> list[bytes]:
-    """Code streams as bits, lowest first, each code as wide as its table has grown; each stream starts on a byte."""
+    """Code streams (as ``lzw_codes`` gives them) as bits, lowest first, each code as wide as its table has grown; each
+    stream starts on a byte."""
     if not streams:
         return []
-    clear, schedule = 1 << minimum, _SCHEDULE[minimum]
     many = np.array([len(s) for s in streams])
-    c = np.fromiter((x for s in streams for x in s), np.int64, int(many.sum()))
+    c = np.fromiter(chain.from_iterable(streams), np.int64, int(many.sum())) >> 8
+    clear, schedule = 1 << minimum, _SCHEDULE[minimum]
     first = np.r_[0, np.cumsum(many)[:-1]]
     # A code's width goes by how many codes came since the last clear code, which itself is as wide as those before it.
     resets = np.flatnonzero(c == clear)
@@ -79,7 +82,7 @@ def pack_streams(streams: list[list[int]], minimum: int = 8) -> list[bytes]:
         wide = slice(None) if b <= minimum else width > b
         flat[at[wide] + b] = c[wide] >> b & 1
     packed = np.packbits(flat, bitorder="little").tobytes()
-    return [packed[s:e] for s, e in zip(begin[:-1], begin[1:])]
+    return [packed[s:e] for s, e in zip(begin[:-1].tolist(), begin[1:].tolist())]
 
 
 def _expanded(codes: list[int], base: list[bytes], out: list[bytes]) -> bool:
@@ -88,7 +91,8 @@ def _expanded(codes: list[int], base: list[bytes], out: list[bytes]) -> bool:
     if codes[0] >= known - 2:
         return False
     last = table[codes[0]]
-    out.append(last)
+    grow, send = table.append, out.append
+    send(last)
     for code in codes[1:]:
         if code < known:
             entry = table[code]
@@ -97,9 +101,9 @@ def _expanded(codes: list[int], base: list[bytes], out: list[bytes]) -> bool:
         else:
             return False
         if known < FULL:
-            table.append(last + entry[:1])
+            grow(last + entry[:1])
             known += 1
-        out.append(entry)
+        send(entry)
         last = entry
     return True
 
@@ -161,15 +165,21 @@ def _blocks(data: bytes) -> bytes:
     return b"".join(bytes((len(data[i : i + 255]),)) + data[i : i + 255] for i in range(0, len(data), 255)) + b"\0"
 
 
-def encode_gif(samples: bytes, width: int = SIDE, height: int = SIDE, palette: bytes = GRAY, delay: int = 10) -> bytes:
-    """A looped GIF89a with one full frame per ``width * height`` samples; ``delay`` in hundredths of a second."""
+def encode_gifs(payloads: list[bytes], width: int = WIDTH, height: int = HEIGHT, palette: bytes = GRAY, delay: int = 10) -> list[bytes]:
+    """One GIF89a per payload, a whole number of rows of ``width`` samples: opaque frames of up to ``height`` rows, the last
+    one as high as what is left. ``delay`` in hundredths of a second."""
     size = width * height
-    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette]
-    head = struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay, 0, 0) + struct.pack("<BHHHHBB", 0x2C, 0, 0, width, height, 0, 8)
-    for packed in pack_streams([lzw_codes(samples[at : at + size]) for at in range(0, len(samples), size)]):
-        out += [head, _blocks(packed)]
-    out.append(b";")
-    return b"".join(out)
+    cut = [[p[at : at + size] for at in range(0, len(p), size)] for p in payloads]
+    packed = iter(pack_streams([lzw_codes(f) for frames in cut for f in frames]))
+    control = struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay, 0, 0)
+    made = []
+    for frames in cut:
+        high = len(frames[0]) // width if frames else 0
+        out = [b"GIF89a", struct.pack("<HHBBB", width, high, 0xF7, 0, 0), palette]
+        for f in frames:
+            out += [control, struct.pack("<BHHHHBB", 0x2C, 0, 0, width, len(f) // width, 0, 8), _blocks(next(packed))]
+        made.append(b"".join([*out, b";"]))
+    return made
 
 
 @dataclass
@@ -187,6 +197,31 @@ class Frame:
 
 def decode_gif(data: bytes) -> tuple[int, int, list[Frame]]:
     """Screen size and frames as stored. Broken streams give the frames before the break; missing samples are zero."""
+    return decode_gifs([data])[0]
+
+
+def decode_gifs(media: list[bytes]) -> list[tuple[int, int, list[Frame]]]:
+    """Many media, whose code streams are unpacked together."""
+    read = [_stored(data) for data in media]
+    samples: dict[int, list[bytes]] = {}
+    for minimum in {f[-2] for _, _, found in read for f in found}:
+        samples[minimum] = lzw_streams([f[-1] for _, _, found in read for f in found if f[-2] == minimum], minimum)[::-1]
+    return [(wide, high, [_frame(f, samples[f[-2]].pop()) for f in found]) for wide, high, found in read]
+
+
+def _frame(stored: tuple, samples: bytes) -> Frame:
+    left, top, w, h, delay, disposal, index, palette, woven, _, _ = stored
+    got = samples[: w * h]
+    grid = np.frombuffer(got + bytes(w * h - len(got)), np.uint8).reshape(h, w)
+    if woven:
+        straight = np.empty_like(grid)
+        straight[[*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]] = grid
+        grid = straight
+    return Frame(left, top, w, h, delay, disposal, index, palette, grid)
+
+
+def _stored(data: bytes) -> tuple[int, int, list[tuple]]:
+    """Screen size and, per frame, place, timing, disposal, palette and packed codes."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     wide, high, flags = struct.unpack("<HHB", data[6:11])
@@ -233,20 +268,7 @@ def decode_gif(data: bytes) -> tuple[int, int, list[Frame]]:
             at, control = after, (0, 0, None)
         else:
             break
-    samples: dict[int, list[bytes]] = {}
-    for minimum in {f[-2] for f in found}:
-        samples[minimum] = lzw_streams([f[-1] for f in found if f[-2] == minimum], minimum)[::-1]
-    frames = []
-    for left, top, w, h, delay, disposal, index, palette, woven, minimum, _ in found:
-        got = samples[minimum].pop()[: w * h]
-        grid = np.frombuffer(got + bytes(w * h - len(got)), np.uint8).reshape(h, w)
-        if woven:
-            order = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
-            plain_grid = np.empty_like(grid)
-            plain_grid[order] = grid
-            grid = plain_grid
-        frames.append(Frame(left, top, w, h, delay, disposal, index, palette, grid))
-    return wide, high, frames
+    return wide, high, found
 
 
 def composed(wide: int, high: int, frames: list[Frame]):
@@ -274,14 +296,14 @@ def histogram(pixels: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(seen[:, c] // (256 // BINS), minlength=BINS) for c in range(3)])
 
 
-def plain(wide: int, high: int, frames: list[Frame]) -> bool:
-    """Whether all frames cover the screen with opaque pixels of one palette, so that composing is a lookup."""
-    return all(f.clear_index is None and (f.left, f.top, f.width, f.height) == (0, 0, wide, high) and f.palette is frames[0].palette for f in frames)
-
-
 def media_histogram(wide: int, high: int, frames: list[Frame]) -> np.ndarray:
-    if frames and plain(wide, high, frames):
-        counts = np.bincount(np.concatenate([f.indices.ravel() for f in frames]), minlength=256)
+    """The colour histogram over the canvases of all frames. Opaque frames of one palette are composed as indices."""
+    if all(f.clear_index is None and f.disposal < 2 and f.palette is frames[0].palette for f in frames) and frames and (frames[0].width, frames[0].height) == (wide, high):
+        counts, canvas = np.zeros(256, np.int64), np.zeros((high, wide), np.uint8)
+        for f in frames:
+            area = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
+            area[:] = f.indices[: area.shape[0], : area.shape[1]]
+            counts += np.bincount(canvas.ravel(), minlength=256)
         bins = frames[0].palette // (256 // BINS)
         return np.concatenate([np.bincount(bins[:, c], weights=counts, minlength=BINS).astype(np.int64) for c in range(3)])
     return sum((histogram(c) for c in composed(wide, high, frames)), np.zeros(3 * BINS, np.int64))
@@ -317,7 +339,7 @@ def gif_frames(media: DataFrame) -> DataFrame:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_bytes, media)``: each whole text as UTF-8, padded with bytes 255 to a positive multiple of one frame, as a GIF.
+    """``(doc_id, n_bytes, media)``: each whole text as UTF-8, padded with bytes 255 to a positive multiple of 576, as a GIF.
 
     Null counts as empty; every medium has one frame at least.
     """
@@ -328,7 +350,7 @@ def text_media(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-                made = [encode_gif(t + b"\xff" * (FRAME * max(1, -(-len(t) // FRAME)) - len(t))) for t in texts]
+                made = encode_gifs([t + b"\xff" * (UNIT * max(1, -(-len(t) // UNIT)) - len(t)) for t in texts])
                 yield pa.record_batch([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
@@ -347,8 +369,8 @@ def media_digest(media: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part, rows = batch.slice(at, ROWS), []
-                for raw in part.column(2).to_pylist():
-                    wide, high, frames = decode_gif(raw)
+                media = part.column(2).to_pylist()
+                for raw, (wide, high, frames) in zip(media, decode_gifs(media)):
                     payload = b"".join(f.indices.tobytes() for f in frames)
                     counts = media_histogram(wide, high, frames)
                     feature = f"{len(frames)}x{wide}x{high};{sum(f.delay_ms for f in frames)}ms;" + ",".join(map(str, counts.tolist()))
