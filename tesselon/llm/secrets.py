@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesselon.llm.shared import stored
+
 MOST = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -169,11 +171,11 @@ def secret_spans(docs: DataFrame, rules=RULES) -> DataFrame:
 
     Offsets are code points, end exclusive. A null text counts as empty. Every row is scanned on its own, so repeated
     ids, null ids and extra columns are harmless (a column of that name is replaced). Candidates are keyed by the
-    digest of the text, so copies share one index entry and the join's other side can be split where many rows are
-    copies.
+    digest of the text, so copies share one index entry. The candidates are written before they are joined: where they
+    stay under the session's broadcast threshold no text is shuffled, beyond it AQE can split the rows of many copies.
     """
     keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    found = candidates(docs.select(F.unhex(F.md5("text")).alias("key"), "text").where("text is not null"), rules)
+    found = stored(candidates(docs.select(F.unhex(F.md5("text")).alias("key"), "text").where("text is not null"), rules), "candidates")
     joined = keyed.join(found.withColumnRenamed("key", "_key").withColumnRenamed("rules", "_rules"), "_key", "left")
     text, none = F.coalesce("text", F.lit("")), F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     each = []
