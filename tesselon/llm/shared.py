@@ -64,7 +64,8 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: one row ``(node, root)`` per linked node, root the smallest node reachable.
 
     Alternating large-star and small-star rounds over edges pointing from larger to smaller nodes. A round costs two
-    joins on the number of links; hubs are reduced by partial aggregation and their join side is splittable by AQE.
+    joins on the number of links. Smallest neighbours come from partial aggregation and are written before they are
+    joined, so both sides of a join have shuffles of their own and AQE can split the rows of a hub.
     Every round is written to the shared folder. Self links and repeated links are harmless; an empty table gives an
     empty result.
     """
@@ -81,10 +82,10 @@ def components(links: DataFrame) -> DataFrame:
             )
         seen = mark
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lows")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct(), "links")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "lows")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
     raise RuntimeError("components did not settle")
