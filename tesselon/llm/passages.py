@@ -65,6 +65,7 @@ def repeated_units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     """
     lines = stored(units(docs, least_words), "lines")
     firsts = lines.groupBy("digest").agg(F.min(F.struct("doc_id", "copy", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    firsts = stored(firsts, "firsts")
     later = lines.join(firsts, "digest").where(F.struct("doc_id", "copy", "pos") != F.col("first"))
     spans = F.array_sort(F.collect_set(F.struct("begin", "end")))
     return later.groupBy("doc_id", "copy").agg(spans.alias("spans"))
