@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tesselon.llm.shared import components, local_forest, stored, whole_groups
 
@@ -25,14 +26,24 @@ def passes_for(rows: int, threshold: float, window: int = WINDOW, miss: float =
     return max(2, math.ceil(math.log(miss) / math.log1p(-min(near, 0.999))))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Binary rows of doubles as a matrix; the rows of a batch have one length."""
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
+def _matrix(rows: list[bytes], kind: str) -> np.ndarray:
+    """Binary vectors of one length, stored as ``kind``, as a matrix of doubles."""
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float64)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def stored_kind(vectors: DataFrame) -> str:
+    """How components are kept: as they come if single, else double. Cosines are taken in double either way."""
+    return "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "<f8"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Adds ``raw``: the components as doubles in one binary, null for vectors that can link with nothing."""
+    """Adds ``raw``: the components in one binary, null for vectors that can link with nothing."""
+    stored_as = stored_kind(vectors)
 
     def run(batches):
         for batch in batches:
@@ -40,14 +51,14 @@ def usable(vectors: DataFrame) -> DataFrame:
             for v in batch.column(1):
                 x = None if not v.is_valid else v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 fine = x is not None and len(x) and v.values.null_count == 0 and np.isfinite(x).all() and x.any()
-                out.append((x + 0.0).tobytes() if fine else None)
+                out.append((x + 0.0).astype(stored_as).tobytes() if fine else None)
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "raw"])
 
     kind = vectors.schema["vec_id"].dataType.simpleString()
     return vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id {kind}, raw binary")
 
 
-def window_links(classes: DataFrame, threshold: float, passes: int, parts: int, window: int = WINDOW, seed: int = 7) -> DataFrame:
+def window_links(classes: DataFrame, threshold: float, passes: int, parts: int, window: int = WINDOW, stored_as: str = "<f8", seed: int = 7) -> DataFrame:
     """Verified links ``(a, b)`` between rows of ``classes(cls, raw)`` found by the sorted passes.
 
     Each pass orders all vectors by the concatenated signs of ``BITS`` random projections (ties by class) and compares
@@ -61,7 +72,7 @@ def window_links(classes: DataFrame, threshold: float, passes: int, parts: int,
             raw = batch.column(1).to_pylist()
             for size in sorted({len(r) for r in raw}):
                 pick = [i for i, r in enumerate(raw) if len(r) == size]
-                x = _matrix(batch.column(1).take(pa.array(pick)))
+                x = _matrix([raw[i] for i in pick], stored_as)
                 ids = batch.column(0).take(pa.array(pick))
                 for p in range(passes):
                     turn = np.random.default_rng([seed, p, size]).standard_normal((x.shape[1], BITS))
@@ -74,9 +85,7 @@ def window_links(classes: DataFrame, threshold: float, passes: int, parts: int,
         near = [[], []]
         for size in sorted({len(r) for r in raw}):
             pick = np.array([i for i, r in enumerate(raw) if len(r) == size])
-            x = np.frombuffer(b"".join(raw[i] for i in pick), np.float64).reshape(len(pick), -1)
-            x = x / np.abs(x).max(1, keepdims=True)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            x = _unit(_matrix([raw[i] for i in pick], stored_as))
             for off in range(1, min(window, len(pick) - 1) + 1):
                 hit = np.flatnonzero((np.einsum("ij,ij->i", x[:-off], x[off:]) >= threshold) & (run[pick[:-off]] == run[pick[off:]]))
                 near[0].append(pick[hit])
@@ -146,19 +155,18 @@ def _edge(rows: pa.Table, part: np.ndarray, side: int):
     yield from made.combine_chunks().to_batches()
 
 
-def class_degrees(members: DataFrame, threshold: float, buckets: int, block: int = BLOCK) -> DataFrame:
-    """``(cls, linked)``: for each row of ``members(cls, copies, root, raw)`` the copies of other classes within the threshold.
+def class_degrees(members: DataFrame, sizes: DataFrame, threshold: float, buckets: int, block: int = BLOCK, stored_as: str = "<f8") -> DataFrame:
+    """``(cls, linked)``: for each row of ``members(cls, copies, root, raw)``, with ``sizes(root, n)``, the copies of other classes within the threshold.
 
     All pairs inside a component are verified, in pairs of blocks of at most ``block`` classes each; a task holds two
     blocks and emits one count per class, never a pair.
     """
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / F.lit(block))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     # Components of one block share a group with others, told apart by root; larger ones have a group for each pair of blocks.
     together = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.xxhash64("root", low, high))
     dealt = (
-        members.join(sizes, "root")
+        members.join(sizes.select("root", "n"), "root")
         .withColumn("blocks", blocks)
         .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
@@ -175,9 +183,7 @@ def class_degrees(members: DataFrame, threshold: float, buckets: int, block: int
                 sizes = np.array([len(r) for r in raw[s:e]])
                 for size in np.unique(sizes):
                     at = s + np.flatnonzero(sizes == size)
-                    x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1)
-                    x = x / np.abs(x).max(1, keepdims=True)
-                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    x = _unit(_matrix([raw[i] for i in at], stored_as))
                     near = np.zeros((len(at), len(at)), bool)
                     near[:] = x @ x.T >= threshold
                     np.fill_diagonal(near, False)
@@ -202,7 +208,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, window: int = WIND
     never link. Rows that repeat a ``vec_id`` count as vectors of their own; a null ``vec_id`` gets the smallest id of its
     group. An empty table gives an empty result.
     """
-    rows = stored(usable(vectors), "vectors")
+    rows, stored_as = stored(usable(vectors), "vectors"), stored_kind(vectors)
     spark = rows.sparkSession
     grouped = rows.where("raw is not null").groupBy("raw").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     # Numbers are fixed once the table is written, whatever runs again later.
@@ -210,14 +216,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, window: int = WIND
     n = classes.count()
     passes = passes or passes_for(n, threshold, window)
     parts = max(1, min(4096, n * passes // PER_PART))
-    roots = stored(components(window_links(classes, threshold, passes, parts, window)).withColumnRenamed("node", "cls"), "roots")
+    roots = stored(components(window_links(classes, threshold, passes, parts, window, stored_as)).withColumnRenamed("node", "cls"), "roots")
     members = classes.join(roots, "cls")
-    degrees = class_degrees(members, threshold, max(8, n // PER_PART))
-    firsts = members.groupBy("root").agg(F.min("first").alias("least"))
+    # Written before it is joined, so that the members of a large component can be split over tasks.
+    sizes = stored(members.groupBy("root").agg(F.count("*").alias("n"), F.min("first").alias("least")), "sizes")
+    degrees = class_degrees(members, sizes, threshold, max(8, n // PER_PART), BLOCK, stored_as)
     told = (
         classes.join(roots, "cls", "left")
         .join(degrees, "cls", "left")
-        .join(firsts, "root", "left")
+        .join(sizes.select("root", "least"), "root", "left")
         .select("raw", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("least", "first").alias("component_id"))
     )
     joined = rows.join(told, "raw", "left")
