@@ -27,6 +27,7 @@ def px_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.floor(F.col("image_id") / 2).alias("image_id"), "y", (F.col("x") + 8 * (F.col("image_id") % 2)).cast("int").alias("x"), "r", "g", "b")
 
 
+# Filter entries and suffixes of the derived requests.
 FILTERS = (
     "grayscale", " Gray ;resize:64x48", "resize:640", "crop:1,2,30,40", "crop:1,2,3", "rotate:90;flip:both", "rotate:12,TRUE;format:JPG", "blur;sharpen:1.3",
     "brightness-contrast:1.2,0.8;contrast:1.4", "watermark:Demo|12|12|white;;convert:webp", "swirl:3", "ocr;inference",
