@@ -22,20 +22,33 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Rule:
-    """``least``: the shortest value of ``group`` that counts; shorter matches are consumed and dropped."""
+    """``least``: the shortest value of ``group`` that counts; shorter matches are consumed and dropped.
+
+    ``tail``: what a span takes in behind a match of ``regex``, if it is there; it never decides whether there is a match.
+    """
 
     kind: str
     regex: str
     group: int = 0
     least: int = 1
+    tail: str = ""
 
 
+# A key behind its header: up to the END line, without passing another line of five hyphens; where that is missing, the
+# base64 lines that follow and a short last one. Line breaks may be escaped, as in source code and JSON.
+PEM_BREAK = r"""(?:\\[rn]|[\s"'])"""
+PEM_TAIL = (
+    r"(?:[^-]*+(?:-{1,4}[^-]++){0,16}+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    rf"|(?:{PEM_BREAK}*+(?:[A-Za-z][A-Za-z-]{{0,30}}: [^\r\n\\]{{0,200}}{PEM_BREAK}++){{0,4}}(?:{PEM_BREAK}{{0,40}}[A-Za-z0-9+/=]{{16,}}+){{1,400}}+"
+    rf"(?:(?:\\[rn]|[\r\n])++[ \t]*+[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?=[ \t\"']*(?:[\r\n]|\\[rn]|$)))?))?"
+)
+
 # The rules. The first three are the base kinds, in the order in which ties are listed.
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", tail=PEM_TAIL),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
@@ -128,11 +141,12 @@ def lowered(text: Column) -> Column:
 
 
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
-    """Array of ``(start, rank, kind, end)`` in code points: leftmost non-overlapping matches of ``rule``."""
+    """Array of ``(start, rank, kind, end)`` in code points: leftmost non-overlapping matches of ``rule``, tails included."""
     shape = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
-    whole = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
-    pieces = F.arrays_zip(whole.alias("m"), F.split(text, rule.regex, -1).alias("gap"), value.alias("v"))
+    regex = rule.regex + rule.tail
+    whole = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(regex), F.lit(rule.group))
+    pieces = F.arrays_zip(whole.alias("m"), F.split(text, regex, -1).alias("gap"), value.alias("v"))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(shape).alias("found"))
 
     def step(acc, x):
