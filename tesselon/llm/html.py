@@ -23,6 +23,8 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Element names of HTML, by what they do to text.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "head", "canvas", "audio", "video"}
+# Their content is text up to their end tag, whatever it looks like.
+TEXT_ONLY = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in ("script", "style", "textarea", "title", "iframe")}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
@@ -94,8 +96,13 @@ def blocks(page: str) -> list[tuple[str, float, _Element]]:
                 out.append((text, min(1.0, linked / len(text)), holder))
             run, linked = [], 0
 
-    for m in TOKEN.finditer(page):
+    at = 0
+    while m := TOKEN.match(page, at):
         closing, opening, attributes = m.groups()
+        at = m.end()
+        if opening is not None and opening.lower() in TEXT_ONLY and not attributes.endswith("/"):
+            end = TEXT_ONLY[opening.lower()].search(page, at)
+            at = end.start() if end else len(page)
         if skip is not None:
             if closing is not None and closing.lower() == skip:
                 skip = None
