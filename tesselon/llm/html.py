@@ -51,40 +51,76 @@ NAMES = dict.fromkeys(
     ).split(),
     -12.0,
 ) | dict.fromkeys("content article post entry story main".split(), 2.0)
+# Words of a name that say where or how a part stands, not what it is, and words after or before which a name tells of another part.
+PLACES = set("container wrapper wrap inner outer box block list area section item items group left right top bottom links link bar text holder row col column panel body title".split())
+TELLS_OF = set("with has have no not without hide hidden toggle is layout page enabled disabled open closed visible".split())
 PLAIN_ELEMENTS = {"html", "body", "article", "main"}
 SAME, NEAR, FAR, SIBLING = 1.0, 0.5, 0.1, 0.5
 LINKED, RIGHTS = -4.0, -3.0
 
 
 class _Element:
-    __slots__ = ("tag", "weight", "parent", "inside", "link")
+    __slots__ = ("tag", "weight", "loose", "named", "parent", "inside", "link")
 
-    def __init__(self, tag: str, weight: float, parent, inside: bool, link: bool):
-        self.tag, self.weight, self.parent, self.inside, self.link = tag, weight, parent, inside, link
+    def __init__(self, tag: str, weights: tuple[float, float, bool], parent, inside: bool, link: bool):
+        self.tag, self.parent, self.inside, self.link = tag, parent, inside, link
+        self.weight, self.loose, self.named = weights
 
 
-def _weight(tag: str, attributes: str, inside: bool) -> float:
-    """What an element says about the text below it."""
+def _said(value: str) -> tuple[float, float]:
+    """What a class or id says: firmly, where a name is an element's own purpose, and loosely, where it is part of a compound.
+
+    A compound counts by its last word, by half if only its first word is known; one that tells of another part (with-, has-,
+    no-, -layout) says nothing against the text. Beside a positive name, compounds say nothing against it either.
+    """
+    firm, loose = [], []
+    for token in value.split():
+        words = [x.lower() for x in WORDS.findall(token) if not x.isdigit()]
+        while len(words) > 1 and words[-1] in PLACES:
+            words.pop()
+        weights = [NAMES.get(x, 0.0) for x in words]
+        if not any(weights) or TELLS_OF.intersection(words) and min(weights) < 0:
+            continue
+        if weights[-1] > 0 or max(weights) < 0:
+            firm.append(weights[-1])
+        elif weights[-1] < 0:
+            loose.append(weights[-1])
+        elif weights[0] < 0:
+            loose.append(weights[0] / 2)
+        else:
+            firm.append(max(weights))
+    good = max(firm, default=0.0) > 0
+    if min(firm, default=0.0) < 0:
+        return min(firm), 0.0
+    return (max(firm), 0.0) if good else (0.0, min(loose, default=0.0))
+
+
+def _weight(tag: str, attributes: str, inside: bool) -> tuple[float, float, bool]:
+    """What an element says about the text below it: firmly, loosely, and whether it calls it content by name."""
     w = OUTER_HEADER if tag == "header" and not inside else ELEMENTS.get(tag, 0.0)
+    loose, named = 0.0, tag in ("article", "main")
     if not attributes:
-        return w
+        return w, loose, named
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
             if tag not in PLAIN_ELEMENTS:
-                said = [NAMES.get(x.lower(), 0.0) for x in WORDS.findall(value)]
-                if said:
-                    w += min(said) if min(said) < 0 else max(said)
+                firm, part = _said(value)
+                w += firm
+                loose += part
+                named |= firm > 0
         elif name == "role":
-            w += ROLES.get(value.lower(), 0.0)
+            said = ROLES.get(value.lower(), 0.0)
+            w += said
+            named |= said > 0
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             w += ELEMENTS["nav"]
-    return w
+    return w, 0.0 if named else loose, named
 
 
 def blocks(page: str) -> list[tuple[str, float, _Element]]:
     """Text blocks in page order: decoded text, the share of it inside links, the element that holds it."""
-    root = _Element("", 0.0, None, False, False)
+    root = _Element("", (0.0, 0.0, False), None, False, False)
     stack, out, run, linked, holder = [root], [], [], 0, root
     skip = None
 
@@ -170,10 +206,11 @@ def _close_implied(stack: list[_Element], tag: str) -> None:
 
 def _terminal(text: str, linked: float, holder: _Element) -> float:
     """The classifier's score of a block: how much dearer it is to call it boilerplate than to call it content."""
-    score, e = 0.0, holder
+    score, e, named = 0.0, holder, False
     while e is not None:
-        score += e.weight
-        e = e.parent
+        # Loose names of wrappers do not outweigh what is called content inside them.
+        score += e.weight + (0.0 if named else e.loose)
+        named, e = named or e.named, e.parent
     n = text.count(" ") + 1
     score += -0.5 if n < 4 else 0.5 if n < 10 else 1.0 if n < 25 else 1.5
     if text[-1] in ".!?…":

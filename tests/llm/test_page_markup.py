@@ -12,3 +12,18 @@ LONG = "This is a paragraph of the article that is long enough to count as conte
 def test_text_only_elements_end_at_their_end_tag(raw, tag):
     part = f"<{tag}>{raw}</{tag.swapcase()} >"
     assert html.main_text(f"<html><head>{part}</head><body>{part}<article><p>{LONG}</p>{part}<p>{LONG}</p></article></body></html>") == f"{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "has-sidebar", "no-comments", "post-social", "hasSidebar layout", "page-with-nav", "content post-social", "sidebar-layout", "main-nav-open"])
+def test_wrappers_that_tell_of_other_parts(name):
+    for kind in ("class", "id"):
+        assert html.main_text(f'<body><div {kind}="{name}"><article><p>{LONG}</p></article></div></body>') == LONG
+
+
+@pytest.mark.parametrize("name", ["sidebar", "comments", "comment-list", "cookie-notice", "site-footer", "sidebar-left", "related-posts", "main sidebar", "post-comments", "ad-slot", "widget-2"])
+def test_parts_that_are_no_content_still_go(name):
+    assert html.main_text(f'<body><article><p>{LONG}</p></article><div class="{name}"><p>{LONG} No.</p></div></body>') == LONG
+
+
+def test_firm_names_hold_around_articles():
+    assert html.main_text(f'<body><div class="comments"><article><p>{LONG}</p></article></div></body>') == ""
