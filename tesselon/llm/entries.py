@@ -12,7 +12,7 @@ from tesselon.llm.html import page_texts
 from tesselon.llm.licences import RULES as LICENCE_RULES
 from tesselon.llm.licences import SENTENCES, licences, plain
 from tesselon.llm.mixing import mixed
-from tesselon.llm.passages import LEAST_WORDS, without_repeats
+from tesselon.llm.passages import BETWEEN, PASSAGE_WORDS, UNIT, UNIT_WORDS, without_repeats
 from tesselon.llm.pieces import with_pieces
 from tesselon.llm.quality import quality
 from tesselon.llm.secrets import RULES, secret_report
@@ -116,22 +116,26 @@ SELECT d.doc_id, coalesce(t.licences, '') AS licences, coalesce(t.n_matches, 0)
 
 
 def passage_sql() -> str:
+    unit, between = UNIT.replace("\n", chr(10)), BETWEEN
     return f"""
-WITH lines AS (
-  SELECT doc_id, unnest(u) AS line, generate_subscripts(u, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS u FROM documents WHERE text IS NOT NULL)
+WITH cut AS (
+  SELECT doc_id, unnest(u) AS piece, generate_subscripts(u, 1) AS i FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '{unit}'), lambda x: x <> '') AS u FROM documents WHERE text IS NOT NULL)
 ), placed AS (
-  SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS BIGINT) AS b,
-    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r\\v\\f]+', ' ', 'g')) AS unit
-  FROM lines
-), ranked AS (
-  SELECT *, length(unit) - length(replace(unit, ' ', '')) + 1 >= {LEAST_WORDS} AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, pos) > 1 AS gone FROM placed
+  SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS BIGINT) AS b,
+    trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{between}', ' ', 'g')) AS unit
+  FROM cut
 ), told AS (
-  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(concat(b, '-', b + length(line)), ',' ORDER BY pos) FILTER (gone) AS removed_spans,
-    string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS text
-  FROM ranked GROUP BY doc_id
-)
-SELECT d.doc_id, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.removed_spans, '') AS removed_spans,
-  CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text FROM documents d LEFT JOIN told t USING (doc_id)
+  SELECT doc_id, b, b + length(piece) AS e, length(unit) - length(replace(unit, ' ', '')) + 1 AS words,
+    row_number() OVER (PARTITION BY doc_id ORDER BY b) AS pos, row_number() OVER (PARTITION BY unit ORDER BY doc_id, b) > 1 AS again
+  FROM placed WHERE unit <> ''
+), runs AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY b) AS run FROM told WHERE again),
+spans AS (
+  SELECT doc_id, min(b) AS b, max(e) AS e FROM runs GROUP BY doc_id, run HAVING sum(CASE WHEN words >= {UNIT_WORDS} THEN words ELSE 0 END) >= {PASSAGE_WORDS}
+), left_over AS (
+  SELECT p.doc_id, string_agg(p.piece, '' ORDER BY p.b) AS text FROM placed p WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = p.doc_id AND p.b >= s.b AND p.b < s.e) GROUP BY p.doc_id
+), counted AS (SELECT doc_id, count(*) AS n, string_agg(concat(b, '-', e), ',' ORDER BY b) AS said FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_removed, coalesce(c.said, '') AS removed_spans, CASE WHEN d.text IS NOT NULL THEN coalesce(l.text, '') END AS text
+FROM documents d LEFT JOIN counted c USING (doc_id) LEFT JOIN left_over l USING (doc_id)
 """
 
 

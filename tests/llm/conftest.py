@@ -21,7 +21,7 @@ def odd_docs(spark):
         (8, "é😀 ▁ \x00 \x0b odd  characters\r\n", "en", "a", 10),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for name in ("fp", "component_id", "row", "bucket", "g", "score", "removed", "kept_text", "token_ids", "rate", "domain", "_key", "key", "label", "copy", "secret_spans", "n", "pos", "quality", "spans"):
+    for name in ("fp", "component_id", "row", "bucket", "g", "score", "removed", "kept_text", "token_ids", "rate", "domain", "_key", "key", "label", "copy", "secret_spans", "n", "pos", "quality", "spans", "_id", "_copy", "_spans", "_rules", "_rate", "again", "place", "tokens"):
         df = df.withColumn(name, df["n_chars"])
     return df
 

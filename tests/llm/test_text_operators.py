@@ -7,7 +7,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tesselon.llm import licences, mixing, passages, quality, secrets
+from tesselon.llm import licences, mixing, quality, secrets
 from tesselon.llm.entries import PIECES, op4_mixing, op9_quality_classifier
 from tesselon.llm.pieces import PieceTransducer, with_pieces
 
@@ -158,16 +158,6 @@ def test_redaction(spark):
     assert {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()} == {1: "a [SECRET] b [SECRET] c", 2: "plain", 3: None}
 
 
-def test_repeated_lines_go_and_offsets_stay(spark):
-    line = "this line of six words repeats"
-    texts = {1: f"{line}\nown one two three four", 2: f"start of the second text here\n  This LINE of six  words repeats \nend", 3: f"short\n{line}", 4: line, 5: f"{line}\n{line}"}
-    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
-    for r in passages.without_repeats(df).collect():
-        text, want = r["text"], {1: texts[1], 2: "start of the second text here\nend", 3: "short", 4: "", 5: ""}[r["doc_id"]]
-        assert r["kept_text"] == want
-        assert all(passages.line_units(text[s["begin"] : s["end"]])[0][2] == line for s in r["removed"])
-
-
 def test_licence_sequences(spark):
     s = licences.SENTENCES
     full = " ".join(s[f"mit-{k}"] for k in (1, 2, 3))
