@@ -14,9 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.shared import stored
+from tesselon.llm.shared import free_name, stored
 
-MOST = 64
+MOST, STRETCH = 64, 128
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -140,14 +140,35 @@ def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def spans_of(text: Column, rule: Rule, rank: int) -> Column:
-    """Array of ``(start, rank, kind, end)`` in code points: leftmost non-overlapping matches of ``rule``, tails included."""
-    shape = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+
+
+def pieces_of(text: Column, rule: Rule) -> Column:
+    """Array of ``(m, gap, v)``: each match of ``rule`` with its tail, the text before it and the value that has to be long enough."""
     regex = rule.regex + rule.tail
     whole = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(regex), F.lit(rule.group))
     pieces = F.arrays_zip(whole.alias("m"), F.split(text, regex, -1).alias("gap"), value.alias("v"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(shape).alias("found"))
+    found = F.filter(pieces, lambda x: x["m"].isNotNull())
+    return F.when(F.regexp_like(text, F.lit(rule.regex)), found).otherwise(F.slice(found, 1, 0))
+
+
+def in_stretches(pieces: Column) -> Column:
+    """An array cut into arrays of STRETCH elements: what grows step by step stays short in each of them."""
+    last = F.floor((F.size(pieces) - 1) / F.lit(STRETCH))
+    return F.when(F.size(pieces) > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: F.slice(pieces, (i * STRETCH + 1).cast("int"), F.lit(STRETCH)))).otherwise(F.array().cast("array<array<struct<m:string,gap:string,v:string>>>"))
+
+
+def stretch_starts(stretches: Column) -> Column:
+    """Where in the text each stretch of pieces begins."""
+    wide = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["gap"]) + F.length(x["m"]))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("found"))
+    step = lambda acc, c: F.struct((acc["at"] + wide(c)).alias("at"), F.concat(acc["found"], F.array(acc["at"])).alias("found"))
+    return F.aggregate(stretches, start, step, lambda acc: acc["found"])
+
+
+def spans_of(stretches: Column, starts: Column, rule: Rule, rank: int) -> Column:
+    """Array of ``(start, rank, kind, end)`` in code points: leftmost non-overlapping matches of ``rule``, tails included."""
 
     def step(acc, x):
         s = acc["at"] + F.length(x["gap"])
@@ -156,8 +177,10 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
         kept = F.when(F.length(x["v"]) >= rule.least, F.concat(acc["found"], one)).otherwise(acc["found"])
         return F.struct(e.cast("bigint").alias("at"), kept.alias("found"))
 
-    found = F.aggregate(F.filter(pieces, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["found"])
-    return F.when(F.regexp_like(text, F.lit(rule.regex)), found).otherwise(F.array().cast(shape))
+    def spans(stretch, at):
+        return F.aggregate(stretch, F.struct(at.alias("at"), F.array().cast(SPANS).alias("found")), step, lambda acc: acc["found"])
+
+    return F.flatten(F.zip_with(stretches, starts, spans))
 
 
 def candidates(texts: DataFrame, rules=RULES) -> DataFrame:
@@ -184,19 +207,28 @@ def secret_spans(docs: DataFrame, rules=RULES) -> DataFrame:
     """``docs`` with ``secret_spans``: all spans ``(start, rank, kind, end)`` by start, then kind in the order of ``rules``.
 
     Offsets are code points, end exclusive. A null text counts as empty. Every row is scanned on its own, so repeated
-    ids, null ids and extra columns are harmless (a column of that name is replaced). Candidates are keyed by the
+    ids, null ids and extra columns of any name are harmless (a column ``secret_spans`` is replaced). Candidates are keyed by the
     digest of the text, so copies share one index entry. The candidates are written before they are joined: where they
     stay under the session's broadcast threshold no text is shuffled, beyond it AQE can split the rows of many copies.
+    The time for a text grows little faster than the number of its matches.
     """
-    keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    docs = docs.drop("secret_spans")
+    key, asked = free_name(docs, "key"), free_name(docs, "asked")
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     found = stored(candidates(docs.select(F.unhex(F.md5("text")).alias("key"), "text").where("text is not null"), rules), "candidates")
-    joined = keyed.join(found.withColumnRenamed("key", "_key").withColumnRenamed("rules", "_rules"), "_key", "left")
-    text, none = F.coalesce("text", F.lit("")), F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
-    each = []
-    for rank, rule in enumerate(rules):
-        spans = spans_of(text, rule, rank)
-        each.append(spans if trigram_query(rule.regex) is None else F.when(F.array_contains("_rules", rank), spans).otherwise(none))
-    return joined.withColumn("secret_spans", F.array_sort(F.concat(*each))).drop("_key", "_rules")
+    joined = keyed.join(found.select(F.col("key").alias(key), F.col("rules").alias(asked)), key, "left")
+    text, ranks = F.coalesce("text", F.lit("")), range(len(rules))
+    none = F.array().cast("array<struct<m:string,gap:string,v:string>>")
+    made = {name: [free_name(docs, f"{name}{k}") for k in ranks] for name in ("pieces", "stretches", "starts")}
+    first = []
+    for k, rule in enumerate(rules):
+        pieces = pieces_of(text, rule)
+        first.append(pieces if trigram_query(rule.regex) is None else F.when(F.array_contains(asked, k), pieces).otherwise(none))
+    steps = joined.withColumns(dict(zip(made["pieces"], first)))
+    steps = steps.withColumns({made["stretches"][k]: in_stretches(F.col(made["pieces"][k])) for k in ranks})
+    steps = steps.withColumns({made["starts"][k]: stretch_starts(F.col(made["stretches"][k])) for k in ranks})
+    each = [spans_of(F.col(made["stretches"][k]), F.col(made["starts"][k]), rule, k) for k, rule in enumerate(rules)]
+    return steps.select(*docs.columns, F.array_sort(F.concat(*each)).alias("secret_spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -205,22 +237,38 @@ def listed(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: counts of the base kinds, the digest of the base spans and the list of all spans."""
+    """Per row of ``docs``: counts of the base kinds, the digest of the base spans and the list of all spans.
+
+    Null and empty texts have none; other columns than ``doc_id`` and ``text`` are not read.
+    """
     spans = F.col("secret_spans")
     base = F.filter(spans, lambda s: s["rank"] < len(BASE))
     of_kind = lambda k: F.size(F.filter(spans, lambda s: s["rank"] == k)).cast("bigint")
     counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(BASE)]
-    return secret_spans(docs).select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
+    return secret_spans(docs.select("doc_id", "text")).select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of a secret replaced by ``mark``; overlapping spans become one. Texts without one stay as they are."""
-    text, start = F.col("text"), F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = F.concat(acc["out"], gap, F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    cut = F.aggregate("secret_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return secret_spans(docs).withColumn("text", F.when(F.size("secret_spans") > 0, cut).otherwise(text)).drop("secret_spans")
+    """``docs`` with every span of a secret replaced by ``mark``; overlapping spans become one. Texts without one stay as they are,
+    null ones included; repeated rows, null ids and extra columns of any name are harmless, an empty table gives an empty result."""
+    found = secret_spans(docs)
+    begins, ends, heads = (free_name(found, name) for name in ("begins", "ends", "heads"))
+    text, size = F.col("text"), F.size("secret_spans")
+    found = found.withColumns({begins: F.array_sort(F.transform("secret_spans", lambda s: s["start"])), ends: F.array_sort(F.transform("secret_spans", lambda s: s["end"]))})
+    # The first i spans have all ended before the next one starts if and only if the i-th smallest end lies no later.
+    numbers = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    found = found.withColumn(heads, F.filter(numbers, lambda i: (i == 0) | (F.get(begins, i) >= F.get(ends, i - 1))))
+    cuts, many = F.col(heads), F.size(heads)
+    after = lambda g: F.when(g == 0, F.lit(0)).otherwise(F.get(ends, F.get(cuts, g) - 1))
+    after_all = F.get(ends, size - 1)
+    until = lambda g: F.when(g == many, F.length(text)).otherwise(F.get(begins, F.get(cuts, g)))
+    since = lambda g: F.when(g == many, after_all).otherwise(after(g))
+    piece = lambda whole, a, b: F.substring(whole, (a + 1).cast("int"), (b - a).cast("int"))
+
+    def stretch(c):
+        low, high = c * STRETCH, F.least(c * STRETCH + STRETCH - 1, many)
+        held = F.array(F.struct(piece(text, since(low), until(high)).alias("part"), since(low).cast("bigint").alias("at")))
+        return F.flatten(F.transform(held, lambda h: F.transform(F.sequence(low, high), lambda g: piece(h["part"], since(g) - h["at"], until(g) - h["at"]))))
+
+    whole = F.flatten(F.transform(F.sequence(F.lit(0), F.floor(many / F.lit(STRETCH)).cast("int")), stretch))
+    return found.withColumn("text", F.when(size > 0, F.array_join(whole, mark)).otherwise(text)).drop("secret_spans", begins, ends, heads)

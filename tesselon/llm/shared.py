@@ -14,9 +14,11 @@ MAX_ROUNDS = 60
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``, or one of our own in tests."""
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``, or one of our own where all run on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-tesselon-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -29,6 +31,29 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first one made from it by underscores that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows of ``rows``, whose ``key`` is unique, by a hash of the key; all rows where those are no more.
+
+    A table that is much larger is thinned by the hash first, so that about ``most`` rows meet in one task, whatever
+    the number of partitions.
+    """
+    n = rows.count()
+    if n <= most:
+        return rows
+    order = F.xxhash64(key)
+    share = 1.05 * most / n + 4 * (most**0.5 + 4) / n
+    thin = rows if share >= 1 else rows.where(F.pmod(order, F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    return thin.orderBy(F.pmod(order, F.lit(1 << 40)), key).limit(most)
+
+
 def local_forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of ``n`` nodes over the links ``a[i]``-``b[i]``."""
     label = np.arange(n)
