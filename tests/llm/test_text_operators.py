@@ -68,13 +68,43 @@ def test_round_trip(spark):
 
 
 def test_hashed_features_do_not_depend_on_company():
-    texts = [b"one two  two", b"", b"Three,\nfour", b" x ", b"\xc3\xa9t\xc3\xa9 99"]
+    texts = ["one two  two", "", "Three,\nfour", " x ", "\xe9t\xe9 99 \u65e5\u672c"]
     ids, docs = quality.hashed_features(texts)
     for i, t in enumerate(texts):
         own, _ = quality.hashed_features([t])
         assert sorted(own.tolist()) == sorted(ids[docs == i].tolist())
 
 
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(3)
+    share, rows, out, bias = rng.dirichlet(np.ones(5)), rng.standard_normal((5, 4)), rng.standard_normal((2, 4)), rng.standard_normal(2)
+
+    def loss(rows, out, bias):
+        logit = out @ (share @ rows) + bias
+        return np.log(np.exp(logit).sum()) - logit[1]
+
+    found = quality.gradients(share, rows, out, bias, 1)
+    for k, grad in enumerate(found):
+        for at in np.ndindex(grad.shape):
+            moved = [[x.copy() for x in (rows, out, bias)] for _ in range(2)]
+            moved[0][k][at] += 1e-5
+            moved[1][k][at] -= 1e-5
+            assert abs((loss(*moved[0]) - loss(*moved[1])) / 2e-5 - grad[at]) < 1e-6
+
+
+def test_training_lowers_the_loss():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["red", "blue", "green"] if k % 2 else ["one", "two", "three"], 12)) for k in range(60)]
+    score = quality.score_texts(texts, quality.train(quality.shares(texts), [k % 2 for k in range(60)]))
+    assert (score[1::2] > 0.7).all() and (score[::2] < 0.3).all()
+
+
+def test_quality_bounds_what_one_task_gets(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    whole, few = quality.fit_quality(docs, labels), quality.fit_quality(docs, labels, most_features=2000)
+    assert len(whole) == len(few) and (whole != few).any()
+
+
 def test_quality_on_held_out_rows(spark):
     rows = op9_quality_classifier(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").collect()
     assert len(rows) > 50
@@ -98,6 +128,46 @@ def test_rates_meet_the_targets(spark):
     assert np.allclose(share, [0.2, 0.4, 0.2, 0.2], atol=1e-4)
 
 
+def test_posteriors_by_hand(spark):
+    import re as _re
+
+    import xxhash
+
+    domains, buckets = ["a", "b"], 64
+    texts = {1: "red red Green, blue", 2: "blue blue sky", 3: "rare words only here", 4: "red sky unknownword", 5: "", 6: None, 7: "zzz"}
+    labels = {1: "a", 2: "b", 3: "a", 9: "b"}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    model = mixing.domain_model(docs, spark.createDataFrame(sorted(labels.items()), "doc_id long, domain string"), domains, buckets)
+
+    def words(t):
+        return [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in _re.split(r"\W+", (t or "").lower()) if w]
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    count = {}
+    for i, d in labels.items():
+        for h in words(texts.get(i)):
+            count.setdefault(signed(h) % buckets, [0, 0])[domains.index(d)] += 1
+    total = [sum(c[k] for c in count.values()) for k in range(2)]
+    logs = {b: [np.log((c[k] + 1) / (total[k] + len(count) + 1)) for k in range(2)] for b, c in count.items()}
+    assert {r["bucket"]: (round(r["l_0"], 9), round(r["l_1"], 9)) for r in model.collect()} == {b: (round(x, 9), round(y, 9)) for b, (x, y) in logs.items()}
+    for r in mixing.posteriors(docs, model, domains, buckets, 2.0).collect():
+        known = [logs[signed(h) % buckets] for h in words(texts[r["doc_id"]]) if signed(h) % buckets in logs]
+        mean = np.mean(known, axis=0) * min(2, len(known)) if known else np.zeros(2)
+        want = np.exp(mean - mean.max())
+        assert np.allclose([r["p_0"], r["p_1"]], want / want.sum()) and r["tokens"] == len(words(texts[r["doc_id"]]))
+
+
+def test_unmet_targets_are_told_and_rates_repeat(spark):
+    df = spark.createDataFrame([(1, 10, 1.0, 0.0), (2, 30, 1.0, 0.0)], "doc_id long, tokens long, p_0 double, p_1 double")
+    with pytest.warns(UserWarning, match="unmet"):
+        rates = mixing.fitted_rates(df, [20.0, 20.0]).collect()
+    assert np.allclose([r["rate"] for r in rates], 0.5)
+    docs = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (None, "c", 7), (3, "d", 8)], "doc_id long, text string, _rate int")
+    rates = spark.createDataFrame([(1, 3.0), (1, 2.0), (2, 0.0), (None, 2.0)], "doc_id long, rate double")
+    got = sorted(r["text"] + str(r["_rate"]) for r in mixing.repeated(docs, rates).collect())
+    assert got == ["a5", "a5", "a5", "b6", "c7", "c7", "d8"]
+
+
 def test_rates_equal_projected_gradient_by_hand(spark):
     rng = np.random.default_rng(5)
     p = rng.dirichlet([0.4, 0.4, 0.4], 300)
@@ -153,6 +223,14 @@ def test_secrets_by_hand(spark):
     assert got == {i: by_regex(t or "") for i, t in enumerate(texts)}
 
 
+def test_redaction_merges_and_keeps_columns(spark):
+    key = "token = " + "ab" * 20
+    many = "".join(f"w{i} secret: abcdef{i} " for i in range(700))
+    rows = [(1, key + " x", 1, 2), (2, key, 1, 2), (3, "é😀 " + key + "," + key, 1, 2), (4, many, 1, 2)]
+    got = {r["doc_id"]: (r["text"], r["_rules"], r["_key"]) for r in secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string, _rules int, _key int")).collect()}
+    assert got == {1: ("[SECRET] x", 1, 2), 2: ("[SECRET]", 1, 2), 3: ("é😀 [SECRET],[SECRET]", 1, 2), 4: ("".join(f"w{i} [SECRET] " for i in range(700)), 1, 2)}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a token = abcdef1234567890abcdef1234 b AKIA" + "Q" * 16 + " c"), (2, "plain"), (3, None)], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()} == {1: "a [SECRET] b [SECRET] c", 2: "plain", 3: None}
