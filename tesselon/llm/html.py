@@ -1,18 +1,22 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a row of text blocks. A linear classifier over a block's surroundings and text gives the cost of either
-label; the costs are terminal capacities, neighbours in page order and in the DOM are tied by smoothness edges, and
-the minimum cut (found by maximum flow) separates content from boilerplate.
+A page becomes a row of text blocks. What a block's markup says (elements, roles, class names) and what a classifier trained
+on the pages at hand says of its form (element, length, links, punctuation) give the cost of either label; the costs are
+terminal capacities. Neighbours in page order and in the DOM are tied by smoothness edges, whose weights are
+counted on the same pages. The minimum cut (found by maximum flow) separates content from boilerplate.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|[^<]+|<",
@@ -22,7 +26,7 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Element names of HTML, by what they do to text.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "head", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "canvas", "audio", "video"}
 # Their content is text up to their end tag, whatever it looks like.
 TEXT_ONLY = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in ("script", "style", "textarea", "title", "iframe")}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -36,10 +40,10 @@ CLOSES = {
 }
 SCOPES = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "aside", "nav", "form", "body", "html", "blockquote"}
 
-# The classifier's weights. Positive speaks for content.
+# What markup says outright. Positive speaks for content.
 ELEMENTS = {
     "nav": -12.0, "footer": -12.0, "aside": -12.0, "form": -12.0, "menu": -12.0, "dialog": -12.0, "button": -12.0, "select": -12.0,
-    "article": 4.0, "main": 4.0, "p": 1.0, "h1": 1.0, "h2": 0.5, "h3": 0.5, "h4": 0.5, "blockquote": 0.5, "pre": 0.5, "figcaption": 0.5, "li": -0.3, "td": -0.2,
+    "article": 4.0, "main": 4.0,
 }
 OUTER_HEADER = -12.0
 ROLES = {"navigation": -12.0, "banner": -12.0, "contentinfo": -12.0, "complementary": -12.0, "search": -12.0, "alert": -12.0, "dialog": -12.0, "main": 4.0, "article": 4.0}
@@ -55,16 +59,31 @@ NAMES = dict.fromkeys(
 PLACES = set("container wrapper wrap inner outer box block list area section item items group left right top bottom links link bar text holder row col column panel body title".split())
 TELLS_OF = set("with has have no not without hide hidden toggle is layout page enabled disabled open closed visible".split())
 PLAIN_ELEMENTS = {"html", "body", "article", "main"}
-SAME, NEAR, FAR, SIBLING = 1.0, 0.5, 0.1, 0.5
-LINKED, RIGHTS = -4.0, -3.0
+# The classes of a block's form, with the weights that the classifier starts from and is held to where pages say little.
+FORMS = {
+    "any": 0.0, "p": 1.0, "h1": 1.0, "heading": 0.5, "quote": 0.5, "li": -0.3, "td": -0.2, "words<4": -0.5, "words<10": 0.5, "words<25": 1.0,
+    "words>=25": 1.5, "stop": 0.5, "some links": -1.0, "half links": -2.0, "all links": -4.0, "rights": -3.0,
+}
+TAG_FORM = {"p": "p", "h1": "h1", "h2": "heading", "h3": "heading", "h4": "heading", "blockquote": "quote", "pre": "quote", "figcaption": "quote", "li": "li", "dd": "li", "td": "td"}
+# The kinds of ties, with the weights they start from.
+TIES = {"same": 1.0, "near": 0.5, "far": 0.1, "sibling": 0.5}
+PRIOR_BLOCKS, MOST_TIE = 50.0, 1.5
 
 
 class _Element:
-    __slots__ = ("tag", "weight", "loose", "named", "parent", "inside", "link")
+    """An open element. ``said``, ``loose`` and ``named`` hold for all text whose innermost element it is."""
+
+    __slots__ = ("tag", "said", "loose", "named", "parent", "block", "inside", "link", "marked")
 
     def __init__(self, tag: str, weights: tuple[float, float, bool], parent, inside: bool, link: bool):
+        weight, loose, self.named = weights
         self.tag, self.parent, self.inside, self.link = tag, parent, inside, link
-        self.weight, self.loose, self.named = weights
+        self.block = parent.block if parent is not None and tag in INLINE else self
+        self.said = weight + (parent.said if parent is not None else 0.0)
+        # Loose names of wrappers do not outweigh what is called content inside them.
+        self.loose = loose + (parent.loose if parent is not None and not self.named else 0.0)
+        # Which label the elements around give: the innermost one that speaks.
+        self.marked = (1 if ELEMENTS[tag] > 0 else 0) if tag in ELEMENTS else parent.marked if parent is not None else -1
 
 
 def _said(value: str) -> tuple[float, float]:
@@ -122,7 +141,7 @@ def blocks(page: str) -> list[tuple[str, float, _Element]]:
     """Text blocks in page order: decoded text, the share of it inside links, the element that holds it."""
     root = _Element("", (0.0, 0.0, False), None, False, False)
     stack, out, run, linked, holder = [root], [], [], 0, root
-    skip = None
+    skip, depth, opened = None, 0, Counter()
 
     def flush() -> None:
         nonlocal run, linked
@@ -132,46 +151,52 @@ def blocks(page: str) -> list[tuple[str, float, _Element]]:
                 out.append((text, min(1.0, linked / len(text)), holder))
             run, linked = [], 0
 
+    def cut(k: int) -> None:
+        opened.subtract(e.tag for e in stack[k:])
+        del stack[k:]
+
     at = 0
     while m := TOKEN.match(page, at):
         closing, opening, attributes = m.groups()
         at = m.end()
-        if opening is not None and opening.lower() in TEXT_ONLY and not attributes.endswith("/"):
-            end = TEXT_ONLY[opening.lower()].search(page, at)
+        tag = opening.lower() if opening is not None else closing.lower() if closing is not None else None
+        if opening is not None and tag in TEXT_ONLY and not attributes.endswith("/"):
+            end = TEXT_ONLY[tag].search(page, at)
             at = end.start() if end else len(page)
         if skip is not None:
-            if closing is not None and closing.lower() == skip:
-                skip = None
-            elif opening is not None and skip == "head" and opening.lower() == "body":
-                skip = None
-            else:
-                continue
+            if opening is not None and tag == skip and not attributes.endswith("/"):
+                depth += 1
+            elif closing is not None and tag == skip:
+                depth -= 1
+                if not depth:
+                    skip = None
+            continue
         if opening is not None:
-            tag = opening.lower()
             if tag in RAW:
                 if not attributes.endswith("/"):
-                    skip = tag
+                    skip, depth = tag, 1
                 continue
             if tag not in INLINE:
                 flush()
                 if tag not in VOID:
-                    _close_implied(stack, tag)
+                    _close_implied(stack, tag, opened, cut)
             elif tag == "br":
                 run.append(" ")
             if tag not in VOID:
                 top = stack[-1]
                 inside = top.inside or tag in ("article", "main")
                 stack.append(_Element(tag, _weight(tag, attributes, top.inside), top, inside, top.link or tag == "a"))
+                opened[tag] += 1
         elif closing is not None:
-            tag = closing.lower()
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE:
-                    break
+            if opened[tag] > 0:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        cut(k)
+                        break
+                    if tag in INLINE and stack[k].tag not in INLINE:
+                        break
         else:
             text = m.group()
             if text[0] == "<" and len(text) > 1:
@@ -182,7 +207,7 @@ def blocks(page: str) -> list[tuple[str, float, _Element]]:
             elif "&" in text:
                 text = entities.unescape(text)
             if not run:
-                holder = next(e for e in reversed(stack) if e.tag not in INLINE)
+                holder = stack[-1].block
             run.append(text)
             if stack[-1].link:
                 linked += len(text.strip())
@@ -190,63 +215,111 @@ def blocks(page: str) -> list[tuple[str, float, _Element]]:
     return out
 
 
-def _close_implied(stack: list[_Element], tag: str) -> None:
+def _close_implied(stack: list[_Element], tag: str, opened: Counter, cut) -> None:
     """Close what the start of a block ends without a tag: an open paragraph, or the list item or cell before."""
     closes = CLOSES.get(tag, ())
+    if opened["p"] <= 0 and not any(opened[c] > 0 for c in closes):
+        return
     for k in range(len(stack) - 1, 0, -1):
         here = stack[k].tag
         if here == "p" or here in closes:
-            del stack[k:]
+            cut(k)
             if here == "p":
-                _close_implied(stack, tag)
+                _close_implied(stack, tag, opened, cut)
             return
         if here in SCOPES:
             return
 
 
-def _terminal(text: str, linked: float, holder: _Element) -> float:
-    """The classifier's score of a block: how much dearer it is to call it boilerplate than to call it content."""
-    score, e, named = 0.0, holder, False
-    while e is not None:
-        # Loose names of wrappers do not outweigh what is called content inside them.
-        score += e.weight + (0.0 if named else e.loose)
-        named, e = named or e.named, e.parent
+def form(text: str, linked: float, holder: _Element) -> list[str]:
+    """The classes of a block's form."""
     n = text.count(" ") + 1
-    score += -0.5 if n < 4 else 0.5 if n < 10 else 1.0 if n < 25 else 1.5
+    found = ["any", "words<4" if n < 4 else "words<10" if n < 10 else "words<25" if n < 25 else "words>=25"]
+    if holder.tag in TAG_FORM:
+        found.append(TAG_FORM[holder.tag])
     if text[-1] in ".!?…":
-        score += 0.5
-    if linked:
-        score += LINKED * linked
+        found.append("stop")
+    if linked > 0.05:
+        found.append("all links" if linked > 0.8 else "half links" if linked > 0.3 else "some links")
     if text[0] == "©" or n < 30 and "all rights reserved" in text.lower():
-        score += RIGHTS
-    return score
+        found.append("rights")
+    return found
 
 
-def _ties(holders: list[_Element]) -> list[tuple[int, int, float]]:
+def ties(holders: list[_Element]) -> list[tuple[int, int, str]]:
     """Smoothness edges: neighbours in page order by their nearness in the DOM, and blocks of one parent across others."""
-    ties, last = [], {}
+    found, last = [], {}
     for i, h in enumerate(holders):
         if i:
             g = holders[i - 1]
             if g is h or g.parent is h.parent:
-                near = SAME
+                near = "same"
             elif g.parent is h or h.parent is g or h.parent is not None and g.parent is not None and h.parent.parent is g.parent.parent:
-                near = NEAR
+                near = "near"
             else:
-                near = FAR
-            ties.append((i - 1, i, near))
+                near = "far"
+            found.append((i - 1, i, near))
         key = id(h.parent)
         if key in last and last[key] < i - 1:
-            ties.append((last[key], i, SIBLING))
+            found.append((last[key], i, "sibling"))
         last[key] = i
-    return ties
+    return found
+
+
+@dataclass(frozen=True)
+class Costs:
+    """Weights of the classes of a block's form and of the kinds of ties."""
+
+    forms: dict[str, float]
+    ties: dict[str, float]
+
+
+PLAIN = Costs(dict(FORMS), dict(TIES))
+
+
+def page_counts(page: str | None) -> Counter:
+    """What a page whose elements tell content from boilerplate has to teach: how many blocks of which form stand in which, and
+    how many ties of which kind join like and unlike blocks."""
+    found = blocks(page or "")
+    told, marks = Counter(), [h.marked for _, _, h in found]
+    if 1 not in marks:
+        return told
+    for (text, linked, holder), y in zip(found, marks):
+        told[",".join(form(text, linked, holder)), max(y, 0)] += 1
+    for a, b, kind in ties([h for _, _, h in found]):
+        told[kind, int(max(marks[a], 0) == max(marks[b], 0))] += 1
+    return told
+
+
+def fitted(told: dict[tuple[str, int], int]) -> Costs:
+    """Costs from the sums of ``page_counts`` over pages: logistic regression for the forms (Newton's method, held to
+    FORMS as PRIOR_BLOCKS blocks of each form would), half the log odds of like against unlike for the ties, between 0 and MOST_TIE."""
+    names, start = list(FORMS), np.array(list(FORMS.values()))
+    cells = [(k, y, n) for (k, y), n in sorted(told.items()) if k not in TIES]
+    x = np.array([[float(f in k.split(",")) for f in names] for k, _, _ in cells]).reshape(-1, len(names))
+    y, n = np.array([c[1] for c in cells], float), np.array([c[2] for c in cells], float)
+    # Every form counts as PRIOR_BLOCKS blocks against what the pages say, however many there are.
+    n = n * (PRIOR_BLOCKS * 4 / max(n.sum(), PRIOR_BLOCKS * 4))
+    w = start.copy()
+    for _ in range(20):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (n * (y - p)) - PRIOR_BLOCKS / 4 * (w - start)
+        w = w + np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + PRIOR_BLOCKS / 4 * np.eye(len(names)), slope)
+    kinds = {k: (told.get((k, 1), 0), told.get((k, 0), 0)) for k in TIES}
+    weights = {k: float(np.clip(np.log((same + 1) / (unlike + 1)) / 2, 0, MOST_TIE)) if same + unlike >= PRIOR_BLOCKS else TIES[k] for k, (same, unlike) in kinds.items()}
+    return Costs(dict(zip(names, map(float, w))), weights)
+
+
+def terminal(text: str, linked: float, holder: _Element, costs: Costs) -> float:
+    """How much dearer it is to call a block boilerplate than to call it content."""
+    return holder.said + holder.loose + sum(costs.forms[f] for f in form(text, linked, holder))
 
 
 def min_cut(scores: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
     """Labels of least total cost: positive scores are the price of False, negative ones that of True, ties that of differing.
 
     A node whose score outweighs all its ties keeps its sign in every minimum cut; it is settled first and its ties
-    become terminal capacity of its neighbours. Maximum flow by shortest augmenting paths settles the others. On an
+    become terminal capacity of its neighbours. Maximum flow in layers of shortest paths settles the others. On an
     exact draw the label is False.
     """
     n, score = len(scores), list(scores)
@@ -268,53 +341,89 @@ def min_cut(scores: list[float], ties: list[tuple[int, int, float]]) -> list[boo
     left = [i for i in range(n) if label[i] is None]
     room = [dict(b) for b in beside]
     while True:
-        back: dict[int, int] = {i: -1 for i in left if score[i] > 1e-9}
-        line, end = deque(back), -1
+        # Distances from what still has content capacity; the layers end where boilerplate capacity is reached.
+        layer = {i: 0 for i in left if score[i] > 1e-9}
+        line, met = deque(layer), False
         while line:
             i = line.popleft()
-            if score[i] < -1e-9:
-                end = i
-                break
+            met |= score[i] < -1e-9
             for j, c in room[i].items():
-                if c > 1e-9 and j not in back:
-                    back[j] = i
+                if c > 1e-9 and j not in layer:
+                    layer[j] = layer[i] + 1
                     line.append(j)
-        if end < 0:
+        if not met:
             break
-        path = [end]
-        while back[path[-1]] >= 0:
-            path.append(back[path[-1]])
-        flow = min([score[path[-1]], -score[end], *(room[b][a] for a, b in zip(path, path[1:]))])
-        score[path[-1]] -= flow
-        score[end] += flow
-        for a, b in zip(path, path[1:]):
-            room[b][a] -= flow
-            room[a][b] = room[a].get(b, 0.0) + flow
+        ahead = {i: [j for j in room[i] if layer.get(j) == layer[i] + 1] for i in layer}
+        for source in [i for i in layer if score[i] > 1e-9]:
+            path = [source]
+            while path and score[source] > 1e-9:
+                i = path[-1]
+                if score[i] < -1e-9:
+                    flow = min([score[source], -score[i], *(room[a][b] for a, b in zip(path, path[1:]))])
+                    score[source] -= flow
+                    score[i] += flow
+                    for a, b in zip(path, path[1:]):
+                        room[a][b] -= flow
+                        room[b][a] = room[b].get(a, 0.0) + flow
+                    path = [source]
+                elif ahead[i]:
+                    j = ahead[i][-1]
+                    if room[i][j] > 1e-9:
+                        path.append(j)
+                    else:
+                        ahead[i].pop()
+                else:
+                    path.pop()
+                    if path:
+                        ahead[path[-1]].pop()
     for i in left:
-        label[i] = i in back
+        label[i] = i in layer
     return [bool(x) for x in label]
 
 
-def main_text(page: str | None) -> str:
-    """Content blocks of a page, joined by line breaks; empty for a page without any."""
+def labelled(page: str | None, costs: Costs = PLAIN) -> tuple[list[str], list[bool], list[float]]:
+    """The blocks of a page, their labels by the minimum cut, and their terminal scores."""
     found = blocks(page or "")
-    if not found:
-        return ""
-    holders = [h for _, _, h in found]
-    label = min_cut([_terminal(*b) for b in found], _ties(holders))
-    return "\n".join(text for (text, _, _), kept in zip(found, label) if kept)
+    scores = [terminal(*b, costs) for b in found]
+    joined = [(a, b, costs.ties[kind]) for a, b, kind in ties([h for _, _, h in found])]
+    return [text for text, _, _ in found], min_cut(scores, joined), scores
+
+
+def main_text(page: str | None, costs: Costs = PLAIN) -> str:
+    """Content blocks of a page, joined by line breaks; empty for a page without any."""
+    texts, kept, _ = labelled(page, costs)
+    return "\n".join(text for text, k in zip(texts, kept) if k)
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, text, n_chars)`` per row of ``pages(page_id, url, html, ...)``.
+def fit_costs(pages: DataFrame) -> Costs:
+    """Costs learned from all ``pages(html, ...)`` that tell their main part by ``article`` or ``main``. The driver gets one row per
+    combination of forms, a number that the table of forms bounds. Without such a page the costs are PLAIN."""
+
+    def run(batches):
+        told = Counter()
+        for batch in batches:
+            for page in batch.column(0).to_pylist():
+                told.update(page_counts(page))
+        kinds, labels = zip(*told) if told else ((), ())
+        yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(labels, pa.int32()), pa.array(list(told.values()), pa.int64())], names=["kind", "label", "n"])
+
+    counts = pages.select("html").mapInArrow(run, "kind string, label int, n bigint").groupBy("kind", "label").agg(F.sum("n").alias("n"))
+    told = {(r["kind"], r["label"]): r["n"] for r in counts.collect()}
+    return fitted(told) if told else PLAIN
+
+
+def page_texts(pages: DataFrame, costs: Costs | None = None) -> DataFrame:
+    """``(page_id, url, text, n_chars)`` per row of ``pages(page_id, url, html, ...)``, by costs learned from the same pages unless given.
 
     Null and empty pages have empty texts. Every row is read on its own: repeated rows get equal results, extra columns
     are ignored, an empty table gives an empty result.
     """
 
+    costs = costs or fit_costs(pages)
+
     def run(batches):
         for batch in batches:
-            texts = [main_text(t) for t in batch.column(2).to_pylist()]
+            texts = [main_text(t, costs) for t in batch.column(2).to_pylist()]
             counts = pa.array([len(t) for t in texts], pa.int64())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), counts], names=["page_id", "url", "text", "n_chars"])
 
