@@ -17,7 +17,21 @@ UNIT = WIDTH * STRIP
 GRAY = bytes(v for i in range(256) for v in (i, i, i))
 FULL = 4096
 BINS = 8
-ROWS = 64
+ROWS, RUN_BYTES = 64, 1 << 20
+#: Samples of the largest screen that is laid out, and of the largest frame that its stream does not fill.
+MOST_BLANK = 1 << 26
+
+
+def runs(items: list, size, most: int = ROWS) -> list[tuple[int, int]]:
+    """Stretches of ``items`` of at most ``most`` items and about RUN_BYTES by ``size``; a larger item stands alone."""
+    out, begin, held = [], 0, 0
+    for i, item in enumerate(items):
+        n = size(item)
+        if i > begin and (held + n > RUN_BYTES or i - begin == most):
+            out.append((begin, i))
+            begin, held = i, 0
+        held += n
+    return [*out, (begin, len(items))] if items else []
 
 
 def _widths(minimum: int) -> np.ndarray:
@@ -170,7 +184,8 @@ def encode_gifs(payloads: list[bytes], width: int = WIDTH, height: int = HEIGHT,
     one as high as what is left. ``delay`` in hundredths of a second."""
     size = width * height
     cut = [[p[at : at + size] for at in range(0, len(p), size)] for p in payloads]
-    packed = iter(pack_streams([lzw_codes(f) for frames in cut for f in frames]))
+    flat = [f for frames in cut for f in frames]
+    packed = (p for s, e in runs(flat, len, len(flat)) for p in pack_streams([lzw_codes(f) for f in flat[s:e]]))
     control = struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay, 0, 0)
     made = []
     for frames in cut:
@@ -205,12 +220,15 @@ def decode_gifs(media: list[bytes]) -> list[tuple[int, int, list[Frame]]]:
     read = [_stored(data) for data in media]
     samples: dict[int, list[bytes]] = {}
     for minimum in {f[-2] for _, _, found in read for f in found}:
-        samples[minimum] = lzw_streams([f[-1] for _, _, found in read for f in found if f[-2] == minimum], minimum)[::-1]
+        streams = [f[-1] for _, _, found in read for f in found if f[-2] == minimum]
+        samples[minimum] = [x for s, e in runs(streams, len, len(streams)) for x in lzw_streams(streams[s:e], minimum)][::-1]
     return [(wide, high, [_frame(f, samples[f[-2]].pop()) for f in found]) for wide, high, found in read]
 
 
 def _frame(stored: tuple, samples: bytes) -> Frame:
     left, top, w, h, delay, disposal, index, palette, woven, _, _ = stored
+    if w * h > max(MOST_BLANK, len(samples)):
+        raise ValueError("a frame beyond what is laid out")
     got = samples[: w * h]
     grid = np.frombuffer(got + bytes(w * h - len(got)), np.uint8).reshape(h, w)
     if woven:
@@ -225,6 +243,8 @@ def _stored(data: bytes) -> tuple[int, int, list[tuple]]:
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     wide, high, flags = struct.unpack("<HHB", data[6:11])
+    if wide * high > MOST_BLANK:
+        raise ValueError("a screen beyond what is laid out")
     at, shared = 13, np.zeros((256, 3), np.uint8)
 
     def colours(at: int, flags: int) -> np.ndarray:
@@ -312,7 +332,8 @@ def media_histogram(wide: int, high: int, frames: list[Frame]) -> np.ndarray:
 def gif_frames(media: DataFrame) -> DataFrame:
     """``media(doc_id, media)`` as timed frames: ``(doc_id, frame, start_ms, delay_ms, width, height, pixels, histogram)``.
 
-    ``pixels`` is RGBA after palettes, transparency and disposal. A null or broken medium has no frames.
+    ``pixels`` is RGBA after palettes, transparency and disposal. A null, broken or oversized medium has no frames. Repeated rows
+    have their frames each, extra columns are ignored, an empty table gives an empty result.
     """
     kind = media.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "frame", "start_ms", "delay_ms", "width", "height", "pixels", "histogram"]
@@ -341,17 +362,18 @@ def gif_frames(media: DataFrame) -> DataFrame:
 def text_media(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, media)``: each whole text as UTF-8, padded with bytes 255 to a positive multiple of 576, as a GIF.
 
-    Null counts as empty; every medium has one frame at least.
+    Null counts as empty; every medium has one frame at least. Repeated rows get equal media, extra columns are ignored, an
+    empty table gives an empty result. Texts are coded in runs of about RUN_BYTES; a longer one alone, a frame at a time.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-                made = encode_gifs([t + b"\xff" * (UNIT * max(1, -(-len(t) // UNIT)) - len(t)) for t in texts])
-                yield pa.record_batch([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            texts = batch.column(1).to_pylist()
+            for s, e in runs(texts, lambda t: len(t or "")):
+                raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts[s:e]]
+                made = encode_gifs([t + b"\xff" * (UNIT * max(1, -(-len(t) // UNIT)) - len(t)) for t in raw])
+                yield pa.record_batch([batch.column(0).slice(s, e - s), pa.array([len(t) for t in raw], pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
 
@@ -359,24 +381,47 @@ def text_media(docs: DataFrame) -> DataFrame:
 def media_digest(media: DataFrame) -> DataFrame:
     """What the stored bytes of ``media(doc_id, n_bytes, media)`` hold when read back: sizes, digests and a colour feature.
 
-    ``feature`` lists the colour histogram over all frames and the playing time. Equal media give equal values.
+    ``feature`` lists the colour histogram over all timed frames and the playing time. Equal media give equal values. A null, broken or
+    oversized medium has nulls but for ``media_bytes`` and ``media_sha256``, which a null one lacks as well. Repeated rows get equal values,
+    extra columns are ignored, an empty table gives an empty result.
     """
     kind = media.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
+    def told(raw, read) -> tuple:
+        if raw is None:
+            return (None,) * 6
+        stored = len(raw), hashlib.sha256(raw).hexdigest()
+        if read is None:
+            return None, None, None, *stored, None
+        wide, high, frames = read
+        payload = b"".join(f.indices.tobytes() for f in frames)
+        counts = media_histogram(wide, high, frames)
+        feature = f"{len(frames)}x{wide}x{high};{sum(f.delay_ms for f in frames)}ms;" + ",".join(map(str, counts.tolist()))
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, feature
+
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part, rows = batch.slice(at, ROWS), []
-                media = part.column(2).to_pylist()
-                for raw, (wide, high, frames) in zip(media, decode_gifs(media)):
-                    payload = b"".join(f.indices.tobytes() for f in frames)
-                    counts = media_histogram(wide, high, frames)
-                    feature = f"{len(frames)}x{wide}x{high};{sum(f.delay_ms for f in frames)}ms;" + ",".join(map(str, counts.tolist()))
-                    digest = hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])
-                    rows.append((len(payload), *digest, len(raw), hashlib.sha256(raw).hexdigest(), feature))
-                yield pa.record_batch([part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=names)
+            found = batch.column(2).to_pylist()
+            for s, e in runs(found, lambda m: len(m or b"")):
+                rows = [told(raw, read) for raw, read in zip(found[s:e], readable(found[s:e]))]
+                yield pa.record_batch([*(batch.column(k).slice(s, e - s) for k in (0, 1)), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=names)
 
     shape = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, shape)
+
+
+def readable(media: list[bytes | None]) -> list[tuple[int, int, list[Frame]] | None]:
+    """As ``decode_gifs``, with None for what is null or broken."""
+    try:
+        return decode_gifs(media)
+    except (ValueError, TypeError):
+        pass
+    out = []
+    for raw in media:
+        try:
+            out.append(decode_gif(raw or b""))
+        except ValueError:
+            out.append(None)
+    return out

@@ -83,6 +83,26 @@ def test_text_media_and_timed_frames(spark):
     assert feature.split(";")[2] == ",".join(map(str, total))
 
 
+def test_null_broken_and_oversized_media(spark):
+    good = gif.encode_gifs([b"a" * 576])[0]
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b";"
+    wide_frame = picture(2, 2, frame(0, 0, 2, 2, [1, 1, 1, 1])).replace(struct.pack("<HHHH", 0, 0, 2, 2), struct.pack("<HHHH", 0, 0, 65535, 65535))
+    rows = [(1, 5, None), (2, 5, b""), (3, 5, b"no gif"), (4, 5, huge), (5, 5, wide_frame), (6, 5, good), (6, 5, good)]
+    df = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary").selectExpr("*", "1 as feature", "2 as payload_bytes")
+    got = {r["doc_id"]: (r["payload_bytes"], r["media_bytes"], r["feature"] is None) for r in gif.media_digest(df).collect()}
+    assert got == {1: (None, None, True), 2: (None, 0, True), 3: (None, 6, True), 4: (None, len(huge), True), 5: (None, len(wide_frame), True), 6: (576, len(good), False)}
+    assert [r["doc_id"] for r in gif.gif_frames(df).collect()] == [6, 6]
+    assert gif.media_digest(df.limit(0)).count() == gif.gif_frames(df.limit(0)).count() == gif.text_media(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_runs_are_cut_by_bytes(monkeypatch):
+    assert gif.runs([], len) == []
+    monkeypatch.setattr(gif, "RUN_BYTES", 10)
+    assert gif.runs([b"a" * n for n in (4, 4, 4, 50, 1, 1)], len) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    long = bytes(range(256)) * 60
+    assert gif.encode_gifs([long[: 96 * 150]])[0] == gif.encode_gifs([long[: 96 * 150], b"x" * 576])[0]
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(400):
