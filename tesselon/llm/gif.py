@@ -316,17 +316,17 @@ def histogram(pixels: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(seen[:, c] // (256 // BINS), minlength=BINS) for c in range(3)])
 
 
-def media_histogram(wide: int, high: int, frames: list[Frame]) -> np.ndarray:
-    """The colour histogram over the canvases of all frames. Opaque frames of one palette are composed as indices."""
-    if all(f.clear_index is None and f.disposal < 2 and f.palette is frames[0].palette for f in frames) and frames and (frames[0].width, frames[0].height) == (wide, high):
-        counts, canvas = np.zeros(256, np.int64), np.zeros((high, wide), np.uint8)
-        for f in frames:
+def frame_histograms(wide: int, high: int, frames: list[Frame]) -> np.ndarray:
+    """The colour histogram of each frame's canvas, one row per frame. Opaque frames of one palette are composed as indices."""
+    if frames and all(f.clear_index is None and f.disposal < 2 and f.palette is frames[0].palette for f in frames) and (frames[0].width, frames[0].height) == (wide, high):
+        counts, canvas = np.zeros((len(frames), 256), np.int64), np.zeros((high, wide), np.uint8)
+        for k, f in enumerate(frames):
             area = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
             area[:] = f.indices[: area.shape[0], : area.shape[1]]
-            counts += np.bincount(canvas.ravel(), minlength=256)
+            counts[k] = np.bincount(canvas.ravel(), minlength=256)
         bins = frames[0].palette // (256 // BINS)
-        return np.concatenate([np.bincount(bins[:, c], weights=counts, minlength=BINS).astype(np.int64) for c in range(3)])
-    return sum((histogram(c) for c in composed(wide, high, frames)), np.zeros(3 * BINS, np.int64))
+        return counts @ (bins[:, :, None] == np.arange(BINS)).reshape(256, 3 * BINS)
+    return np.array([histogram(c) for c in composed(wide, high, frames)], np.int64).reshape(-1, 3 * BINS)
 
 
 def gif_frames(media: DataFrame) -> DataFrame:
@@ -381,25 +381,29 @@ def text_media(docs: DataFrame) -> DataFrame:
 def media_digest(media: DataFrame) -> DataFrame:
     """What the stored bytes of ``media(doc_id, n_bytes, media)`` hold when read back: sizes, digests and a colour feature.
 
-    ``feature`` lists the colour histogram over all timed frames and the playing time. Equal media give equal values. A null, broken or
+    ``feature`` lists the colour histogram over all timed frames and the playing time, ``frames`` each frame's time and histogram. Equal media give equal values. A null, broken or
     oversized medium has nulls but for ``media_bytes`` and ``media_sha256``, which a null one lacks as well. Repeated rows get equal values,
     extra columns are ignored, an empty table gives an empty result.
     """
     kind = media.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"]
+    timed = pa.list_(pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("histogram", pa.list_(pa.int64()))]))
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), timed]
 
     def told(raw, read) -> tuple:
         if raw is None:
-            return (None,) * 6
+            return (None,) * 7
         stored = len(raw), hashlib.sha256(raw).hexdigest()
         if read is None:
-            return None, None, None, *stored, None
+            return None, None, None, *stored, None, None
         wide, high, frames = read
         payload = b"".join(f.indices.tobytes() for f in frames)
-        counts = media_histogram(wide, high, frames)
+        each = frame_histograms(wide, high, frames)
+        counts = each.sum(0)
+        start = np.cumsum([0, *[f.delay_ms for f in frames]]).tolist()
+        timed = [{"start_ms": start[k], "delay_ms": f.delay_ms, "histogram": h} for k, (f, h) in enumerate(zip(frames, each.tolist()))]
         feature = f"{len(frames)}x{wide}x{high};{sum(f.delay_ms for f in frames)}ms;" + ",".join(map(str, counts.tolist()))
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, feature
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, feature, timed
 
     def run(batches):
         for batch in batches:
@@ -408,7 +412,7 @@ def media_digest(media: DataFrame) -> DataFrame:
                 rows = [told(raw, read) for raw, read in zip(found[s:e], readable(found[s:e]))]
                 yield pa.record_batch([*(batch.column(k).slice(s, e - s) for k in (0, 1)), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=names)
 
-    shape = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    shape = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, frames array<struct<start_ms:bigint,delay_ms:int,histogram:array<bigint>>>"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, shape)
 
 

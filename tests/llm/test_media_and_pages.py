@@ -79,7 +79,9 @@ def test_text_media_and_timed_frames(spark):
     timed = gif.gif_frames(media).where("doc_id = 6").orderBy("frame").collect()
     assert [r["start_ms"] for r in timed] == [100 * k for k in range(len(timed))] and len(timed) == 9
     total = np.sum([r["histogram"] for r in timed], axis=0)
-    feature = {r["doc_id"]: r["feature"] for r in gif.media_digest(media).collect()}[6]
+    digest = {r["doc_id"]: r for r in gif.media_digest(media).collect()}[6]
+    feature = digest["feature"]
+    assert [(r["start_ms"], r["delay_ms"], r["histogram"]) for r in timed] == [tuple(f) for f in digest["frames"]]
     assert feature.split(";")[2] == ",".join(map(str, total))
 
 
