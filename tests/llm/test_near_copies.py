@@ -92,3 +92,36 @@ def test_vectors_equal_all_pairs(spark, parts, monkeypatch):
     want = by_hand(len(x), list(zip(*np.nonzero(np.triu(near)))))
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df).collect()}
     assert got == {i: (int(near[i].sum()), want[i]) for i in range(len(x))}
+
+
+@pytest.mark.parametrize(("kind", "n"), [("even", 10000), ("shared", 10000), ("crowded", 12000)])
+def test_recall_where_windows_matter(spark, tmp_path, kind, n):
+    """Lone pairs right at the threshold among evenly spread vectors, vectors of one direction, and a crowd of a third of all."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((n, 64)))
+    if kind == "shared":
+        x = unit(2 * unit(rng.standard_normal((1, 64))) + x)
+    elif kind == "crowded":
+        x[: n // 3] = np.sqrt(0.9) * unit(rng.standard_normal((1, 64))) + np.sqrt(0.1) * x[: n // 3]
+    i = rng.choice(n // 3, 500, replace=False)
+    aside = rng.standard_normal((500, 64))
+    aside = unit(aside - (aside * x[i]).sum(1, keepdims=True) * x[i])
+    x = np.concatenate([x, 0.951 * x[i] + np.sqrt(1 - 0.951**2) * aside]).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    y = unit(x.astype(float))
+    degree = (y @ y.T >= 0.95).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(spark.read.parquet(str(tmp_path / "v.parquet"))).collect()}
+    assert degree.sum() >= 1000 and all(got[k] <= degree[k] for k in got)
+    assert sum(got.values()) >= 0.99 * degree.sum()
+
+
+def test_planned_passes_keep_the_miss():
+    for rows in (10**3, 10**6, 10**9):
+        for cosine in (0.95, 0.8, 0.5):
+            near = (1 - np.arccos(cosine) / np.pi) ** vectors.leading(rows)
+            assert (1 - near) ** vectors.passes_for(rows, cosine) <= 1.0001e-4
+    assert vectors.centring(10**5, 0.95, 0.0)[1] == vectors.passes_for(10**5, 0.95)
