@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesselon.operators.ordered import free, running
 from tesselon.operators.requests import literal_map
 
 MIB = 1024 * 1024
@@ -24,7 +27,10 @@ def _numbers(pairs: dict[str, float]) -> Column:
 
 
 def transform_weight(steps: DataFrame) -> DataFrame:
-    """Adds ``weight`` to ``steps(op, params, width, height, output_format)``: the operation's base times what its parameters make of it."""
+    """Adds ``weight`` to ``steps(op, params, width, height, output_format)``: the operation's base times what its parameters make of it.
+
+    The constants below are fixed values as well.
+    """
     p = lambda k, d: F.coalesce(F.col("params")[k].cast("double"), d if isinstance(d, Column) else F.lit(float(d)))
     one = F.lit(1.0)
     w, h = F.greatest(F.col("width"), F.lit(1)).cast("double"), F.greatest(F.col("height"), F.lit(1)).cast("double")
@@ -60,7 +66,7 @@ def queue_cost_hints(names: Column, formats: Column) -> tuple[Column, Column]:
 
 
 def heuristic_ms(weights: Column) -> Column:
-    """Service time from the sum of weights (null or zero: one half) and the columns ``width``, ``height``, ``size_bytes``."""
+    """Service time from the sum of weights (null or zero: one half) and the columns ``width``, ``height``, ``size_bytes``. Its constants are fixed values."""
     mp = F.greatest(F.greatest("width", F.lit(1)).cast("double") * F.greatest("height", F.lit(1)) / 1e6, F.col("size_bytes") / F.lit(6.0 * MIB), F.lit(0.2))
     return F.lit(40.0) + mp * 70.0 * F.coalesce(F.nullif(weights, F.lit(0.0)), F.lit(0.5))
 
@@ -71,14 +77,17 @@ def task_signature(ops: Column) -> Column:
     return F.concat_ws(":", F.array_join(ops, "-"), F.floor(pixels / 500000).cast("string"), F.floor(F.greatest("size_bytes", F.lit(1)) / MIB).cast("string"))
 
 
-def ema_service_ms(log: DataFrame, alpha: float = 0.35, keep: int = 1024) -> DataFrame:
+def ema_service_ms(log: DataFrame, alpha: float = 0.35) -> DataFrame:
     """``(signature, ema_ms, n)`` from ``log(signature, ts, event_id, latency_ms)``: the moving average in the order of time.
 
-    What lies ``keep`` observations back weighs (1 - alpha)^keep, nothing in double precision, so only the last ``keep``
-    enter the fold and a signature that holds most of the log is as cheap as any other.
+    An observation ``k`` places back weighs (1 - alpha)^k. Only as many as weigh more than 2^-60 enter the fold, a number that
+    follows from ``alpha``, so a signature that holds most of the log is as cheap as any other.
     """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha has to lie between 0 and 1")
+    keep = 1 if alpha == 1 else math.ceil(-60 * math.log(2) / math.log1p(-alpha)) + 1
     recent = log.withColumn("n", F.row_number().over(W.partitionBy("signature").orderBy(F.desc("ts"), F.desc("event_id")))).where(F.col("n") <= keep)
-    folded = recent.groupBy("signature").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "latency_ms"))).alias("seen"))
+    folded = recent.groupBy("signature").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "latency_ms"))).alias("seen"))
     step = lambda a, x: F.when(a > 0, F.lit(1.0 - alpha) * a + F.lit(alpha) * x["latency_ms"]).otherwise(x["latency_ms"])
     counts = log.groupBy("signature").agg(F.count("*").alias("n"))
     return folded.select("signature", F.round(F.aggregate("seen", F.lit(0.0), step), 6).alias("ema_ms")).join(counts, "signature")
@@ -108,7 +117,7 @@ def seconds_between(a: Column, b: Column) -> Column:
 
 
 def score_tasks(tasks: DataFrame, as_of: Column, deadline_s: float, aging_s: float, cost_ms: float = 1500.0, large_bytes: int = 32 * MIB) -> DataFrame:
-    """Adds ``score``: weighted priority, urgency and age, less cost, retries and size; ``tasks`` has ``service_ms``."""
+    """Adds ``score``: weighted priority, urgency and age, less cost, retries and size; ``tasks`` has ``service_ms``. The weights are fixed values."""
     left = seconds_between(F.col("deadline"), as_of)
     urgency = F.when(F.col("deadline").isNull(), 0.15).when(left <= 0, 1.0).otherwise(_unit(F.lit(1.0) - left / deadline_s))
     age = _unit(F.greatest(seconds_between(as_of, F.col("created_at")), F.lit(0.0)) / max(aging_s, 0.1))
@@ -120,9 +129,12 @@ def score_tasks(tasks: DataFrame, as_of: Column, deadline_s: float, aging_s: flo
 
 
 def rank_backlog(tasks: DataFrame, by: str = "node_id") -> DataFrame:
-    """Adds ``rank`` within ``by``: best score first, then the earliest deadline (none last), then the smallest id."""
-    order = W.partitionBy(by).orderBy(F.desc("score"), F.asc_nulls_last("deadline"), "task_id")
-    return tasks.withColumn("rank", F.row_number().over(order))
+    """Adds ``rank`` within ``by``: best score first, then the earliest deadline (none last), then the smallest id.
+
+    Ranks are counted within thousandths of the score and added up, so one node with most tasks is spread.
+    """
+    best_first = F.coalesce(-F.floor(F.col("score") * 1000), F.lit(1 << 40))
+    return running(tasks, by, best_first, [F.desc("score"), F.asc_nulls_last("deadline"), "task_id"], F.lit(1), "rank")
 
 
 def next_ready(tasks: DataFrame, as_of: Column, k: int) -> DataFrame:
@@ -138,12 +150,18 @@ def backlog_by_priority(tasks: DataFrame) -> DataFrame:
 
 def admission_split(tasks: DataFrame, nodes: DataFrame, watermark: int, large_bytes: int = 32 * MIB, min_free: int = 256 * MIB) -> DataFrame:
     """Adds ``reason`` to tasks in arrival order per node: not accepting, backlog at the watermark, or a large image with
-    little memory; null where admitted. ``nodes(node_id, accepting, free_bytes)``."""
-    ahead = F.row_number().over(W.partitionBy("node_id").orderBy("created_at", "task_id")) - 1
-    joined = tasks.withColumn("ahead", ahead).join(nodes, "node_id")
+    little memory; null where admitted. ``nodes(node_id, accepting, free_bytes)``.
+
+    Only the first ``watermark`` tasks of a node are ordered; the last of them tells for every other task whether it came later.
+    """
+    arrival, cut = F.struct("created_at", "task_id"), free(tasks, "cut")
+    nth = F.row_number().over(W.partitionBy("node_id").orderBy("created_at", "task_id"))
+    few = tasks.select("node_id", "created_at", "task_id").withColumn("nth", nth).where(F.col("nth") <= watermark)
+    last = few.where(F.col("nth") == watermark).select("node_id", arrival.alias(cut))
+    joined = tasks.join(nodes.join(last, "node_id", "left"), "node_id")
     reason = (
         F.when(~F.col("accepting"), "not accepting")
-        .when(F.col("ahead") >= watermark, "backlog at watermark")
+        .when((arrival > F.col(cut)) if watermark > 0 else F.lit(True), "backlog at watermark")
         .when((F.col("size_bytes") >= large_bytes) & (F.col("free_bytes") < 2 * min_free), "too little memory")
     )
-    return joined.withColumn("reason", reason)
+    return joined.withColumn("reason", reason).drop(cut)

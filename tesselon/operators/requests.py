@@ -80,23 +80,33 @@ def _problem(key: Column, payload: Column) -> Column:
     return F.when(~key.isin(*FILTERS), F.concat(F.lit("unsupported filter: "), key)).when(wrong, F.concat(F.lit("wrong arguments: "), key))
 
 
+def filter_problems(requests: DataFrame) -> DataFrame:
+    """Adds ``problems``: per entry what is wrong with it, null for nothing; takes what ``normalize_filters`` gives."""
+    return requests.withColumn("problems", F.transform("ops", lambda o: _problem(o["key"], o["payload"])))
+
+
+def _operation(key: Column) -> Column:
+    return F.coalesce(F.element_at(literal_map(OPERATIONS), key), key)
+
+
 def filter_args(requests: DataFrame) -> DataFrame:
     """Adds ``steps``: ``(op, params, problem)`` per entry, with each operation's arguments and defaults; takes what ``normalize_filters`` gives."""
 
-    def step(o: Column) -> Column:
-        problem = _problem(o["key"], o["payload"])
-        op = F.coalesce(F.element_at(literal_map(OPERATIONS), o["key"]), o["key"])
+    def step(o: Column, problem: Column) -> Column:
         none = F.create_map().cast("map<string,string>")
-        return F.struct(op.alias("op"), F.when(problem.isNull(), _params(o["key"], o["payload"])).otherwise(none).alias("params"), problem.alias("problem"))
+        return F.struct(_operation(o["key"]).alias("op"), F.when(problem.isNull(), _params(o["key"], o["payload"])).otherwise(none).alias("params"), problem.alias("problem"))
+
+    return filter_problems(requests).withColumn("steps", F.zip_with("ops", "problems", step)).drop("problems")
 
-    return requests.withColumn("steps", F.transform("ops", step))
 
+def step_rows(requests: DataFrame, *keep: str) -> DataFrame:
+    """One row per step of the requests without problems: ``(request_id, keep..., pos, op, params)``; takes what ``normalize_filters`` gives.
 
-def step_rows(requests: DataFrame) -> DataFrame:
-    """One row per step of the requests without problems: ``(request_id, pos, op, params)``."""
-    good = requests.where(~F.exists("steps", lambda s: s["problem"].isNotNull()))
-    each = good.select("request_id", F.posexplode("steps").alias("pos", "s"))
-    return each.select("request_id", "pos", "s.op", "s.params")
+    Entries become rows before their arguments are taken apart, so that all of it is plain, compiled expressions.
+    """
+    good = filter_problems(requests).where(~F.exists("problems", lambda p: p.isNotNull()))
+    each = good.select("request_id", *keep, F.posexplode("ops").alias("pos", "o"))
+    return each.select("request_id", *keep, "pos", _operation(F.col("o.key")).alias("op"), _params(F.col("o.key"), F.col("o.payload")).alias("params"))
 
 
 def params_text(params: Column) -> Column:
@@ -106,8 +116,10 @@ def params_text(params: Column) -> Column:
 
 
 def reject_bad_filters(requests: DataFrame) -> DataFrame:
-    """Adds ``reason``: the problem of the first bad filter, null for accepted requests. Filter on it for the two outputs."""
-    return requests.withColumn("reason", F.get(F.filter(F.transform("steps", lambda s: s["problem"]), lambda p: p.isNotNull()), F.lit(0)))
+    """Adds ``reason``: the problem of the first bad filter, null for accepted requests. Filter on it for the two outputs. Takes what
+    ``normalize_filters`` gives."""
+    found = filter_problems(requests)
+    return found.withColumn("reason", F.get(F.filter("problems", lambda p: p.isNotNull()), F.lit(0))).drop("problems")
 
 
 def suffix_of(name: Column) -> Column:

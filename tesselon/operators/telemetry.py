@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesselon.operators.ordered import free, hours, over_last, running
+
 KEEP, GROUPS = 200, 20
 
 
-def last_window(n: int = KEEP):
-    return W.partitionBy("node_id").orderBy("ts", "event_id").rowsBetween(1 - n, 0)
+ORDER = ["ts", "event_id"]
 
 
 def latency_avg(log: DataFrame, n: int = KEEP) -> DataFrame:
     """Mean of a node's last ``n`` latencies at each event, errors included."""
-    return log.withColumn("avg_latency_ms", F.round(F.avg("latency_ms").over(last_window(n)), 9))
+    listed = over_last(log, "node_id", hours(log, "ts"), ORDER, n, F.avg("latency_ms"), "avg_latency_ms")
+    return listed.withColumn("avg_latency_ms", F.round("avg_latency_ms", 9))
 
 
 def exclusive_p95(values: Column) -> Column:
@@ -28,8 +30,11 @@ def exclusive_p95(values: Column) -> Column:
 
 
 def latency_p95(log: DataFrame, n: int = KEEP) -> DataFrame:
-    listed = log.withColumn("seen", F.array_sort(F.collect_list("latency_ms").over(last_window(n))))
-    return listed.withColumn("p95_latency_ms", F.round(exclusive_p95(F.col("seen")), 6)).drop("seen")
+    """The exclusive 95th percentile of a node's last ``n`` latencies at each event."""
+    seen = free(log, "seen")
+    listed = over_last(log, "node_id", hours(log, "ts"), ORDER, n, F.collect_list("latency_ms"), seen)
+    listed = listed.withColumn(seen, F.sort_array(seen))
+    return listed.withColumn("p95_latency_ms", F.round(exclusive_p95(F.col(seen)), 6)).drop(seen)
 
 
 def status_basic(busy: Column, total: Column) -> tuple[Column, Column]:
@@ -42,8 +47,8 @@ def status_full(active: Column, steal_age_s: Column, busy: Column, queued: Colum
 
 
 def busy_running(beats: DataFrame) -> DataFrame:
-    w = W.partitionBy("node_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return beats.withColumn("busy", F.sum("busy_delta").over(w))
+    """Adds ``busy``: the running sum of a node's ``busy_delta``."""
+    return running(beats, "node_id", hours(beats, "ts"), ORDER, F.col("busy_delta"), "busy")
 
 
 def node_snapshot(beats: DataFrame, high_water: int, max_queue: int) -> DataFrame:
@@ -62,14 +67,24 @@ def readiness(active: Column, accepting: Column, queued: Column, high_water: int
 
 
 def registrations(beats: DataFrame) -> DataFrame:
-    first = F.row_number().over(W.partitionBy("node_id").orderBy("ts", "event_id")) == 1
-    return beats.withColumn("result", F.when(first, "REGISTERED").otherwise("UPDATED"))
+    """Adds ``result``: a node's first beat registers it, later ones update. The first is found by aggregation, one row per node."""
+    key, first = free(beats, "key"), free(beats, "first")
+    firsts = beats.groupBy(F.col("node_id").alias(key)).agg(F.min(F.struct(*ORDER)).alias(first))
+    joined = beats.join(firsts, beats["node_id"].eqNullSafe(F.col(key)))
+    return joined.withColumn("result", F.when(F.struct(*ORDER) == F.col(first), "REGISTERED").otherwise("UPDATED")).drop(key, first)
 
 
 def dead_spans(beats: DataFrame, interval_s: float, misses: int = 3) -> DataFrame:
-    """``(node_id, dead_from, dead_until)``: gaps in which ``misses`` beats in a row are missing."""
-    nxt = F.lead("ts").over(W.partitionBy("node_id").orderBy("ts", "event_id"))
-    gaps = beats.select("node_id", F.col("ts").alias("dead_from"), nxt.alias("dead_until")).where("dead_until is not null")
+    """``(node_id, dead_from, dead_until)``: gaps in which ``misses`` beats in a row are missing.
+
+    The next beat is looked up inside the hour; the last one of an hour takes the first of the node's next hour with beats.
+    """
+    cut = beats.select("node_id", *ORDER).withColumn("hour", hours(beats, "ts"))
+    heads = cut.groupBy(F.col("node_id").alias("key"), F.col("hour").alias("at")).agg(F.min("ts").alias("head"))
+    heads = heads.select("key", "at", F.lead("head").over(W.partitionBy("key").orderBy("at")).alias("after"))
+    joined = cut.join(heads, cut["node_id"].eqNullSafe(F.col("key")) & (F.col("hour") == F.col("at")))
+    nxt = F.coalesce(F.lead("ts").over(W.partitionBy("node_id", "hour").orderBy(*ORDER)), "after")
+    gaps = joined.select("node_id", F.col("ts").alias("dead_from"), nxt.alias("dead_until")).where("dead_until is not null")
     return gaps.where(F.timestamp_diff("MICROSECOND", F.col("dead_from"), F.col("dead_until")) >= int(interval_s * misses * 1e6))
 
 

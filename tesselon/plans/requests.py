@@ -19,8 +19,8 @@ def as_of():
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
-def parsed(spark, sf) -> DataFrame:
-    return r.filter_args(r.normalize_filters(views.requests(spark, sf)))
+def normal(spark, sf) -> DataFrame:
+    return r.normalize_filters(views.requests(spark, sf))
 
 
 def q1(spark, sf):
@@ -29,11 +29,11 @@ def q1(spark, sf):
 
 
 def q2(spark, sf):
-    return r.step_rows(parsed(spark, sf)).select("request_id", "pos", "op", r.params_text(F.col("params")).alias("params"))
+    return r.step_rows(normal(spark, sf)).select("request_id", "pos", "op", r.params_text(F.col("params")).alias("params"))
 
 
 def q3(spark, sf):
-    return r.reject_bad_filters(parsed(spark, sf)).select("request_id", "reason", F.col("reason").isNull().alias("accepted"))
+    return r.reject_bad_filters(normal(spark, sf)).select("request_id", "reason", F.col("reason").isNull().alias("accepted"))
 
 
 def _resolved():
@@ -80,7 +80,7 @@ def q8(spark, sf):
 
 
 def q9(spark, sf):
-    return r.project_transforms(parsed(spark, sf))
+    return r.project_transforms(r.filter_args(normal(spark, sf)))
 
 
 def q10(spark, sf):
@@ -131,8 +131,8 @@ def q18(spark, sf):
 
 
 def _steps(spark, sf) -> DataFrame:
-    q = parsed(spark, sf).select("request_id", "width", "height", "size_bytes", _resolved().alias("output_format"))
-    return c.transform_weight(r.step_rows(parsed(spark, sf)).join(q, "request_id"))
+    sized = normal(spark, sf).withColumn("output_format", _resolved())
+    return c.transform_weight(r.step_rows(sized, "width", "height", "output_format"))
 
 
 def c1(spark, sf):

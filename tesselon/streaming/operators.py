@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tesselon.operators.requests import filter_args, normalize_filters, reject_bad_filters, validate_requests
+from tesselon.operators.requests import normalize_filters, reject_bad_filters, validate_requests
 from tesselon.sources.files import scratch
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -104,7 +104,7 @@ def stream_ema(log: DataFrame, alpha: float = 0.35) -> DataFrame:
 
 def stream_normalize(requests: DataFrame) -> DataFrame:
     """Requests with ``reason``: null for those to process, else why they go to quarantine. Stateless."""
-    judged = reject_bad_filters(filter_args(normalize_filters(requests))).withColumnRenamed("reason", "bad_filter")
+    judged = reject_bad_filters(normalize_filters(requests)).withColumnRenamed("reason", "bad_filter")
     return validate_requests(judged).withColumn("reason", F.coalesce("reason", "bad_filter"))
 
 
