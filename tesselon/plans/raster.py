@@ -8,7 +8,7 @@ from tesselon.operators import raster_point as point
 from tesselon.operators import raster_resample as resample
 from tesselon.operators import raster_window as window
 from tesselon.plans import raster_sql as d
-from tesselon.plans.pipeline import apply_pipeline, apply_pipelines
+from tesselon.plans.pipeline import apply_pipeline, apply_pipelines, pipeline_metadata
 from tesselon.sources import views
 from tesselon.sources.views import sql
 
@@ -20,6 +20,10 @@ PIPELINES = {
     "b": [("rotate", {"angle": "90"}), ("brightness", {"brightness": "1.2", "contrast": "0.8"})],
     "c": [("pixelate", {"block_size": "3"}), ("edges", {})],
 }
+SAYING = [
+    ("inference", {}), ("format_conversion", {"format": "webp"}), ("rotate", {"angle": "30", "fill_color": "#090807"}), ("ocr", {"threshold": "120"}),
+    ("watermark_text", {"text": "x", "opacity": "80", "angle": "45"}), ("inference", {}), ("brightness", {"brightness": "1.2"}),
+]
 
 def _pair(name: str, run, step: str, source: str = "px", columns: str = "image_id, y, x, r, g, b"):
     base = views.px_wide if source == "px_wide" else views.px
@@ -27,6 +31,16 @@ def _pair(name: str, run, step: str, source: str = "px", columns: str = "image_i
     return name, (lambda spark, sf: run(base(spark, sf))), sql(tables, f", {step} SELECT {columns} FROM o")
 
 
+def _glyphs(spark):
+    return lambda text, size: (spark.createDataFrame(MASK, "my int, mx int, kind int"), 3, 3)
+
+
+def _said(px):
+    told = pipeline_metadata(px, SAYING, _glyphs(px.sparkSession))
+    label = F.from_json(F.col("metadata")["classification_result"], "label string, labels array<string>, score double")
+    return told.select("image_id", F.col("metadata")["ocr_error"].isNotNull().alias("no_reader"), label.alias("c")).select("image_id", "no_reader", "c.label", F.array_join("c.labels", ",").alias("labels"))
+
+
 def _alpha(px):
     return px.withColumn("a", ((F.col("x") * 31 + F.col("y") * 17 + F.col("image_id")) % 256).cast("int"))
 
@@ -47,6 +61,7 @@ def _branches() -> str:
 STAT_COLUMNS = "image_id, r_mean, r_std, g_mean, g_std, b_mean, b_std, gray_mean, gray_std, s_mean, w, h, edge_mean"
 _alpha_sql = "pa AS (SELECT *, (x * 31 + y * 17 + image_id) % 256 AS a FROM px), " + d.each("pa", "o", lambda c: d.q(f"{c} * (a / 255.0e0) + 255.0e0 * (1.0e0 - a / 255.0e0)"))
 _blend_sql = f"{d.grayscale('px', 'k')}, o AS (SELECT s.image_id, s.y, s.x, {', '.join(d.lerp('s.' + c, 'k.' + c, 0.35) + f' AS {c}' for c in 'rgb')} FROM px s JOIN k USING (image_id, y, x))"
+_marked = d.rotate("px", "w0", 30.0, (9, 8, 7)) + ", " + d.watermark("w0", "w1", MASK, 3, 3, 80, 45.0, resample.GAP)
 _chain = f"{d.grayscale('px', 'p1', 0.6)}, {d.resize('p1', 'p2', 12, 6)}, {d.moved('p2', 'p3', 'w - 1 - s.x', 'h - 1 - s.y')}, {d.sharpen('p3', 'o', 1.5)}"
 
 _ALL = [
@@ -87,6 +102,8 @@ _ALL = [
     _pair("r26_topk_labels", lambda p: window.topk_labels(window.nearest_centroid(window.image_features(p))), d.topk("px", "o", 3), columns="*"),
     _pair("r27_image_info", window.image_info, f"o AS (SELECT image_id, w AS width, h AS height, w * h * 3 AS n_bytes FROM {d.sizes('px_wide')})", "px_wide", "*"),
     _pair("r28_apply_pipeline", lambda p: apply_pipeline(p, PIPELINE), _chain),
+    _pair("r28_apply_steps_without_pixels", lambda p: apply_pipeline(p, SAYING, _glyphs(p.sparkSession)), _marked + ", " + d.brightness("w1", "o", 1.2)),
+    _pair("r28_pipeline_metadata", _said, _marked + ", " + d.topk("w1", "t", 3) + ", o AS (SELECT image_id, true AS no_reader, label, labels FROM t)", columns="*"),
     _pair("r28_apply_pipelines", lambda p: apply_pipelines(p, _spec(p), PIPELINES), _branches()),
 ]
 QUERIES = {name: run for name, run, _ in _ALL}

@@ -42,6 +42,22 @@ def k2(spark, sf):
     return f.select("name", "suffix", F.col("length") == F.octet_length("content"))
 
 
+def k1(spark, sf):
+    """Image files written from the pixel table, one BMP each, and scanned again. Halved channels keep every byte below 128, so
+    that a file is text to the writer; the byte that ends a line comes after the picture."""
+    px = views.px_wide(spark, sf)
+    byte = lambda c: F.lpad(F.hex(F.floor(F.col(c) / 2).cast("bigint")), 2, "0")
+    little = lambda c: F.concat(F.lpad(F.hex(F.col(c).cast("bigint")), 2, "0"), F.lit("000000"))
+    cell = F.struct((-F.col("y")).alias("row"), "x", F.concat(byte("b"), byte("g"), byte("r")).alias("h"))
+    one = px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.sort_array(F.collect_list(cell)).alias("cells"))
+    head = F.concat(F.lit("424D00007F0000000000" + "36000000" + "28000000"), little("w"), little("h"), F.lit("01001800" + "00" * 24))
+    body = F.array_join(F.transform("cells", lambda c: c["h"]), "")
+    path = files.scratch(spark, "images")
+    one.select("image_id", F.decode(F.unhex(F.concat(head, body)), "UTF-8").alias("value")).write.partitionBy("image_id").text(path)
+    named = F.regexp_extract("path", "image_id=([0-9]+)", 1).cast("bigint")
+    return files.scan_images(spark, path).select(named.alias("image_id"), "width", "height", "channels", "valid", F.md5(F.hex("data")).alias("data_md5"))
+
+
 def k3(spark, sf):
     return files.to_pixels(files.from_pixels(views.px_wide(spark, sf)))
 
@@ -145,7 +161,8 @@ def u3(spark, sf):
 LIMITS = "CASE WHEN size_bytes <= 0 THEN 'empty payload' WHEN size_bytes > 26214400 THEN 'payload too large' WHEN len(filters) > 12 THEN 'too many filters' WHEN width <= 0 OR height <= 0 THEN 'dimensions not positive' WHEN width > 12000 THEN 'width over limit' WHEN height > 12000 THEN 'height over limit' WHEN CAST(width AS BIGINT) * height > 40000000 THEN 'pixels over limit' END"
 NEAR = f", {d.centroids('px', 'c')}, best AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY distance, pos) AS n FROM c)"
 _ALL = [
-    ("k2_scan_binary", lambda spark, sf: k2(spark, sf).toDF("name", "suffix", "whole"), None, ""),
+    ("k1_scan_images", k1, "px px_wide", """ SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height, 3 AS channels, true AS valid, md5(string_agg(printf('%02X%02X%02X', b // 2, g // 2, r // 2), '' ORDER BY y, x)) AS data_md5 FROM px_wide GROUP BY image_id"""),
+    ("k2_scan_binary", lambda spark, sf: k2(spark, sf).toDF("name", "suffix", "whole"), "tasks", " SELECT 'orders.parquet' AS name, 'parquet' AS suffix, count(*) > 0 AS whole FROM tasks"),
     ("k3_raster_round_trip", k3, "px px_wide", " SELECT image_id, y, x, r, g, b FROM px_wide"),
     ("k7_write_results", k7, "tasks", """ SELECT task_id, CASE status WHEN 'queued' THEN 'succeeded' ELSE status END AS status, CASE WHEN task_id % 2 = 0 THEN 'png' ELSE 'webp' END AS output_format,
       coalesce(finished_at, created_at) + CASE WHEN status = 'queued' THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS finished_at FROM tasks"""),

@@ -64,13 +64,28 @@ def stream_heartbeat_sessions(beats: DataFrame, gap: str) -> DataFrame:
 
 
 def progress_upsert(log: DataFrame) -> DataFrame:
-    """Latest progress per task of a drained log: first inside each batch, then over batches."""
+    """Latest progress per task, in a table that every batch is merged into.
 
-    def newest(batch: DataFrame) -> DataFrame:
-        return batch.groupBy("task_id").agg(F.max_by(F.struct("state", "attempt", "ts", "event_id"), F.struct("ts", "event_id")).alias("r")).select("task_id", "r.*")
-
-    rows = newest(drained(log.select("task_id", "state", "attempt", "ts", "event_id")))
-    return rows.select("task_id", "state", "attempt")
+    A batch is reduced to its newest row per task and merged with the table as the batch before left it; the merged table is a version
+    under the batch's number, so a batch that is run again after a failure starts from the same table and replaces its own version.
+    """
+    spark, path = log.sparkSession, scratch(log.sparkSession, "progress")
+    columns = ["state", "attempt", "ts", "event_id"]
+    kept = log.select("task_id", *columns)
+    newest = lambda rows: rows.groupBy("task_id").agg(F.max_by(F.struct(*columns), F.struct("ts", "event_id")).alias("r")).select("task_id", "r.*")
+    schema, last = kept.schema, [-1]
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = newest(batch)
+        if number > 0:
+            rows = newest(spark.read.schema(schema).parquet(f"{path}/table/version={number - 1}").select(*schema.names).union(rows))
+        rows.write.mode("overwrite").parquet(f"{path}/table/version={number}")
+        last[0] = number
+
+    kept.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    if last[0] < 0:
+        return spark.createDataFrame([], schema).select("task_id", "state", "attempt")
+    return spark.read.schema(schema).parquet(f"{path}/table/version={last[0]}").select("task_id", "state", "attempt")
 
 
 class MovingAverage(StatefulProcessor):

@@ -96,3 +96,34 @@ def test_moving_average_over_batches_equals_batch(spark, replay):
 def test_progress_over_batches_equals_batch(spark, replay):
     got = {tuple(r) for r in s.progress_upsert(stream(spark, replay, views.task_log)).collect()}
     assert got == {(r["task_id"], r["state"], r["attempt"]) for r in t.latest_state(views.task_log(spark, DATA)).collect()}
+
+
+def test_stretches_give_what_whole_windows_give(spark, monkeypatch):
+    """A hot key, ties, nulls among times, and stretches far shorter than the key's rows."""
+    import random
+
+    from pyspark.sql import Window as W
+
+    from tesselon.operators import ordered
+
+    monkeypatch.setattr(ordered, "STRETCH", 16)
+    rng = random.Random(5)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), None if i % 40 == 0 else 3600.0 * rng.randrange(30) + rng.randrange(9), rng.randrange(100)) for i in range(900)]
+    df = spark.createDataFrame(rows, "event_id int, node_id int, s double, v int").withColumn("ts", F.timestamp_seconds("s")).withColumn("bucket", F.lit(1)).drop("s")
+    order = ["ts", "event_id"]
+    frame = W.partitionBy("node_id").orderBy(*order)
+    got = ordered.running(df, "node_id", ordered.hours(df, "ts"), order, F.col("v"), "sum")
+    assert got.exceptAll(df.withColumn("sum", F.sum("v").over(frame.rowsBetween(W.unboundedPreceding, 0)))).count() == 0 and got.count() == 900
+    got = ordered.over_last(df, "node_id", ordered.hours(df, "ts"), order, 7, F.max("v"), "most")
+    assert got.exceptAll(df.withColumn("most", F.max("v").over(frame.rowsBetween(-6, 0)))).count() == 0 and got.count() == 900
+
+
+def test_slow_averages_keep_their_past(spark):
+    from tesselon.operators.costing import ema_service_ms
+
+    log = spark.range(3000).selectExpr("'s' as signature", "timestamp_seconds(id) as ts", "id as event_id", "cast(1 + id % 7 as double) as latency_ms")
+    ema = 0.0
+    for i in range(3000):
+        v = 1.0 + i % 7
+        ema = 0.999 * ema + 0.001 * v if ema > 0 else v
+    assert abs(ema_service_ms(log, 0.001).first()["ema_ms"] - ema) < 1e-6

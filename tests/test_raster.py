@@ -123,3 +123,29 @@ def test_outputs_that_are_missing_are_skipped(spark, tmp_path):
     (tmp_path / "1.png").write_bytes(b"one")
     results = spark.createDataFrame([(1, "succeeded", f"file://{tmp_path}/1.png"), (2, "succeeded", f"{tmp_path}/2.png"), (3, "failed", f"{tmp_path}/1.png")], "task_id int, status string, output_path string")
     assert [(r["task_id"], bytes(r["content"])) for r in files.read_outputs(results, str(tmp_path)).collect()] == [(1, b"one")]
+
+
+def test_steps_that_leave_the_pixels(px):
+    same = apply_pipeline(px, [("ocr", {}), ("inference", {}), ("format_conversion", {"format": "png"})])
+    assert same.exceptAll(px.select(*same.columns)).count() == 0 and same.count() == px.count()
+
+
+def test_fill_colours():
+    from tesselon.plans.pipeline import colour
+
+    assert [colour(v) for v in (None, "", "red", "#0a0B0c", "1, 2,300", (4, 5, 6))] == [(0, 0, 0), (0, 0, 0), (255, 0, 0), (10, 11, 12), (1, 2, 255), (4, 5, 6)]
+    with pytest.raises(ValueError):
+        colour("no colour")
+
+
+def test_later_metadata_wins_and_readers_get_binary_pixels(px):
+    from tesselon.plans.pipeline import pipeline_metadata
+
+    def reader(binary):
+        return binary.groupBy("image_id").agg(F.concat(F.lit(" "), F.count_distinct("r").cast("string")).alias("text"))
+
+    told = pipeline_metadata(px, [("inference", {}), ("brightness", {"brightness": "0.1"}), ("inference", {}), ("ocr", {})], read_text=reader).collect()
+    last = {r["image_id"]: r["metadata"] for r in pipeline_metadata(apply_pipeline(px, [("brightness", {"brightness": "0.1"})]), [("inference", {})]).collect()}
+    assert told and all(r["metadata"]["classification_result"] == last[r["image_id"]]["classification_result"] for r in told)
+    assert all(r["metadata"]["extracted_text"] in ('{"text":"1"}', '{"text":"2"}') for r in told)
+    assert all(r["metadata"] == {} for r in pipeline_metadata(px, [("sepia", {})]).collect())
