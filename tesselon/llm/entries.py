@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tesselon.llm.gif import media_digest, text_media
 from tesselon.llm.html import page_texts
+from tesselon.llm.licences import EMPTY_LINE, LEAST, SENTENCES, STOP, licences, plain
 from tesselon.llm.licences import RULES as LICENCE_RULES
-from tesselon.llm.licences import SENTENCES, licences, plain
 from tesselon.llm.mixing import mixed
 from tesselon.llm.passages import BETWEEN, PASSAGE_WORDS, UNIT, UNIT_WORDS, without_repeats
 from tesselon.llm.pieces import with_pieces
@@ -98,19 +98,19 @@ QUERIES = {
 def licence_sql() -> str:
     rows = ", ".join("('{}', '{}')".format(plain(s), i) for i, s in SENTENCES.items())
     steps = ", ".join(f"({r}, '{lic}', {k}, '{s}', {len(seq)})" for r, (lic, seq) in enumerate(LICENCE_RULES) for k, s in enumerate(seq))
+    low = "trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+    lines, wrapped = "translate(t, chr(10), chr(1))", f"translate(regexp_replace(t, '{EMPTY_LINE}', chr(1), 'g'), chr(10), ' ')"
+    cut = f"list_filter(list_transform(string_split(regexp_replace(text, '{STOP}', '\\1' || chr(1), 'g'), chr(1)), lambda x: {low}), lambda x: length(x) >= {LEAST})"
     return f"""
 WITH known(norm, sentence) AS (VALUES {rows}), rules(rule, licence, step, sentence, n) AS (VALUES {steps}),
-cut AS (
-  SELECT doc_id, unnest(s) AS norm, generate_subscripts(s, 1) - 1 AS pos FROM (
-    SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;:])\\s+', '\\1' || chr(10), 'g'), '\\n'),
-      lambda x: trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s
-    FROM documents)
-),
-hits AS (SELECT DISTINCT c.doc_id, c.pos, r.rule, r.licence, r.n, c.pos - r.step AS b FROM cut c JOIN known k USING (norm) JOIN rules r ON r.sentence = k.sentence),
-full_hits AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, rule, b) AS found FROM hits) WHERE found = n),
-best AS (SELECT *, min(rule) OVER (PARTITION BY doc_id, pos) AS first FROM full_hits),
-kept AS (SELECT doc_id, licence FROM best GROUP BY doc_id, rule, licence, b HAVING bool_and(first = rule)),
-told AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(*) AS n_matches FROM kept GROUP BY doc_id)
+joined AS (SELECT doc_id, 0 AS cut, {lines} AS text FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) UNION ALL SELECT doc_id, 1 AS cut, {wrapped} AS text FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+cuts AS (SELECT doc_id, cut, unnest(s) AS norm, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, cut, {cut} AS s FROM joined)),
+hits AS (SELECT DISTINCT c.doc_id, c.cut, c.pos, r.rule, r.licence, r.n, c.pos - r.step AS b FROM cuts c JOIN known k USING (norm) JOIN rules r ON r.sentence = k.sentence),
+full_hits AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, cut, rule, b) AS found FROM hits) WHERE found = n),
+best AS (SELECT *, min(rule) OVER (PARTITION BY doc_id, cut, pos) AS first FROM full_hits),
+kept AS (SELECT doc_id, cut, rule, licence FROM best GROUP BY doc_id, cut, rule, licence, b HAVING bool_and(first = rule)),
+most AS (SELECT doc_id, licence, max(n) AS n FROM (SELECT doc_id, cut, licence, count(*) AS n FROM kept GROUP BY doc_id, cut, licence) GROUP BY doc_id, licence),
+told AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, CAST(sum(n) AS BIGINT) AS n_matches FROM most GROUP BY doc_id)
 SELECT d.doc_id, coalesce(t.licences, '') AS licences, coalesce(t.n_matches, 0) AS n_matches FROM documents d LEFT JOIN told t USING (doc_id)
 """
 

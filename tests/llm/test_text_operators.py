@@ -242,3 +242,65 @@ def test_licence_sequences(spark):
     rows = [(1, "Some text. " + full), (2, s["mit-1"]), (3, s["mit-2"] + " " + s["mit-1"]), (4, "x\nreleased   UNDER the MIT license\ny"), (5, s["apache2-short"] + "\n" + s["cc0-short"]), (6, s["gpl-1"] + " " + s["gpl-2"])]
     got = {r["doc_id"]: (r["licences"], r["n_matches"]) for r in licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("MIT", 1), 2: ("", 0), 3: ("", 0), 4: ("MIT", 1), 5: ("Apache-2.0,CC0-1.0", 2), 6: ("GPL-3.0-or-later", 1)}
+
+
+WRAPPED = {
+    "MIT": """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "Apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.""",
+    "GPL-3.0-or-later": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "BSD-2-Clause": "code\n// SPDX-License-Identifier: BSD-2-Clause\nint x;",
+}
+
+
+def test_wrapped_and_commented_licences(spark):
+    names = sorted(WRAPPED)
+    rows = [(k, f"int main()\n\n{WRAPPED[n]}\n\nint more;") for k, n in enumerate(names)] + [(100, "\n\n".join(WRAPPED[n] for n in ("MIT", "BSD-3-Clause"))), (100, "nothing"), (100, "nothing")]
+    got = sorted((r["doc_id"], r["licences"], r["n_matches"]) for r in licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([*((k, n, 1) for k, n in enumerate(names)), (100, "BSD-3-Clause,MIT", 2), (100, "", 0), (100, "", 0)])
