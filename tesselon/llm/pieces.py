@@ -1,28 +1,33 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three transducers are compiled from a model and composed with each input: the normaliser (spaces become the space
-mark, one is put in front), the pieces with their weights, and the byte fallback. The tropical shortest path through
-the composition is the encoding. For a unigram model the arcs weigh minus the log-probability. A BPE model orders
-merges instead of weighing pieces; a path is its encoding if and only if each two neighbouring pieces are what the
-merges make of the two joined. So its automaton remembers the last piece, an arc between neighbours that do not hold
-together weighs infinity, any other nothing, and exactly one path stays finite: for each prefix there is one live
-last piece.
+Three transducers are compiled from a model and composed with each input: the normaliser (rules of the model's
+character map and the treatment of spaces), the pieces with their weights, and the byte fallback, whose arcs lead a
+character without a piece of its own through its bytes. The tropical shortest path through the composition is the
+encoding. For a unigram model the arcs weigh minus the log-probability. A BPE model orders merges instead of weighing
+pieces; a path is its encoding if and only if each two neighbouring pieces are what the merges make of the two joined.
+So its automaton remembers the last piece, an arc between neighbours that do not hold together weighs infinity, any
+other nothing, and exactly one path stays finite: for each prefix there is one live last piece.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 import struct
+from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-KNOWN_WORDS, KNOWN_PAIRS, RUN = 400_000, 1_000_000, 256
-NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
-BPE = 2
-
+KNOWN_WORDS, KNOWN_PAIRS, KNOWN_LENGTH, RUN = 400_000, 1_000_000, 64, 256
+NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+UNIGRAM, BPE = 1, 2
+START, WORD, GAP = 0, 1, 2
+UNKNOWN_PENALTY = 10.0
 
 def _fields(raw: bytes):
     """Number and value of each field of a protocol buffer message."""
@@ -49,60 +54,181 @@ def _fields(raw: bytes):
             at += size
 
 
+def map_rules(blob: bytes) -> Iterator[tuple[str, str]]:
+    """Sources and targets of a character map: a double array over UTF-8 bytes, then the targets, each ended by a zero byte."""
+    size = struct.unpack_from("<I", blob)[0]
+    units, targets = np.frombuffer(blob, "<u4", size // 4, 4), blob[4 + size :]
+
+    def children(at: int) -> int:
+        unit = int(units[at])
+        return at ^ ((unit >> 10) << ((unit & 512) >> 6))
+
+    labels, ahead = np.arange(1, 256), [(children(0), b"")]
+    while ahead:
+        base, source = ahead.pop()
+        places = base ^ labels
+        places, bytes_ = places[places < len(units)], labels[places < len(units)]
+        there = (units[places] & 0x800000FF) == bytes_
+        for place, byte in zip(places[there].tolist(), bytes_[there].tolist()):
+            below, longer = children(place), source + bytes([byte])
+            if units[place] >> 8 & 1:
+                at = int(units[below]) & 0x7FFFFFFF
+                yield longer.decode(), targets[at : targets.index(0, at)].decode()
+            ahead.append((below, longer))
+
+
+class Normaliser:
+    """A transducer from characters to normalised ones.
+
+    The longest rule that fits is taken, other characters stay. Behind the rules stand three states: nothing written
+    yet, inside a word, and (where spaces are squeezed) behind a space that is written only if something follows.
+    """
+
+    def __init__(self, rules: dict[str, str], whole: list[str], prefix: bool, squeeze: bool):
+        self.rules, self.whole = self.trie(rules), self.trie({w: w for w in whole})
+        #: Characters that leave nothing at the end of a text, where spaces are squeezed.
+        self.tail = "".join({" ", MARK}.union(s for s, t in rules.items() if len(s) == 1 and not t.strip(" " + MARK))) if squeeze else ""
+        first = MARK if prefix else ""
+        self.other = {START: (WORD, first), WORD: (WORD, ""), GAP: (WORD, MARK)}
+        if squeeze:
+            self.space = {START: (START, ""), WORD: (GAP, ""), GAP: (GAP, "")}
+        else:
+            self.space = {START: (WORD, first + MARK), WORD: (WORD, MARK)}
+
+    @staticmethod
+    def trie(rules: dict[str, str]) -> dict:
+        root: dict = {}
+        for source, target in rules.items():
+            node = root
+            for c in source:
+                node = node.setdefault(c, {})
+            node[""] = target
+        return root
+
+    @staticmethod
+    def longest(root: dict, text: str, s: int) -> tuple[int, str] | None:
+        node, found = root, None
+        for e in range(s, len(text)):
+            node = node.get(text[e])
+            if node is None:
+                break
+            if "" in node:
+                found = e + 1, node[""]
+        return found
+
+    def mapped(self, text: str) -> str:
+        """``text`` behind the rules; pieces that users define stand whole and untouched."""
+        if not self.rules and not self.whole:
+            return text
+        out, s = [], 0
+        while s < len(text):
+            s, target = self.longest(self.whole, text, s) or self.longest(self.rules, text, s) or (s + 1, text[s])
+            out.append(target)
+        return "".join(out)
+
+    def run(self, text: str, state: int = START) -> tuple[str, int]:
+        """What is written for ``text`` from ``state`` on, and the state then."""
+        out = []
+        for c in self.mapped(text):
+            if c == " ":
+                state, put = self.space[state]
+                out.append(put)
+            else:
+                state, put = self.other[state]
+                out.append(put + c)
+        return "".join(out), state
+
+
+class Arc(NamedTuple):
+    """An arc of the composition with an input: the characters it reads, its weight, the ids it writes."""
+
+    piece: str
+    weight: float
+    ids: tuple[int, ...]
+
+
 class PieceTransducer:
     """A compiled model. ``encode`` and ``decode`` take and give whole texts; memory for known words is bounded."""
 
     def __init__(self, model: bytes):
-        self.texts, self.ids, self.weight, self.rank, self.bytes = [], {}, [], {}, {}
-        self.kind, prefix, squeeze, unknown = 1, True, True, 0
+        self.texts, self.ids, self.rank, self.bytes = [], {}, {}, {}
+        self.kind, self.prefix, squeeze, self.unknown, blob, user = UNIGRAM, True, True, 0, b"", []
         for number, value in _fields(model):
             if number == 1:
-                piece, score, kind = "", 0.0, NORMAL
-                for n, v in _fields(value):
-                    if n == 1:
-                        piece = v.decode()
-                    elif n == 2:
-                        score = struct.unpack("<f", v)[0]
-                    elif n == 3:
-                        kind = v
-                i = len(self.texts)
-                self.texts.append(piece)
-                self.weight.append(-score)
-                if kind in (NORMAL, USER):
-                    self.ids[piece] = i
-                    self.rank[piece] = -score if kind == NORMAL else -math.inf
-                elif kind == BYTE:
-                    self.bytes[int(piece[1:-1], 16)] = i
-                elif kind == UNKNOWN:
-                    unknown = i
-                if kind in (CONTROL, UNKNOWN):
-                    self.texts[i] = "" if kind == CONTROL else " ⁇ "
+                self.add(value, user)
             elif number == 2:
-                self.kind = dict(_fields(value)).get(3, 1)
+                spec = dict(_fields(value))
+                self.kind = spec.get(3, UNIGRAM)
+                if self.kind not in (UNIGRAM, BPE) or spec.get(24):
+                    raise ValueError("only unigram and BPE models with space marks in front are supported")
             elif number == 3:
                 spec = dict(_fields(value))
-                prefix, squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
-                if spec.get(2):
-                    raise ValueError("models with a character map for normalisation are not supported")
-        self.prefix, self.squeeze, self.unknown = prefix, squeeze, unknown
-        self.by_byte = [self.bytes.get(b, unknown) for b in range(256)]
+                self.prefix, squeeze, blob = bool(spec.get(3, 1)), bool(spec.get(4, 1)), spec.get(2, b"")
+                if not spec.get(5, 1):
+                    raise ValueError("models without space marks are not supported")
+        self.by_byte = [self.bytes.get(b, self.unknown) for b in range(256)]
         self.value_of = {i: b for b, i in self.bytes.items()}
-        self.longest = max(map(len, self.ids), default=1)
-        self.unknown_cost = max((w for p, w in ((p, self.weight[i]) for p, i in self.ids.items())), default=0.0) + 10.0
-        self.alone = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.lines = not any("\n" in p for p in self.ids)
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        rules = dict(map_rules(blob)) if blob else {}
+        self.normaliser = Normaliser(rules, user, self.prefix, squeeze)
+        self.pieces = self.compiled(user)
+        self.frozen = re.compile("|".join(map(re.escape, sorted(user, key=len, reverse=True)))) if user and self.kind == BPE else None
         self.joints = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.words, self.older, self.pairs = {}, {}, {}
+        self.cut = self.cuts(rules, user)
+        self.words, self.older, self.parts, self.pairs = ({}, {}, {}), ({}, {}, {}), {}, {}
+
+    def add(self, raw: bytes, user: list[str]) -> None:
+        piece, score, kind = "", 0.0, NORMAL
+        for number, value in _fields(raw):
+            if number == 1:
+                piece = value.decode()
+            elif number == 2:
+                score = struct.unpack("<f", value)[0]
+            elif number == 3:
+                kind = value
+        i = len(self.texts)
+        self.texts.append({CONTROL: "", UNKNOWN: " ⁇ "}.get(kind, piece))
+        if kind in (NORMAL, USER):
+            self.ids[piece], self.rank[piece] = i, -score
+        if kind == USER:
+            user.append(piece)
+        elif kind == BYTE:
+            self.bytes[int(piece[1:-1], 16)] = i
+        elif kind == UNKNOWN:
+            self.unknown = i
 
-    def normalise(self, text: str) -> str:
-        """The normaliser's output for ``text``."""
-        text = text.replace(MARK, " ")
-        if self.squeeze:
-            text = " ".join(w for w in text.split(" ") if w)
-        if text and self.prefix:
-            text = " " + text
-        return text.replace(" ", MARK)
+    def compiled(self, user: list[str]) -> dict:
+        """The transducer of the pieces: a trie whose nodes hold their arc back to the root under the empty string."""
+        chosen = set(user)
+        costs = [w for p, w in self.rank.items() if p not in chosen]
+        best, self.unknown_cost = min(costs, default=0.0), max(costs, default=0.0) + UNKNOWN_PENALTY
+        root: dict = {}
+        for piece, i in self.ids.items():
+            node = root
+            for c in piece:
+                node = node.setdefault(c, {})
+            weight = len(piece.encode()) * best + 0.1 if piece in chosen else self.rank[piece]
+            node[""] = Arc(piece, weight, (i,))
+        return root
+
+    def fallback(self, character: str) -> Arc:
+        """The way of a character without a piece through its bytes, as one arc: the first byte carries the weight."""
+        return Arc(character, self.unknown_cost, tuple(self.by_byte[b] for b in character.encode("utf-8", "surrogatepass")))
+
+    def cuts(self, rules: dict[str, str], user: list[str]) -> re.Pattern | None:
+        """Stretches between places where the composition is in a single state: before spaces, around line breaks.
+
+        No piece may hold a space mark behind another character or, for line breaks, one of those, and no rule may
+        reach over such a place; else texts stay whole.
+        """
+        blank = {" ", MARK}.union(*(set(s) for s, t in rules.items() if " " in t or MARK in t))
+        line = "" if "\n" in blank or any("\n" in s for s in [*rules, *self.ids]) else "\n"
+        sources = [*rules, *user]
+        across = any(b in blank and a not in blank for s in sources for a, b in zip(s, s[1:]))
+        if across or any(MARK in p.lstrip(MARK) for p in self.ids) or any(" " in p for p in user):
+            return None
+        inside = "".join(map(re.escape, sorted(blank)))
+        ends = inside + (re.escape(line) if line else "")
+        return re.compile((f"{re.escape(line)}|" if line else "") + f"[{inside}]+[^{ends}]*|[^{ends}]+")
 
     def hold_together(self, a: str, b: str) -> bool:
         """Whether the merges leave ``a`` and ``b`` as two pieces when the two stand side by side (``a`` empty: ``b`` as one)."""
@@ -125,127 +251,121 @@ class PieceTransducer:
             self.pairs[key] = known
         return known
 
+    def arcs(self, chunk: str, s: int) -> list[Arc]:
+        """The arcs that read ``chunk`` from ``s`` on, shortest first; a character that is no piece goes through its bytes."""
+        node, found = self.pieces, []
+        for e in range(s, len(chunk)):
+            node = node.get(chunk[e])
+            if node is None:
+                break
+            arc = node.get("")
+            if arc is not None:
+                found.append(arc)
+        if not found or len(found[0].piece) > 1:
+            found.insert(0, self.fallback(chunk[s]))
+        return found
+
     def path(self, chunk: str) -> tuple[int, ...]:
-        """Piece ids of the shortest path through the composition with ``chunk``, an already normalised stretch."""
-        pieces = self.bpe_path(chunk) if self.kind == BPE else self.unigram_path(chunk)
-        ids, found = self.ids, []
-        for piece in pieces:
-            i = ids.get(piece)
-            if i is not None:
-                found.append(i)
-            else:
-                found.extend(self.by_byte[b] for b in piece.encode("utf-8", "surrogatepass"))
-        return tuple(found)
+        """Ids written on the shortest path through the composition with ``chunk``, an already normalised stretch."""
+        steps = self.bpe_path(chunk) if self.kind == BPE else self.unigram_path(chunk)
+        return tuple(i for arc in steps for i in arc.ids)
 
-    def unigram_path(self, chunk: str) -> list[str]:
-        n, ids = len(chunk), self.ids
-        cost, last = [0.0] + [math.inf] * n, [""] * (n + 1)
+    def unigram_path(self, chunk: str) -> list[Arc]:
+        n = len(chunk)
+        cost, last = [0.0] + [math.inf] * n, [None] * (n + 1)
         for s in range(n):
-            for piece in self.arcs(chunk, s):
-                i = ids.get(piece)
-                c = cost[s] + (self.weight[i] if i is not None else self.unknown_cost)
-                if c < cost[s + len(piece)]:
-                    cost[s + len(piece)], last[s + len(piece)] = c, piece
+            for arc in self.arcs(chunk, s):
+                e = s + len(arc.piece)
+                if cost[s] + arc.weight < cost[e]:
+                    cost[e], last[e] = cost[s] + arc.weight, arc
         out = []
         while n:
             out.append(last[n])
-            n -= len(last[n])
+            n -= len(last[n].piece)
         return out[::-1]
 
-    def arcs(self, chunk: str, s: int) -> list[str]:
-        """The pieces that start at ``s``, shortest first; a character that is no piece is an arc of the byte fallback."""
-        ids, starts = self.ids, self.starts
-        found = [chunk[s]]
-        for e in range(s + 2, min(len(chunk), s + self.longest) + 1):
-            piece = chunk[s:e]
-            if piece not in starts:
-                break
-            if piece in ids:
-                found.append(piece)
-        return found
-
-    def bpe_path(self, chunk: str) -> list[str]:
+    def bpe_path(self, chunk: str) -> list[Arc]:
         """Depth first from the longest arc: all finite arcs weigh nothing, so the first path through is the shortest."""
         n, pairs, holds = len(chunk), self.pairs, self.hold_together
-        path, ahead, at, dead = [], [self.arcs(chunk, 0)], 0, set()
+        path, ahead, at, dead, before = [], [self.arcs(chunk, 0)] if chunk else [], 0, set(), ""
         while at < n:
             arcs = ahead[-1]
             if not arcs:
                 ahead.pop()
-                piece = path.pop()
+                piece = path.pop().piece
                 dead.add((at, piece))
                 at -= len(piece)
+                before = path[-1].piece if path else ""
                 continue
-            piece = arcs.pop()
-            before = path[-1] if path else ""
+            arc = arcs.pop()
+            piece = arc.piece
             fits = pairs.get((before, piece))
             if fits is None:
                 fits = holds(before, piece)
             if fits and (at + len(piece), piece) not in dead:
-                path.append(piece)
+                path.append(arc)
+                before = piece
                 at += len(piece)
                 if at < n:
                     ahead.append(self.arcs(chunk, at))
         return path
 
-    def stretches(self, word: str) -> list[str]:
-        """``word`` cut where no piece holds both neighbours: the lattice is a single state there."""
-        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.joints]
-        return [word[s:e] for s, e in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+    def part(self, chunk: str) -> tuple[int, ...]:
+        found = self.parts.get(chunk)
+        if found is None:
+            found = self.path(chunk)
+            if len(self.parts) >= KNOWN_WORDS:
+                self.parts.clear()
+            if len(chunk) <= KNOWN_LENGTH:
+                self.parts[chunk] = found
+        return found
+
+    def shortest(self, chunk: str) -> tuple[int, ...]:
+        """``path`` of a normalised stretch, cut where no piece holds both neighbours: the composition is in a single state there."""
+        if self.frozen is not None:
+            found, at = [], 0
+            for m in self.frozen.finditer(chunk):
+                found += self.path(chunk[at : m.start()])
+                found.append(self.ids[m.group()])
+                at = m.end()
+            return tuple(found) + self.path(chunk[at:])
+        joints = self.joints
+        cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in joints]
+        if not cuts:
+            return self.path(chunk)
+        return tuple(i for s, e in zip([0, *cuts], [*cuts, len(chunk)]) for i in self.part(chunk[s:e]))
 
-    def solved(self, word: str) -> tuple[int, ...]:
-        """Ids of a word not at hand. Known words live in two generations; the older one goes when the newer is full."""
-        found = self.older.get(word)
+    def solved(self, stretch: str, state: int) -> tuple[tuple[int, ...], int]:
+        """Ids of a stretch not at hand and the normaliser's state behind it. Known ones live in two generations; the older goes when the newer is full."""
+        found = self.older[state].get(stretch)
         if found is None:
-            parts = self.stretches(word)
-            if len(parts) == 1:
-                found = self.path(word)
-            else:
-                found = ()
-                for part in parts:
-                    ids = self.words.get(part)
-                    found += self.solved(part) if ids is None else ids
-        if len(self.words) >= KNOWN_WORDS:
-            self.older = dict(self.words)
-            self.words.clear()
-        self.words[word] = found
+            written, then = self.normaliser.run(stretch, state)
+            found = self.shortest(written), then
+        if sum(map(len, self.words)) >= KNOWN_WORDS:
+            for older, newer in zip(self.older, self.words):
+                older.clear()
+                older.update(newer)
+                newer.clear()
+        if len(stretch) <= KNOWN_LENGTH:
+            self.words[state][stretch] = found
         return found
 
     def encode(self, text: str | None) -> list[int]:
-        """Piece ids of a whole text. No piece spans a space mark inside or a line break, so both cut the lattice at a
-        single state; the stretches between are solved once and kept while they fit."""
+        """Piece ids of a whole text. Stretches between places where the composition is in a single state are solved
+        once and kept while they fit. Without byte fallback a run of unknown characters is written once."""
+        if text and self.normaliser.tail:
+            text = text.rstrip(self.normaliser.tail)
         if not text:
             return []
-        line = self.normalise(text)
-        if not (self.alone and self.lines):
-            return list(self.path(line))
-        out, words, newline = [], self.words, self.by_byte[10]
-        first = True
-        for part in line.split("\n"):
-            if not first:
-                out.append(newline)
-            first = False
-            if not part:
-                continue
-            at = part.split(MARK)
-            held = ""
-            if at[0]:
-                found = words.get(at[0])
-                if found is None:
-                    found = self.solved(at[0])
-                out += found
-            for word in at[1:]:
-                if not word:  # space marks in a row belong together with what follows
-                    held += MARK
-                    continue
-                word = held + MARK + word if held else MARK + word
-                held = ""
-                found = words.get(word)
-                if found is None:
-                    found = self.solved(word)
-                out += found
-            if held:
-                out += self.path(held)
+        out, words, state = [], self.words, START
+        for stretch in self.cut.findall(text) if self.cut else [text]:
+            found = words[state].get(stretch)
+            if found is None:
+                found = self.solved(stretch, state)
+            ids, state = found
+            out += ids
+        if not self.bytes:
+            out = [i for k, i in enumerate(out) if i != self.unknown or not k or out[k - 1] != i]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -282,7 +402,7 @@ def with_pieces(docs: DataFrame, model_file: str, keep: list[str] | None = None)
     """Columns ``keep`` (``doc_id``) of ``docs(text, ...)`` with ``token_ids``, ``n_tokens``, ``decoded_sha256`` and ``round_trip``.
 
     ``round_trip`` tells whether decoding gives the text back (a space mark in the text comes back as a space; models
-    that squeeze spaces give back squeezed ones). Null and empty texts have no pieces. Repeated rows get equal
+    that squeeze spaces or map characters give back the normalised text). Null and empty texts have no pieces. Repeated rows get equal
     results, extra columns are ignored, an empty table gives an empty result. ``model_file`` is read on the driver;
     its bytes, a fixed size, are broadcast.
     """

@@ -1,6 +1,7 @@
 """Pieces, quality, mixing, secrets, passages, licences against libraries, held-out rows and brute force."""
 
 import re
+import struct
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesselon.llm import licences, mixing, quality, secrets
 from tesselon.llm.entries import PIECES, op4_mixing, op9_quality_classifier
-from tesselon.llm.pieces import PieceTransducer, with_pieces
+from tesselon.llm.pieces import Normaliser, PieceTransducer, with_pieces
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,23 +44,55 @@ def test_pieces_are_the_only_path_that_holds_together(coder):
 
     for word in ("▁hello", "▁ration", "▁thing", "banana", "▁▁▁x", "ß★"):
         fit = [w for w in ways(word) if all(coder.hold_together(a, b) for a, b in zip(["", *w], w))]
-        assert fit == [coder.bpe_path(word)]
+        assert fit == [[arc.piece for arc in coder.bpe_path(word)]]
 
 
-def test_unigram_model_takes_the_cheapest_path():
-    def field(n, kind, raw):
-        return bytes([n << 3 | kind]) + (bytes([len(raw)]) + raw if kind == 2 else raw)
+def field(n, kind, raw):
+    size, lead = len(raw), b""
+    while size > 127:
+        lead, size = lead + bytes([size & 127 | 128]), size >> 7
+    return bytes([n << 3 | kind]) + (lead + bytes([size]) + raw if kind == 2 else raw)
+
+
+def piece(text, score, kind=1):
+    return field(1, 2, field(1, 2, text.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind])))
+
 
-    def piece(text, score, kind=1):
-        import struct
+def model_of(pieces, kind, normaliser):
+    """A model of the given pieces behind unknown and control pieces."""
+    return piece("<unk>", 0.0, 2) + piece("<s>", 0.0, 3) + b"".join(pieces) + field(2, 2, field(3, 0, bytes([kind]))) + normaliser
 
-        return field(1, 2, field(1, 2, text.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind])))
 
-    model = piece("<unk>", 0.0, 2) + piece("▁a", -1.0) + piece("b", -1.0) + piece("▁ab", -2.5) + piece("bc", -0.2) + piece("▁", -3.0) + field(2, 2, field(3, 0, b"\x01")) + field(3, 2, field(4, 0, b"\x00"))
-    t = PieceTransducer(model)
-    assert t.encode("abc") == [1, 4]
-    assert t.encode("ab") == [1, 2]
-    assert t.encode("az") == [1, 0]
+PLAIN = field(3, 2, field(3, 0, b"\x01") + field(4, 0, b"\x00"))
+SQUEEZED = field(3, 2, field(3, 0, b"\x01") + field(4, 0, b"\x01"))
+BYTES = [piece(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+UNITS = [("▁", -2.1), ("▁a", -3.2), ("a", -3.7), ("b", -4.1), ("ab", -5.3), ("▁ab", -6.9), ("bc", -5.9), ("c", -4.4), ("▁the", -3.3), ("the", -5.1), ("1", -4.7), ("fi", -5.6), ("f", -6.1), ("i", -4.9), ("é", -7.3), ("カ", -8.3), ("ガ", -7.9), ("...", -6.6), (".", -4.2), ("▁▁", -4.0)]
+ODD_TEXTS = ["", " ", "   ", "abc", " the  abc ", "ﬁabc① the…", "the\u3000\u00a0abc\tc", "a\r\nb\n\nc ", "e\u0301a", "\u30ab\u3099b ｶﾞ", "\u00a8a \u00a8", "zz★ the zé★★", "a▁b ▁c▁", "\u200ba\u00adb\x01c", "ab" * 40, "１２ ab", "日本語 ab", "<s> ab"]
+
+
+def test_unigram_model_takes_the_cheapest_path():
+    t = PieceTransducer(model_of([piece(p, s) for p, s in (("▁a", -1.0), ("b", -1.0), ("▁ab", -2.5), ("bc", -0.2), ("▁", -3.0))], 1, PLAIN))
+    assert t.encode("abc") == [2, 5]
+    assert t.encode("ab") == [2, 3]
+    assert t.encode("az") == [2, 0]
+
+
+@pytest.mark.parametrize("rules", [None, "nfkc", "nmt_nfkc", "nfkc_cf"])
+@pytest.mark.parametrize("with_bytes", [True, False])
+def test_normaliser_and_pieces_equal_the_library(rules, with_bytes):
+    """Unigram models with and without a character map and byte fallback: composed paths equal the library's encodings."""
+    normaliser = sentencepiece.SentencePieceNormalizer(rule_name=rules).serialized_model_proto() if rules else SQUEEZED
+    extra = [piece("[X]", 0.0, 4)] + (BYTES if with_bytes else [])
+    kind = field(2, 2, field(3, 0, b"\x01") + (bytes([35 << 3 & 127 | 128, 35 >> 4]) + b"\x01" if with_bytes else b""))
+    model = piece("<unk>", 0.0, 2) + piece("<s>", 0.0, 3) + b"".join([piece(p, s) for p, s in UNITS] + extra) + kind + normaliser
+    lib, own = sentencepiece.SentencePieceProcessor(model_proto=model), PieceTransducer(model)
+    for text in [*ODD_TEXTS, "the[X]abc [X] a[X"]:
+        assert own.encode(text) == lib.encode(text), repr(text)
+
+
+def test_a_rule_over_a_space_keeps_the_text_whole():
+    own = Normaliser({"a b": "c", "ab": "d", "\t": " "}, ["abx"], True, True)
+    assert own.run("xa babab\t \tabx ") == ("▁xcdd▁abx", 2)  # the longest rule; spaces squeezed, the last one owed
 
 
 def test_round_trip(spark):
