@@ -13,6 +13,9 @@ from tesselon.llm.licences import EMPTY_LINE, LEAST, SENTENCES, STOP, licences,
 from tesselon.llm.licences import RULES as LICENCE_RULES
 from tesselon.llm.mixing import mixed
 from tesselon.llm.passages import BETWEEN, PASSAGE_WORDS, UNIT, UNIT_WORDS, without_repeats
+from tesselon.llm.periodic import periodic, run_digest, with_repeats
+from tesselon.llm.phrases import LEAST as LEAST_COUNT
+from tesselon.llm.phrases import NO_LANG, SHARE, TOP, best_collocations
 from tesselon.llm.pieces import with_pieces
 from tesselon.llm.quality import quality
 from tesselon.llm.secrets import RULES, secret_report
@@ -79,6 +82,14 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(periodic(with_repeats(read(spark, sf_dir, "documents"))))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,9 +103,12 @@ QUERIES = {
         op8_licence_scans,
         op9_quality_classifier,
         op10_html_extraction,
+        op12_periodic_runs,
+        op13_phrase_collocations,
     )
 }
 
+
 def licence_sql() -> str:
     rows = ", ".join("('{}', '{}')".format(plain(s), i) for i, s in SENTENCES.items())
     steps = ", ".join(f"({r}, '{lic}', {k}, '{s}', {len(seq)})" for r, (lic, seq) in enumerate(LICENCE_RULES) for k, s in enumerate(seq))
@@ -171,7 +185,30 @@ FROM t LEFT JOIN d USING (doc_id)
 """
 
 
+def collocation_sql() -> str:
+    return f"""
+WITH pieces AS (
+  SELECT coalesce(lang, '{NO_LANG}') AS lang, doc_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), cut AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, unnest(w) AS phrase, 1 AS size FROM cut
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM cut WHERE len(w) > 1
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 3 FROM cut WHERE len(w) > 2),
+f AS (SELECT lang, phrase, any_value(size) AS size, count(*) AS n FROM grams GROUP BY lang, phrase),
+total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, size, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= {LEAST_COUNT}),
+parts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+scored AS (SELECT p.lang, p.phrase, p.a, p.k, h.n AS l, t.n AS r, CAST(1000000 * CAST(p.a AS HUGEINT) * p.a // (CAST(h.n AS HUGEINT) * t.n) AS BIGINT) AS score
+  FROM parts p JOIN f h ON h.lang = p.lang AND h.phrase = p.head JOIN f t ON t.lang = p.lang AND t.phrase = p.tail),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE size = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE size = 3) GROUP BY lang, phrase),
+kept AS (SELECT s.* FROM lowest s LEFT JOIN around o ON o.lang = s.lang AND o.phrase = s.phrase WHERE o.longer IS NULL OR 100 * o.longer < {SHARE} * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN total t ON t.lang = r.lang WHERE r.rank <= {TOP}
+"""
+
+
 ORACLE_SQL = {
+    "op13_phrase_collocations": collocation_sql(),
     "op3_substring_dedup": passage_sql(),
     "op7_secret_scans": secret_sql(),
     "op8_licence_scans": licence_sql(),
