@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesselon.llm.forest import nearest
 from tesselon.llm.gif import media_digest, text_media
 from tesselon.llm.html import page_texts
 from tesselon.llm.licences import EMPTY_LINE, LEAST, SENTENCES, STOP, licences, plain
@@ -82,6 +83,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(periodic(with_repeats(read(spark, sf_dir, "documents"))))
 
@@ -103,6 +108,7 @@ QUERIES = {
         op8_licence_scans,
         op9_quality_classifier,
         op10_html_extraction,
+        op11_nearest_vectors,
         op12_periodic_runs,
         op13_phrase_collocations,
     )
