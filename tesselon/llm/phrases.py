@@ -4,25 +4,26 @@ A pointer stands for the words from one place of a piece on. The quicksort parts
 and greater ones and goes one word deeper into the equal ones; the sizes of equal partitions are the counts of phrases. It goes down to
 the longest phrase and no deeper.
 
-It runs twice: over stretches of each task's texts, which adds up what repeats there, and over the phrases that come together in
-one bucket, dealt out by all of their leading words. Only there counts are whole, so only there partitions are
-abandoned for being too small. A phrase comes to its bucket once from each stretch at most, however common it is.
+Texts are cut into stretches of words. Words are counted over all stretches first, since what stands behind a word that is
+too rare is abandoned without a look at it: such words end pieces as marks do. The quicksort then runs twice: over each stretch, which adds
+up what repeats there, and over the phrases that come together in one bucket, dealt out by all of their words. Only there
+the counts of phrases are whole, so only there partitions are abandoned for being too small. A phrase comes to its bucket once from each
+stretch at most, however common it is.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselon.llm.shared import stored, whole_groups
 
 LEAST, WORDS, SHARE, TOP, NO_LANG = 10, 3, 50, 2000, "und"
-#: Words that are sorted together in one stretch, and bytes of text for which there is one bucket.
-STRETCH, BUCKET_BYTES = 1_000_000, 8_000_000
+#: Bytes of text of one stretch (a longer text is one stretch for itself), and for which there is one bucket.
+STRETCH_BYTES, BUCKET_BYTES = 3_000_000, 16_000_000
 END = -1
 _BREAK = b"\xff"  # never a byte of UTF-8 text
 #: A-Z to a-z, marks and line ends that part pieces to _BREAK, tabs to spaces.
@@ -87,15 +88,9 @@ def three_way(flat: np.ndarray, at: np.ndarray, weight: np.ndarray, deepest: int
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The hashes ``before`` of what leads, each with one more word's."""
-    out = (before ^ word) * np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(29))
-
-
-def _buckets(lang: pa.Array, texts: list[bytes | None], words: int, buckets: int):
-    """Counts of one stretch's phrases, packed by bucket."""
-    langs = lang.dictionary_encode()
+def _stretch(number: int, lang: list[str], texts: list[bytes | None]):
+    """One row with the stretch's words as numbers, and one row for each of its words."""
+    langs = pa.array(lang, pa.string()).dictionary_encode()
     tokens: list[bytes] = []
     sizes = np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
@@ -106,125 +101,177 @@ def _buckets(lang: pa.Array, texts: list[bytes | None], words: int, buckets: int
     coded = pa.array(tokens, pa.large_binary()).dictionary_encode()
     del tokens
     vocabulary, plain = coded.dictionary, coded.indices.to_numpy()
-    hashes = np.array([zlib.crc32(w) | zlib.adler32(w) << 32 for w in vocabulary.to_pylist()], np.uint64)
     stop, n_langs = pa.compute.index(vocabulary, pa.scalar(_BREAK, pa.large_binary())).as_py(), len(langs.dictionary)
-    plain = np.concatenate([np.where(plain == stop, END, plain), np.full(words, END, np.int32)])
-    of = np.concatenate([np.repeat(langs.indices.to_numpy(), sizes), np.zeros(words, np.int32)])
     # Words of unlike languages are unlike, so that a phrase's first word also tells its language.
-    flat = np.where(plain == END, END, plain.astype(np.int64) * n_langs + of)
-    if flat.max(initial=0) < 1 << 31:
-        flat = flat.astype(np.int32)
-    places = np.flatnonzero(plain != END)
-    totals = np.bincount(of[places], minlength=n_langs)
-    # A phrase's bucket follows from its language and all of its words; hashed[d] has that of the d words from each place on.
-    hashed = [np.array([zlib.crc32(x.encode()) for x in langs.dictionary.to_pylist()], np.uint64)[of]]
-    for k in range(words):
-        hashed.append(_mixed(hashed[-1][: len(plain) - words], hashes[plain[k : len(plain) - words + k]]))
-    bucket_of = [(h % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64) for h in hashed]
-    del hashed
-    for since in range(0, len(places), STRETCH):
-        own_places = places[since : since + STRETCH]
-        at, deep, n = three_way(flat, own_places, np.ones(len(own_places), np.int64), words)
-        whole = plain[at + deep - 1] != END
-        at, deep, n = at[whole], deep[whole], n[whole]
-        if not since:  # the phrase of no word at all counts all words of its language
-            some = np.flatnonzero(totals)
-            at, deep, n = np.concatenate([at, [places[of[places] == x][0] for x in some]]), np.concatenate([deep, some * 0]), np.concatenate([n, totals[some]])
-        bucket = bucket_of[0][at]
-        for k in range(1, words + 1):
-            mine = deep == k
-            bucket[mine] = bucket_of[k][at[mine]]
-        order = np.argsort(bucket, kind="stable")
-        bucket, at, deep, n = bucket[order], at[order], deep[order], n[order]
-        phrases = np.stack([np.where(deep > k, plain[at + k], END) for k in range(words)])
-        own = of[at]
-        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-        named, number = np.zeros(len(vocabulary) + 1, bool), np.full(len(vocabulary) + 1, END)
-        for b, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            mine = phrases[:, b:e]
-            named[mine] = True
-            named[END] = False
-            used = np.flatnonzero(named)
-            named[used] = False
-            number[used] = np.arange(len(used))
-            inside = number[mine].astype(np.int16 if len(used) < 1 << 15 else np.int32)  # END is the last one's number
-            # Packed as one row, so that Spark moves a few large rows instead of one for each phrase.
-            yield int(bucket[b]), langs.dictionary, vocabulary.take(pa.array(used)), inside, own[b:e], n[b:e]
-
-
-def _packed(rows) -> pa.RecordBatch:
-    """One row for each bucket: its languages and words, and its phrases as numbers of those."""
-    bucket, *lists, phrases, own, n = zip(*rows)
-    lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.concat_arrays(x).cast(k)) for x, k in zip(lists, (pa.string(), pa.binary()))]
-    return pa.record_batch([pa.array(bucket, pa.int32()), *lists, *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (phrases, own, n))], names=["bucket", "langs", "words", "phrases", "own", "n"])
-
+    both = np.where(plain == stop, END, plain.astype(np.int64) * n_langs + np.repeat(langs.indices.to_numpy(), sizes))
+    times = np.bincount(both[both != END], minlength=1)
+    used = np.flatnonzero(times)
+    number_of = np.full(len(times) + 1, END, np.int32)
+    # The commonest words get the smallest numbers, which pack best.
+    used = used[np.argsort(-times[used], kind="stable")]
+    number_of[used] = np.arange(len(used))
+    flat = number_of[both]  # END is the last one's number
+    none = lambda n, kind: pa.nulls(n, kind)
+    kinds = {"stretch": pa.int64(), "flat": pa.binary(), "local": pa.int32(), "lang": pa.string(), "word": pa.binary(), "n": pa.int64()}
+    columns = [pa.array([number], pa.int64()), pa.array([flat.tobytes()], pa.binary()), *(none(1, k) for k in list(kinds.values())[2:])]
+    yield pa.record_batch(columns, names=list(kinds))
+    for b in range(0, len(used), 10_000):
+        mine = used[b : b + 10_000]
+        columns = [np.full(len(mine), number), none(len(mine), pa.binary()), np.arange(b, b + len(mine), dtype=np.int32), langs.dictionary.take(pa.array(mine % n_langs)), vocabulary.take(pa.array(mine // n_langs)).cast(pa.binary()), times[mine]]
+        yield pa.record_batch([pa.array(c, k) if isinstance(c, np.ndarray) else c for c, k in zip(columns, kinds.values())], names=list(kinds))
 
-def phrase_counts(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
-    """``(lang, phrase, size, n)``: how often each phrase of 1 to ``words`` words stands in a language, if ``least`` times or more.
 
-    The phrase of size 0 counts all words. Null languages are one, NO_LANG. Texts are looked at whole.
-    """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, int(size) // BUCKET_BYTES)
+def stretches(docs: DataFrame) -> DataFrame:
+    """The texts of ``docs(lang, text)`` as stretches: rows ``(stretch, flat)`` with numbers of words, and rows ``(stretch, local, lang, word, n)`` that say which words those are."""
 
-    def counted(batches):
-        lang, texts, n = [], [], 0
+    def cut(batches):
+        lang, texts, n, number = [], [], 0, TaskContext.get().partitionId() << 33
         for batch in batches:
-            for k, (own, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 lang.append(own)
                 texts.append(text.as_py())
                 n += len(texts[-1] or b"")
-                if n >= 6 * STRETCH:
-                    yield from map(_packed, _some(_buckets(pa.array(lang, pa.string()), texts, words, buckets)))
-                    lang, texts, n = [], [], 0
+                if n >= STRETCH_BYTES:
+                    yield from _stretch(number, lang, texts)
+                    lang, texts, n, number = [], [], 0, number + 1
         if texts:
-            yield from map(_packed, _some(_buckets(pa.array(lang, pa.string()), texts, words, buckets)))
+            yield from _stretch(number, lang, texts)
+
+    rows = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.col("text").cast("binary").alias("text"))
+    return stored(rows.mapInArrow(cut, "stretch bigint, flat binary, local int, lang string, word binary, n bigint"), "stretches")
+
+
+def _packed(ids: np.ndarray, n: np.ndarray, bucket: np.ndarray):
+    """Rows of bucket, phrases and counts, one for each bucket: Spark moves a few large rows instead of one for each phrase.
+
+    ``ids`` has a column for each phrase, END where it is shorter. First words are in order and kept as differences, which pack well.
+    """
+    order = np.lexsort((*ids[::-1], bucket))
+    ids, n, bucket = ids[:, order], n[order], bucket[order]
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(n) else np.zeros(1, np.int64)
+    for b, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        mine = ids[:, b:e].copy()
+        mine[0] = np.diff(mine[0], prepend=0)
+        small = np.int32 if max(mine.max(), n[b:e].max()) < 1 << 31 else np.int64
+        columns = ([int(bucket[b])], [mine.astype(small).tobytes()], [n[b:e].astype(small).tobytes()], [e - b])
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.int64()))], names=["bucket", "ids", "n", "size"])
+
+
+def _unpacked(ids: bytes, n: bytes, size: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    small = np.int32 if len(n) == 4 * size else np.int64
+    found = np.frombuffer(ids, small).reshape(words, size).astype(np.int64)
+    found[0] = np.cumsum(found[0])
+    return found, np.frombuffer(n, small).astype(np.int64)
+
+
+def long_phrases(cut: DataFrame, known: DataFrame, words: int, least: int, buckets: int) -> DataFrame:
+    """``(w, n)``: the phrases of 2 to ``words`` words, as ids, that stand ``least`` times, from `stretches` and ids ``known(stretch, local, id)``."""
+
+    def counted(batches):
+        for table in whole_groups(batches, "stretch"):
+            stretch = table.column("stretch").to_numpy()
+            edge = np.flatnonzero(np.r_[True, stretch[1:] != stretch[:-1], True])
+            for b, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                mine = table.slice(b, e - b)
+                (flat,) = (np.frombuffer(x, np.int32) for x in mine.column("flat").drop_null().to_pylist())
+                local, ids = (mine.column(c).drop_null().to_numpy() for c in ("local", "id"))
+                if len(ids):
+                    yield from parted(flat, local, ids)
+
+    def parted(flat, local, ids):
+        """The phrases of one stretch, packed by bucket."""
+        id_of = np.full(max(int(flat.max(initial=0)), int(local.max(initial=0))) + 2, END, np.int64)
+        id_of[local] = ids
+        flat = np.concatenate([id_of[flat], np.full(words, END)])
+        # Dense numbers take less room; their order is that of the ids.
+        dense = np.unique(ids)
+        keys = np.where(flat == END, END, np.searchsorted(dense, flat)).astype(np.int32)
+        at, deep, n = three_way(keys, np.flatnonzero(keys != END), np.ones(int((keys != END).sum()), np.int64), words)
+        whole = (deep > 1) & (keys[at + deep - 1] != END)
+        at, deep, n = at[whole], deep[whole], n[whole]
+        phrases = np.stack([np.where(deep > k, flat[at + k], END) for k in range(words)])
+        yield from _packed(phrases, n, _bucket(phrases, buckets))
 
     def merged(batches):
         for table in whole_groups(batches, "bucket"):
-            langs, vocabulary = (table.column(c).combine_chunks() for c in ("langs", "words"))
-            every, known = langs.flatten().dictionary_encode(), vocabulary.flatten().dictionary_encode()
-            lang_at, word_at = langs.offsets.to_numpy(), vocabulary.offsets.to_numpy()
-            lang_codes, word_codes = every.indices.to_numpy(), known.indices.to_numpy()
-            rows, weights = [], []
-            for k, (phrases, own, n) in enumerate(zip(*(table.column(c).to_pylist() for c in ("phrases", "own", "n")))):
-                n = np.frombuffer(n, np.int64)
-                inside = np.frombuffer(phrases, np.int16 if len(phrases) == 2 * words * len(n) else np.int32).reshape(words, -1).T
-                made = np.full((len(inside), words + 2), END, np.int32)
-                made[:, 0] = lang_codes[lang_at[k] : lang_at[k + 1]][np.frombuffer(own, np.int32)]
-                mine = word_codes[word_at[k] : word_at[k + 1]]
-                made[:, 1:-1] = np.where(inside == END, END, mine[np.maximum(inside, 0)] if len(mine) else END)
-                rows.append(made)
-                weights.append(n)
-            flat = np.concatenate(rows).ravel()
-            at, deep, n = three_way(flat, np.arange(0, len(flat), words + 2), np.concatenate(weights), words + 2, least)
-            # A phrase is counted where its end is a key of the partition as well.
-            whole = flat[at + deep - 1] == END
-            at, deep, n = at[whole], deep[whole] - 2, n[whole]
-            texts = known.dictionary.to_pylist()
-            told = [b" ".join([texts[c] for c in flat[a + 1 : a + 1 + d].tolist()]) for a, d in zip(at.tolist(), deep.tolist())]
-            yield pa.record_batch(
-                [every.dictionary.take(pa.array(flat[at])), pa.array(told, pa.binary()), pa.array(deep, pa.int32()), pa.array(n)],
-                names=["lang", "phrase", "size", "n"],
-            )
+            parts = [_unpacked(*r, words) for r in zip(*(table.column(c).to_pylist() for c in ("ids", "n", "size")))]
+            flat = np.full((sum(p.shape[1] for p, _ in parts), words + 1), END, np.int64)
+            flat[:, :words] = np.concatenate([p.T for p, _ in parts])
+            dense = np.unique(flat)
+            keys = (np.searchsorted(dense, flat).astype(np.int32) + (END if dense[0] == END else 0)).ravel()
+            at, deep, n = three_way(keys, np.arange(0, len(keys), words + 1), np.concatenate([w for _, w in parts]), words + 1, least)
+            whole = keys[at + deep - 1] == END  # a phrase is counted where its end is a key of the partition as well
+            at, deep, n = at[whole], deep[whole] - 1, n[whole]
+            row, inside = np.divmod(np.repeat(at - np.r_[0, np.cumsum(deep)[:-1]], deep) + np.arange(int(deep.sum())), words + 1)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(deep)], pa.int32()), pa.array(flat[row, inside]))
+            yield pa.record_batch([lists, pa.array(n)], names=["w", "n"])
 
-    rows = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.col("text").cast("binary").alias("text"))
-    packed = rows.mapInArrow(counted, "bucket int, langs array<string>, words array<binary>, phrases binary, own binary, n binary")
-    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(merged, "lang string, phrase binary, size int, n bigint")
-    return found.withColumn("phrase", F.col("phrase").cast("string"))
+    whole = cut.where("flat is not null").select("stretch", "flat", F.lit(None).cast("int").alias("local"), F.lit(None).cast("bigint").alias("id"))
+    named = known.select("stretch", F.lit(None).cast("binary").alias("flat"), "local", "id")
+    packed = whole.union(named).repartition("stretch").sortWithinPartitions("stretch").mapInArrow(counted, "bucket int, ids binary, n binary, size bigint")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged, "w array<bigint>, n bigint")
+
+
+def _bucket(phrases: np.ndarray, buckets: int) -> np.ndarray:
+    """Which bucket each column of ``phrases`` belongs to, by all of its words."""
+    mixed = np.full(phrases.shape[1], 0x9E3779B97F4A7C15, np.uint64)
+    for row in phrases:
+        mixed = (mixed ^ row.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+    return (mixed % np.uint64(buckets)).astype(np.int64)
+
+
+def counted_phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words ``(lang, word, id, n)`` and phrases ``(w, n)`` of 2 to ``words`` ids that stand ``least`` times, and all words of each language ``(lang, total)``."""
+    cut = stretches(docs)
+    named = cut.where("flat is null")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    common = named.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # Numbers of rows inside a partition, so that ids stay small; they are fixed once the table is written.
+    common = stored(common.withColumn("id", F.monotonically_increasing_id()), "words")
+    parts = F.lit(1 + ((common.agg(F.max("id")).first()[0] or 0) >> 33))
+    common = common.withColumn("id", F.expr("id & 8589934591") * parts + F.shiftright("id", 33))
+    known = named.select("stretch", "local", "lang", "word").join(common.select("lang", "word", "id"), ["lang", "word"]).select("stretch", "local", "id")
+    long = stored(long_phrases(cut, known, words, least, max(1, int(size) // BUCKET_BYTES)), "phrases")
+    return common.withColumn("word", F.col("word").cast("string")), long, named.groupBy("lang").agg(F.sum("n").alias("total"))
+
+
+def _spelled(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """``rows`` with ids ``w`` by their language and text: ``(lang, phrase, ...)``."""
+    others = [c for c in rows.columns if c != "w"]
+    spread = rows.select("w", F.posexplode("w").alias("pos", "id"), *others).join(words.select("id", "lang", "word"), "id")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
+    return spread.groupBy("w").agg(F.first("lang").alias("lang"), text.alias("phrase"), *(F.first(c).alias(c) for c in others)).drop("w")
+
+
+def phrase_counts(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """``(lang, phrase, size, n)``: how often each phrase of 1 to ``words`` words stands in a language, if ``least`` times or more.
+
+    Null languages are one, NO_LANG. Texts are looked at whole.
+    """
+    common, long, _ = counted_phrases(docs, words, least)
+    ones = common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n")
+    return ones.unionByName(_spelled(long.withColumn("size", F.size("w")), common))
 
 
-def _some(rows, most: int = 256):
-    """Lists of up to ``most`` of ``rows``."""
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == most:
-            yield held
-            held = []
-    if held:
-        yield held
+def scored(common: DataFrame, long: DataFrame, share: int) -> DataFrame:
+    """``(w, a, l, r, score)`` of the phrases ``long(w, n)`` of words ``common(id, n)`` that no longer one holds too often."""
+    sizes = long.withColumn("size", F.size("w"))
+    # Every cut, each with the counts of its two parts.
+    cuts = sizes.select("w", F.col("n").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"), "size")
+    cuts = cuts.select("w", "a", "k", F.slice("w", 1, F.col("k")).alias("head"), F.slice("w", F.col("k") + 1, F.col("size") - F.col("k")).alias("tail"))
+    every = common.select(F.array("id").alias("w"), "n").union(long.select("w", "n"))
+    part = lambda name, n: every.select(F.col("w").alias(name), F.col("n").alias(n))
+    cuts = cuts.join(part("head", "l"), "head").join(part("tail", "r"), "tail")
+    score = F.expr("(cast(1000000 as decimal(7,0)) * (cast(a as decimal(15,0)) * cast(a as decimal(15,0)))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
+    lowest = cuts.groupBy("w").agg(F.first("a").alias("a"), F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
+    # The largest count of a longer phrase around each.
+    inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda d: F.transform(F.sequence(F.lit(1), F.col("size") - d + 1), lambda s: F.slice("w", s, d))))
+    around = sizes.where("size >= 3").select(F.explode(inner).alias("w"), "n").groupBy("w").agg(F.max("n").alias("longer"))
+    wide = lambda c: c.cast("decimal(19,0)")
+    outside: Column = F.lit(100).cast("decimal(3,0)") * wide(F.col("longer")) < F.lit(share).cast("decimal(3,0)") * wide(F.col("a"))
+    kept = lowest.join(around, "w", "left").where(F.coalesce(outside, F.lit(True)))
+    return kept.select("w", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
 
 
 def collocations(docs: DataFrame, words: int = WORDS, least: int = LEAST, share: int = SHARE) -> DataFrame:
@@ -237,29 +284,23 @@ def collocations(docs: DataFrame, words: int = WORDS, least: int = LEAST, share:
     Null and empty texts hold no phrases; repeated rows count each; null languages are one, NO_LANG; other columns are not
     looked at; an empty table gives an empty result.
     """
-    counts = stored(phrase_counts(docs, words, least), "phrases")
-    long = counts.where("size >= 2").withColumn("w", F.split("phrase", " "))
-    # Every cut, each with the counts of its two parts.
-    cuts = long.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
-    cuts = cuts.select("lang", "phrase", F.col("n").alias("a"), "k", F.array_join(F.slice("w", 1, F.col("k")), " ").alias("head"), F.array_join(F.slice("w", F.col("k") + 1, F.col("size") - F.col("k")), " ").alias("tail"))
-    part = lambda name, n: counts.where("size > 0").select("lang", F.col("phrase").alias(name), F.col("n").alias(n))
-    cuts = cuts.join(part("head", "l"), ["lang", "head"]).join(part("tail", "r"), ["lang", "tail"])
-    score = F.expr("(cast(1000000 as decimal(7,0)) * (cast(a as decimal(15,0)) * cast(a as decimal(15,0)))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
-    lowest = cuts.groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
-    # The largest count of a longer phrase around each.
-    inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda d: F.transform(F.sequence(F.lit(1), F.col("size") - d + 1), lambda s: F.array_join(F.slice("w", s, d), " "))))
-    around = long.where("size >= 3").select("lang", F.explode(inner).alias("phrase"), "n").groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
-    kept = lowest.join(around, ["lang", "phrase"], "left").where(F.coalesce(F.lit(100).cast("decimal(3,0)") * F.col("longer").cast("decimal(19,0)") < F.lit(share).cast("decimal(3,0)") * F.col("a").cast("decimal(19,0)"), F.lit(True)))
-    total = counts.where("size = 0").select("lang", F.col("n").alias("n"))
-    return kept.join(total, "lang").select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
+    common, long, totals = counted_phrases(docs, words, least)
+    return _spelled(scored(common, long, share), common).join(totals, "lang").select("lang", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
+
+
+def ranked(found: DataFrame, top: int) -> DataFrame:
+    """The first ``top`` rows of each language of `collocations` with their ``rank``.
+
+    Parts of the phrases are ranked first, so that a language's task gets ``top`` rows from each of them at most.
+    """
+    placed = lambda df, *by: df.withColumn("rank", F.expr(f"row_number() over (partition by {', '.join(by)} order by score desc, a desc, phrase)")).where(F.col("rank") <= top)
+    first = placed(found.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(256))), "lang", "part")
+    return placed(first.drop("rank", "part"), "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def best_collocations(docs: DataFrame, top: int = TOP, words: int = WORDS, least: int = LEAST, share: int = SHARE) -> DataFrame:
     """The ``top`` collocations of each language by score, then count, then the bytes of the phrase: ``(lang, rank, phrase, a, l, r, n, score)``.
 
-    Each task ranks what it holds first, so that a language's task gets ``top`` rows from each of them at most. Edges as `collocations`.
+    Edges as `collocations`.
     """
-    found = collocations(docs, words, least, share)
-    ranked = lambda df, *by: df.withColumn("rank", F.expr(f"row_number() over (partition by {', '.join(by)} order by score desc, a desc, phrase)")).where(F.col("rank") <= top)
-    first = ranked(found.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(256))), "lang", "part")
-    return ranked(first.drop("rank", "part"), "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return ranked(collocations(docs, words, least, share), top)
