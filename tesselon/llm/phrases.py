@@ -13,6 +13,8 @@ stretch at most, however common it is.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from tesselon.llm.shared import stored, whole_groups
 
 LEAST, WORDS, SHARE, TOP, NO_LANG = 10, 3, 50, 2000, "und"
-#: Bytes of text of one stretch (a longer text is one stretch for itself), and for which there is one bucket.
-STRETCH_BYTES, BUCKET_BYTES = 3_000_000, 16_000_000
+#: Bytes of text of one stretch (a longer text is one stretch for itself), and for which there is one bucket of words and of phrases.
+STRETCH_BYTES, WORD_BYTES, PHRASE_BYTES = 3_000_000, 24_000_000, 6_000_000
 END = -1
 _BREAK = b"\xff"  # never a byte of UTF-8 text
 #: A-Z to a-z, marks and line ends that part pieces to _BREAK, tabs to spaces.
@@ -88,8 +90,17 @@ def three_way(flat: np.ndarray, at: np.ndarray, weight: np.ndarray, deepest: int
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _stretch(number: int, lang: list[str], texts: list[bytes | None]):
-    """One row with the stretch's words as numbers, and one row for each of its words."""
+_CUT = {"stretch": pa.int64(), "flat": pa.binary(), "bucket": pa.int32(), "lang": pa.string(), "words": pa.list_(pa.binary()), "local": pa.binary(), "n": pa.binary()}
+
+
+def _rows(kinds: dict[str, pa.DataType], size: int, **columns) -> pa.RecordBatch:
+    """Rows of the columns that are given; the others are null."""
+    made = [pa.nulls(size, kind) if columns.get(c) is None else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], kind) for c, kind in kinds.items()]
+    return pa.record_batch(made, names=list(kinds))
+
+
+def _stretch(number: int, lang: list[str], texts: list[bytes | None], buckets: int):
+    """One row with the stretch's words as numbers, and rows with the words themselves and their counts by bucket and language."""
     langs = pa.array(lang, pa.string()).dictionary_encode()
     tokens: list[bytes] = []
     sizes = np.zeros(len(texts), np.int64)
@@ -110,19 +121,22 @@ def _stretch(number: int, lang: list[str], texts: list[bytes | None]):
     # The commonest words get the smallest numbers, which pack best.
     used = used[np.argsort(-times[used], kind="stable")]
     number_of[used] = np.arange(len(used))
-    flat = number_of[both]  # END is the last one's number
-    none = lambda n, kind: pa.nulls(n, kind)
-    kinds = {"stretch": pa.int64(), "flat": pa.binary(), "local": pa.int32(), "lang": pa.string(), "word": pa.binary(), "n": pa.int64()}
-    columns = [pa.array([number], pa.int64()), pa.array([flat.tobytes()], pa.binary()), *(none(1, k) for k in list(kinds.values())[2:])]
-    yield pa.record_batch(columns, names=list(kinds))
-    for b in range(0, len(used), 10_000):
-        mine = used[b : b + 10_000]
-        columns = [np.full(len(mine), number), none(len(mine), pa.binary()), np.arange(b, b + len(mine), dtype=np.int32), langs.dictionary.take(pa.array(mine % n_langs)), vocabulary.take(pa.array(mine // n_langs)).cast(pa.binary()), times[mine]]
-        yield pa.record_batch([pa.array(c, k) if isinstance(c, np.ndarray) else c for c, k in zip(columns, kinds.values())], names=list(kinds))
+    yield _rows(_CUT, 1, stretch=[number], flat=[number_of[both].tobytes()])  # END is the last one's number
+    bucket_of = np.array([zlib.crc32(w) for w in vocabulary.to_pylist()], np.int64) % buckets
+    group = bucket_of[used // n_langs] * n_langs + used % n_langs
+    order = np.argsort(group, kind="stable")
+    cut = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
+    for b, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        local = order[b:e]
+        words = vocabulary.take(pa.array(used[local] // n_langs)).cast(pa.binary())
+        own, into = int(used[local[0]] % n_langs), int(group[local[0]] // n_langs)
+        lists = pa.ListArray.from_arrays(pa.array([0, e - b], pa.int32()), words)
+        yield _rows(_CUT, 1, stretch=[number], bucket=[into], lang=[langs.dictionary[own].as_py()], words=lists, local=[local.astype(np.int32).tobytes()], n=[times[used[local]].tobytes()])
 
 
-def stretches(docs: DataFrame) -> DataFrame:
-    """The texts of ``docs(lang, text)`` as stretches: rows ``(stretch, flat)`` with numbers of words, and rows ``(stretch, local, lang, word, n)`` that say which words those are."""
+def stretches(docs: DataFrame, buckets: int) -> DataFrame:
+    """The texts of ``docs(lang, text)`` as stretches: rows ``(stretch, flat)`` with numbers of words, and rows
+    ``(stretch, bucket, lang, words, local, n)`` that say which words have which numbers."""
 
     def cut(batches):
         lang, texts, n, number = [], [], 0, TaskContext.get().partitionId() << 33
@@ -132,13 +146,50 @@ def stretches(docs: DataFrame) -> DataFrame:
                 texts.append(text.as_py())
                 n += len(texts[-1] or b"")
                 if n >= STRETCH_BYTES:
-                    yield from _stretch(number, lang, texts)
+                    yield from _stretch(number, lang, texts, buckets)
                     lang, texts, n, number = [], [], 0, number + 1
         if texts:
-            yield from _stretch(number, lang, texts)
+            yield from _stretch(number, lang, texts, buckets)
 
     rows = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.col("text").cast("binary").alias("text"))
-    return stored(rows.mapInArrow(cut, "stretch bigint, flat binary, local int, lang string, word binary, n bigint"), "stretches")
+    return stored(rows.mapInArrow(cut, "stretch bigint, flat binary, bucket int, lang string, words array<binary>, local binary, n binary"), "stretches")
+
+
+_NAMED = {"stretch": pa.int64(), "local": pa.binary(), "ids": pa.binary(), "lang": pa.string(), "word": pa.binary(), "id": pa.int64(), "n": pa.int64()}
+
+
+def common_words(cut: DataFrame, least: int, buckets: int) -> DataFrame:
+    """Words of `stretches` that stand ``least`` times: rows ``(lang, word, id, n)``, rows ``(stretch, local, ids)`` that tell each
+    stretch the ids of its words, and rows ``(lang, n)`` that add up to all words of a language."""
+
+    def merged(batches):
+        for table in whole_groups(batches, "bucket"):
+            bucket, lang = table.column("bucket").to_numpy(), np.array(table.column("lang").to_pylist(), object)
+            words, sizes = table.column("words").combine_chunks(), np.array([len(x) // 4 for x in table.column("local").to_pylist()])
+            coded, edge = words.flatten().dictionary_encode(), np.r_[0, np.cumsum(sizes)]
+            n = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("n").to_pylist()])
+            langs, own = np.unique(lang.astype(str), return_inverse=True)
+            both = coded.indices.to_numpy().astype(np.int64) * len(langs) + np.repeat(own, sizes)
+            times = np.zeros(int(both.max()) + 1, np.int64)
+            np.add.at(times, both, n)
+            home = np.zeros(len(times), np.int64)
+            home[both] = np.repeat(bucket, sizes)
+            # Ids are unique, as a word stands in one bucket only, and small: numbers within the bucket, dealt out in turn.
+            kept = np.flatnonzero(times >= least)
+            kept = kept[np.argsort(home[kept], kind="stable")]
+            id_of = np.full(len(times), END, np.int64)
+            id_of[kept] = (np.arange(len(kept)) - np.searchsorted(home[kept], home[kept])) * buckets + home[kept]
+            for b in range(0, len(kept), 10_000):
+                mine = kept[b : b + 10_000]
+                yield _rows(_NAMED, len(mine), lang=langs[mine % len(langs)].tolist(), word=coded.dictionary.take(pa.array(mine // len(langs))), id=id_of[mine], n=times[mine])
+            yield _rows(_NAMED, len(langs), lang=langs.tolist(), n=[int(times[k :: len(langs)].sum()) for k in range(len(langs))])
+            for k, (number, local) in enumerate(zip(table.column("stretch").to_pylist(), table.column("local").to_pylist())):
+                ids = id_of[both[edge[k] : edge[k + 1]]]
+                common = ids != END
+                yield _rows(_NAMED, 1, stretch=[number], local=[np.frombuffer(local, np.int32)[common].tobytes()], ids=[ids[common].tobytes()])
+
+    dealt = cut.where("flat is null").select("bucket", "stretch", "lang", "words", "local", "n").repartition("bucket").sortWithinPartitions("bucket")
+    return stored(dealt.mapInArrow(merged, "stretch bigint, local binary, ids binary, lang string, word binary, id bigint, n bigint"), "words")
 
 
 def _packed(ids: np.ndarray, n: np.ndarray, bucket: np.ndarray):
@@ -164,8 +215,8 @@ def _unpacked(ids: bytes, n: bytes, size: int, words: int) -> tuple[np.ndarray,
     return found, np.frombuffer(n, small).astype(np.int64)
 
 
-def long_phrases(cut: DataFrame, known: DataFrame, words: int, least: int, buckets: int) -> DataFrame:
-    """``(w, n)``: the phrases of 2 to ``words`` words, as ids, that stand ``least`` times, from `stretches` and ids ``known(stretch, local, id)``."""
+def long_phrases(cut: DataFrame, named: DataFrame, words: int, least: int, buckets: int) -> DataFrame:
+    """``(w, n)``: the phrases of 2 to ``words`` words, as ids, that stand ``least`` times, from `stretches` and `common_words`."""
 
     def counted(batches):
         for table in whole_groups(batches, "stretch"):
@@ -174,41 +225,42 @@ def long_phrases(cut: DataFrame, known: DataFrame, words: int, least: int, bucke
             for b, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 mine = table.slice(b, e - b)
                 (flat,) = (np.frombuffer(x, np.int32) for x in mine.column("flat").drop_null().to_pylist())
-                local, ids = (mine.column(c).drop_null().to_numpy() for c in ("local", "id"))
+                local, ids = (np.concatenate([np.zeros(0, k), *(np.frombuffer(x, k) for x in mine.column(c).drop_null().to_pylist())]) for c, k in (("local", np.int32), ("ids", np.int64)))
                 if len(ids):
                     yield from parted(flat, local, ids)
 
     def parted(flat, local, ids):
-        """The phrases of one stretch, packed by bucket."""
-        id_of = np.full(max(int(flat.max(initial=0)), int(local.max(initial=0))) + 2, END, np.int64)
+        """The phrases of one stretch, packed by bucket. Rare words end pieces, as they have no id."""
+        most = max(int(flat.max(initial=0)), int(local.max(initial=0)))
+        id_of = np.full(most + 2, END, np.int32 if ids.max() < 1 << 31 else np.int64)
         id_of[local] = ids
-        flat = np.concatenate([id_of[flat], np.full(words, END)])
-        # Dense numbers take less room; their order is that of the ids.
-        dense = np.unique(ids)
-        keys = np.where(flat == END, END, np.searchsorted(dense, flat)).astype(np.int32)
-        at, deep, n = three_way(keys, np.flatnonzero(keys != END), np.ones(int((keys != END).sum()), np.int64), words)
-        whole = (deep > 1) & (keys[at + deep - 1] != END)
+        flat = np.concatenate([id_of[flat], np.full(words, END, id_of.dtype)])
+        places = np.flatnonzero(flat != END)
+        at, deep, n = three_way(flat, places, np.ones(len(places), np.int64), words)
+        whole = (deep > 1) & (flat[at + deep - 1] != END)
         at, deep, n = at[whole], deep[whole], n[whole]
-        phrases = np.stack([np.where(deep > k, flat[at + k], END) for k in range(words)])
+        phrases = np.stack([np.where(deep > k, flat[at + k], END) for k in range(words)]).astype(np.int64)
         yield from _packed(phrases, n, _bucket(phrases, buckets))
 
     def merged(batches):
         for table in whole_groups(batches, "bucket"):
             parts = [_unpacked(*r, words) for r in zip(*(table.column(c).to_pylist() for c in ("ids", "n", "size")))]
-            flat = np.full((sum(p.shape[1] for p, _ in parts), words + 1), END, np.int64)
-            flat[:, :words] = np.concatenate([p.T for p, _ in parts])
-            dense = np.unique(flat)
-            keys = (np.searchsorted(dense, flat).astype(np.int32) + (END if dense[0] == END else 0)).ravel()
-            at, deep, n = three_way(keys, np.arange(0, len(keys), words + 1), np.concatenate([w for _, w in parts]), words + 1, least)
-            whole = keys[at + deep - 1] == END  # a phrase is counted where its end is a key of the partition as well
-            at, deep, n = at[whole], deep[whole] - 1, n[whole]
-            row, inside = np.divmod(np.repeat(at - np.r_[0, np.cumsum(deep)[:-1]], deep) + np.arange(int(deep.sum())), words + 1)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(deep)], pa.int32()), pa.array(flat[row, inside]))
-            yield pa.record_batch([lists, pa.array(n)], names=["w", "n"])
-
-    whole = cut.where("flat is not null").select("stretch", "flat", F.lit(None).cast("int").alias("local"), F.lit(None).cast("bigint").alias("id"))
-    named = known.select("stretch", F.lit(None).cast("binary").alias("flat"), "local", "id")
-    packed = whole.union(named).repartition("stretch").sortWithinPartitions("stretch").mapInArrow(counted, "bucket int, ids binary, n binary, size bigint")
+            small = np.int32 if max(int(p.max(initial=0)) for p, _ in parts) < 1 << 31 else np.int64
+            flat = np.full((sum(p.shape[1] for p, _ in parts), words + 1), END, small)
+            np.concatenate([p.T for p, _ in parts], out=flat[:, :words], casting="same_kind")
+            weight = np.concatenate([w for _, w in parts])
+            del parts
+            flat = flat.ravel()
+            at, deep, n = three_way(flat, np.arange(0, len(flat), words + 1), weight, words + 1, least)
+            whole = flat[at + deep - 1] == END  # a phrase is counted where its end is a key of the partition as well
+            at, deep, n = at[whole].astype(np.int64), deep[whole] - 1, n[whole]
+            ends = np.r_[0, np.cumsum(deep)]
+            spots = np.repeat(at - ends[:-1], deep) + np.arange(ends[-1])
+            yield pa.record_batch([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[spots], pa.int64())), pa.array(n)], names=["w", "n"])
+
+    whole = cut.where("flat is not null").select("stretch", "flat", F.lit(None).cast("binary").alias("local"), F.lit(None).cast("binary").alias("ids"))
+    told = named.where("stretch is not null").select("stretch", F.lit(None).cast("binary").alias("flat"), "local", "ids")
+    packed = whole.union(told).repartition("stretch").sortWithinPartitions("stretch").mapInArrow(counted, "bucket int, ids binary, n binary, size bigint")
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged, "w array<bigint>, n bigint")
 
 
@@ -223,17 +275,13 @@ def _bucket(phrases: np.ndarray, buckets: int) -> np.ndarray:
 
 def counted_phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words ``(lang, word, id, n)`` and phrases ``(w, n)`` of 2 to ``words`` ids that stand ``least`` times, and all words of each language ``(lang, total)``."""
-    cut = stretches(docs)
-    named = cut.where("flat is null")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    common = named.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    # Numbers of rows inside a partition, so that ids stay small; they are fixed once the table is written.
-    common = stored(common.withColumn("id", F.monotonically_increasing_id()), "words")
-    parts = F.lit(1 + ((common.agg(F.max("id")).first()[0] or 0) >> 33))
-    common = common.withColumn("id", F.expr("id & 8589934591") * parts + F.shiftright("id", 33))
-    known = named.select("stretch", "local", "lang", "word").join(common.select("lang", "word", "id"), ["lang", "word"]).select("stretch", "local", "id")
-    long = stored(long_phrases(cut, known, words, least, max(1, int(size) // BUCKET_BYTES)), "phrases")
-    return common.withColumn("word", F.col("word").cast("string")), long, named.groupBy("lang").agg(F.sum("n").alias("total"))
+    size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    buckets = max(1, size // WORD_BYTES)
+    cut = stretches(docs, buckets)
+    named = common_words(cut, least, buckets)
+    long = stored(long_phrases(cut, named, words, least, max(1, size // PHRASE_BYTES)), "phrases")
+    common = named.where("id is not null").select("lang", F.col("word").cast("string").alias("word"), "id", "n")
+    return common, long, named.where("id is null and lang is not null").groupBy("lang").agg(F.sum("n").alias("total"))
 
 
 def _spelled(rows: DataFrame, words: DataFrame) -> DataFrame:
