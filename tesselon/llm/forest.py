@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.shared import bounded_sample, stored, whole_groups
+from tesselon.llm.shared import bounded_sample, each_group, stored
 from tesselon.llm.vectors import _matrix, by_size, stored_kind, usable
 
 NEAREST, TREES, LEAF_ROWS, MOST_LEAVES = 20, 4, 512, 1024
@@ -184,80 +184,95 @@ def visits_wanted(classes: DataFrame, queries: DataFrame, forests: dict[int, For
     return wanted
 
 
-def searched(classes: DataFrame, queries: DataFrame, forests: dict[int, Forest], wanted: dict[int, int], kind: str, k: int) -> DataFrame:
-    """``(q, score, first, cls)``: the ``k`` best classes that each query meets in the leaves it visits."""
-    spark = classes.sparkSession
+def placed(rows: DataFrame, forests: dict[int, Forest], kind: str, visits: dict[int, tuple[int, int]] | None) -> DataFrame:
+    """``rows(cls, first, bound, raw)`` in the cells of their leaves: of all trees, or of the visits from and to the given ones for queries.
+
+    A few neighbouring leaves are one cell, to which a query comes once, with the list of ``leaves`` it asks for.
+    """
     # Forests are bounded by MOST_LEAVES, TREES and LENGTHS, whatever the number of rows.
-    sent = spark.sparkContext.broadcast((forests, wanted))
+    sent = rows.sparkSession.sparkContext.broadcast(forests)
 
-    def cells(batches, asking: bool):
-        forests, wanted = sent.value
+    def cells(batches):
+        forests = sent.value
         for batch in batches:
-            raw, ids = batch.column(2).to_pylist(), batch.column(0).to_numpy()
+            raw = batch.column(3).to_pylist()
             for size, pick, x in by_size(raw, kind):
                 pick, forest = np.array(pick), forests.get(size)
                 if forest is None:
                     at, leaf = np.arange(len(pick)), np.zeros(len(pick), np.int64)
-                elif asking:
-                    seen = forest.visits(x, wanted[size])
-                    at, leaf = np.repeat(np.arange(len(pick)), [len(v) for v in seen]), np.concatenate([np.array(v, np.int64) for v in seen])
-                else:
+                    at, leaf = (at, leaf) if visits is None or visits[0][0] == 0 else (at[:0], leaf[:0])
+                elif visits is None:
                     at, leaf = np.repeat(np.arange(len(pick)), forest.trees), forest.leaf_of(x).ravel()
-                # A few neighbouring leaves are one cell, to which a query comes once, with the list of leaves it asks for.
+                else:
+                    seen = [v[visits[size][0] :] for v in forest.visits(x, visits[size][1])]
+                    at, leaf = np.repeat(np.arange(len(pick)), [len(v) for v in seen]), np.concatenate([np.array(v, np.int64) for v in seen])
                 order = np.lexsort((leaf, at))
                 at, leaf = at[order], leaf[order]
-                cell = leaf // max(1, CELL_ROWS // LEAF_ROWS // 2)
-                head = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (cell[1:] != cell[:-1])])
-                offsets = pa.array(np.r_[head, len(leaf)], pa.int32())
+                cell = leaf // (CELL_ROWS // LEAF_ROWS // 2)
+                head = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (cell[1:] != cell[:-1])]) if len(at) else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[head, len(leaf)], pa.int32()), pa.array(leaf, pa.int64()))
                 own = pick[at[head]]
-                yield pa.record_batch(
-                    [pa.array(np.full(len(head), size, np.int32)), pa.array(cell[head], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(leaf, pa.int64())), pa.array(ids[own], pa.int64()), batch.column(1).take(pa.array(own)), pa.array([raw[i] for i in own], pa.binary())],
-                    names=["size", "cell", "leaves", "cls", "first", "raw"],
-                )
-
-    shape = "size int, cell bigint, leaves array<bigint>, cls bigint, first bigint, raw binary"
-    columns = ["cls", "first", "raw"]
-    rows = stored(classes.select(*columns).mapInArrow(lambda b: cells(b, False), shape), "leaves")
-    asked = stored(queries.select(*columns).mapInArrow(lambda b: cells(b, True), shape), "visits")
+                columns = [pa.array(np.full(len(head), size, np.int32)), pa.array(cell[head], pa.int64()), lists, *(batch.column(k).take(pa.array(own)) for k in range(4))]
+                yield pa.record_batch(columns, names=["size", "cell", "leaves", "cls", "first", "bound", "raw"])
+
+    shape = "size int, cell bigint, leaves array<bigint>, cls bigint, first bigint, bound double, raw binary"
+    return stored(rows.select("cls", "first", "bound", "raw").mapInArrow(cells, shape), "cells")
+
+
+def met(rows: DataFrame, asked: DataFrame, kind: str, k: int) -> DataFrame:
+    """``(q, score, first, cls)``: of the cells where rows and queries of `placed` meet, the ``k`` best of each query that reach its bound."""
     # Cells that hold more rows or queries than a block are dealt out as pairs of blocks.
     count = lambda df, name, most: df.groupBy("size", "cell").agg(F.ceil(F.count("*") / F.lit(most)).alias(name))
-    blocks = stored(count(rows, "row_blocks", CELL_ROWS).join(count(asked, "query_blocks", CELL_QUERIES), ["size", "cell"]), "cells")
+    blocks = stored(count(rows, "row_blocks", CELL_ROWS).join(count(asked, "query_blocks", CELL_QUERIES), ["size", "cell"]), "blocks")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
     dealt = rows.join(blocks, ["size", "cell"]).withColumn("rb", own("row_blocks")).withColumn("qb", every("query_blocks")).withColumn("role", F.lit(0))
     dealt = dealt.unionByName(asked.join(blocks, ["size", "cell"]).withColumn("qb", own("query_blocks")).withColumn("rb", every("row_blocks")).withColumn("role", F.lit(1)))
-    dealt = dealt.select(F.xxhash64("size", "cell", "rb", "qb").alias("g"), "size", "role", "leaves", *columns)
+    dealt = dealt.select(F.xxhash64("size", "cell", "rb", "qb").alias("g"), "size", "role", "leaves", "cls", "first", "bound", "raw")
 
     def meet(batches):
-        for table in whole_groups(batches, "g"):
-            g, size, role = (table.column(c).to_numpy() for c in ("g", "size", "role"))
-            cls, first = table.column("cls").to_numpy(), table.column("first").to_numpy(zero_copy_only=False)
-            raw, lists = table.column("raw").to_pylist(), table.column("leaves").combine_chunks()
-            offsets, leaves = lists.offsets.to_numpy(), lists.flatten().to_numpy()
-            cut = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (size[1:] != size[:-1]), True])
-            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                x = _matrix(raw[s:e], kind)
-                at, leaf = np.repeat(np.arange(s, e), np.diff(offsets[s : e + 1])), leaves[offsets[s] - offsets[0] : offsets[e] - offsets[0]]
+        for table in each_group(batches, "g"):
+            for size in np.unique(table.column("size").to_numpy()):
+                mine = table.filter(pa.compute.equal(table.column("size"), size)).combine_chunks()
+                role, cls, first, bound = (mine.column(c).to_numpy() for c in ("role", "cls", "first", "bound"))
+                lists, x = mine.column("leaves").combine_chunks(), _matrix(mine.column("raw").to_pylist(), kind)
+                at, leaf = np.repeat(np.arange(len(role)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
                 order = np.lexsort((role[at], leaf))
                 at, leaf = at[order], leaf[order]
                 edge = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1], True])
                 parts = []
-                for b, f in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                    mid = b + int(np.searchsorted(role[at[b:f]], 1))
-                    if b < mid < f:
-                        here, asking = at[b:mid], at[mid:f]
-                        q, r, score = best_of(x[asking - s], x[here - s], first[here], k)
-                        parts.append((asking[q], score, here[r]))
+                for b, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    mid = b + int(np.searchsorted(role[at[b:e]], 1))
+                    if b < mid < e:
+                        here, asking = at[b:mid], at[mid:e]
+                        q, r, score = best_of(x[asking], x[here], first[here], k)
+                        fine = score >= bound[asking[q]]
+                        parts.append((asking[q[fine]], score[fine], here[r[fine]]))
                 if parts:
                     q, score, r = (np.concatenate(p) for p in zip(*parts))
                     order = np.lexsort((cls[r], first[r], -score, q))
                     q, score, r = q[order], score[order], r[order]
-                    once = np.r_[True, (q[1:] != q[:-1]) | (r[1:] != r[:-1])]
+                    once = np.r_[True, (q[1:] != q[:-1]) | (r[1:] != r[:-1])] if len(q) else np.zeros(0, bool)
                     q, score, r = q[once], score[once], r[once]
                     kept = np.arange(len(q)) - np.searchsorted(q, q) < k
                     yield _told(cls[q[kept]], score[kept], first[r[kept]], cls[r[kept]])
 
-    return _first(dealt.repartition("g").sortWithinPartitions("g", "role").mapInArrow(meet, _FOUND), k)
+    return dealt.repartition("g").sortWithinPartitions("g", "role").mapInArrow(meet, _FOUND)
+
+
+def searched(classes: DataFrame, queries: DataFrame, forests: dict[int, Forest], wanted: dict[int, int], kind: str, k: int) -> DataFrame:
+    """``(q, score, first, cls)``: the ``k`` best classes that each query meets in the leaves it visits.
+
+    The first leaves of the queue, a quarter of them, give a bound: what comes later has to reach the ``k``-th best found there.
+    """
+    rows = placed(classes.withColumn("bound", F.lit(0.0)), forests, kind, None)
+    early = {size: (0, max(1, -(-n // 4))) for size, n in wanted.items()} | {0: (0, 0)}
+    late = {size: (early[size][1], n) for size, n in wanted.items()} | {0: (1, 1)}
+    found = met(rows, placed(queries.withColumn("bound", F.lit(float("-inf"))), forests, kind, early), kind, k)
+    first = stored(_first(found, k), "early")
+    bounds = first.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).alias("bound"))
+    rest = queries.join(bounds, queries["cls"] == bounds["q"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    return _first(first.union(met(rows, placed(rest, forests, kind, late), kind, k)), k)
 
 
 def nearest(vectors: DataFrame, asked: Column, k: int = NEAREST, trees: int = TREES, found: float = FOUND, seed: int = 11) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.shared import stored, whole_groups
+from tesselon.llm.shared import each_group, stored
 
 LEAST, WORDS, SHARE, TOP, NO_LANG = 10, 3, 50, 2000, "und"
 #: Bytes of text of one stretch (a longer text is one stretch for itself), and for which there is one bucket of words and of phrases.
@@ -163,22 +163,19 @@ def common_words(cut: DataFrame, least: int, buckets: int) -> DataFrame:
     stretch the ids of its words, and rows ``(lang, n)`` that add up to all words of a language."""
 
     def merged(batches):
-        for table in whole_groups(batches, "bucket"):
-            bucket, lang = table.column("bucket").to_numpy(), np.array(table.column("lang").to_pylist(), object)
+        for table in each_group(batches, "bucket"):
+            lang = np.array(table.column("lang").to_pylist(), str)
             words, sizes = table.column("words").combine_chunks(), np.array([len(x) // 4 for x in table.column("local").to_pylist()])
             coded, edge = words.flatten().dictionary_encode(), np.r_[0, np.cumsum(sizes)]
             n = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("n").to_pylist()])
-            langs, own = np.unique(lang.astype(str), return_inverse=True)
+            langs, own = np.unique(lang, return_inverse=True)
             both = coded.indices.to_numpy().astype(np.int64) * len(langs) + np.repeat(own, sizes)
             times = np.zeros(int(both.max()) + 1, np.int64)
             np.add.at(times, both, n)
-            home = np.zeros(len(times), np.int64)
-            home[both] = np.repeat(bucket, sizes)
             # Ids are unique, as a word stands in one bucket only, and small: numbers within the bucket, dealt out in turn.
             kept = np.flatnonzero(times >= least)
-            kept = kept[np.argsort(home[kept], kind="stable")]
             id_of = np.full(len(times), END, np.int64)
-            id_of[kept] = (np.arange(len(kept)) - np.searchsorted(home[kept], home[kept])) * buckets + home[kept]
+            id_of[kept] = np.arange(len(kept)) * buckets + table.column("bucket")[0].as_py()
             for b in range(0, len(kept), 10_000):
                 mine = kept[b : b + 10_000]
                 yield _rows(_NAMED, len(mine), lang=langs[mine % len(langs)].tolist(), word=coded.dictionary.take(pa.array(mine // len(langs))), id=id_of[mine], n=times[mine])
@@ -219,15 +216,11 @@ def long_phrases(cut: DataFrame, named: DataFrame, words: int, least: int, bucke
     """``(w, n)``: the phrases of 2 to ``words`` words, as ids, that stand ``least`` times, from `stretches` and `common_words`."""
 
     def counted(batches):
-        for table in whole_groups(batches, "stretch"):
-            stretch = table.column("stretch").to_numpy()
-            edge = np.flatnonzero(np.r_[True, stretch[1:] != stretch[:-1], True])
-            for b, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                mine = table.slice(b, e - b)
-                (flat,) = (np.frombuffer(x, np.int32) for x in mine.column("flat").drop_null().to_pylist())
-                local, ids = (np.concatenate([np.zeros(0, k), *(np.frombuffer(x, k) for x in mine.column(c).drop_null().to_pylist())]) for c, k in (("local", np.int32), ("ids", np.int64)))
-                if len(ids):
-                    yield from parted(flat, local, ids)
+        for table in each_group(batches, "stretch"):
+            (flat,) = (np.frombuffer(x, np.int32) for x in table.column("flat").drop_null().to_pylist())
+            local, ids = (np.concatenate([np.zeros(0, k), *(np.frombuffer(x, k) for x in table.column(c).drop_null().to_pylist())]) for c, k in (("local", np.int32), ("ids", np.int64)))
+            if len(ids):
+                yield from parted(flat, local, ids)
 
     def parted(flat, local, ids):
         """The phrases of one stretch, packed by bucket. Rare words end pieces, as they have no id."""
@@ -243,7 +236,7 @@ def long_phrases(cut: DataFrame, named: DataFrame, words: int, least: int, bucke
         yield from _packed(phrases, n, _bucket(phrases, buckets))
 
     def merged(batches):
-        for table in whole_groups(batches, "bucket"):
+        for table in each_group(batches, "bucket"):
             parts = [_unpacked(*r, words) for r in zip(*(table.column(c).to_pylist() for c in ("ids", "n", "size")))]
             small = np.int32 if max(int(p.max(initial=0)) for p, _ in parts) < 1 << 31 else np.int64
             flat = np.full((sum(p.shape[1] for p, _ in parts), words + 1), END, small)

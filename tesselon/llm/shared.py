@@ -85,6 +85,15 @@ def whole_groups(batches, key: str):
         yield rest.combine_chunks()
 
 
+def each_group(batches, key: str):
+    """One table for each group of Arrow batches that arrive sorted by ``key``."""
+    for table in whole_groups(batches, key):
+        keys = table.column(key).to_numpy()
+        edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+        for b, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            yield table.slice(b, e - b).combine_chunks()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: one row ``(node, root)`` per linked node, root the smallest node reachable.
 
