@@ -31,21 +31,44 @@ def axis_weights(pairs: DataFrame) -> DataFrame:
     return weighed.join(total, ["n_in", "n_out", "o"]).select("n_in", "n_out", "o", "i", (F.col("raw") / F.col("total")).alias("weight"))
 
 
-def resized(px: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``px`` resampled to ``sizes(image_id, w, h, nw, nh)``: a sparse product along x, then along y, rounded once at the end."""
-    wide, high = (axis_weights(sizes.select(F.col(a).alias("n_in"), F.col(b).alias("n_out")).distinct()) for a, b in (("w", "nw"), ("h", "nh")))
+def weighed(px: DataFrame, sizes: DataFrame, wide: DataFrame, high: DataFrame) -> DataFrame:
+    """A sparse product along x, then along y, rounded once at the end: ``sizes(image_id, kx, ky)`` names each image's rows of the weights
+    ``wide`` and ``high`` ``(key, o, i, weight)``."""
     base = px.join(sizes, "image_id")
     across = (
-        base.join(wide, (base["w"] == wide["n_in"]) & (base["nw"] == wide["n_out"]) & (base["x"] == wide["i"]))
-        .groupBy("image_id", "h", "nh", "y", F.col("o").alias("x"))
+        base.join(wide.withColumnsRenamed({"key": "kx", "i": "x"}), ["kx", "x"])
+        .groupBy("image_id", "ky", "y", F.col("o").alias("ox"))
         .agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in RGB])
     )
     down = (
-        across.join(high, (across["h"] == high["n_in"]) & (across["nh"] == high["n_out"]) & (across["y"] == high["i"]))
-        .groupBy("image_id", F.col("o").alias("oy"), "x")
+        across.join(high.withColumnsRenamed({"key": "ky", "i": "y"}), ["ky", "y"])
+        .groupBy("image_id", F.col("o").alias("oy"), "ox")
         .agg(*[channel(F.sum(F.col(c) * F.col("weight"))).alias(c) for c in RGB])
     )
-    return down.select("image_id", F.col("oy").alias("y"), "x", *RGB)
+    return down.select("image_id", F.col("oy").alias("y"), F.col("ox").alias("x"), *RGB)
+
+
+def resized(px: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``px`` resampled to ``sizes(image_id, w, h, nw, nh)``."""
+    weights = [axis_weights(sizes.select(F.col(a).alias("n_in"), F.col(b).alias("n_out")).distinct()).select(F.struct("n_in", "n_out").alias("key"), "o", "i", "weight") for a, b in (("w", "nw"), ("h", "nh"))]
+    key = lambda a, b: F.struct(F.col(a).alias("n_in"), F.col(b).alias("n_out"))
+    return weighed(px, sizes.select("image_id", key("w", "nw").alias("kx"), key("h", "nh").alias("ky")), *weights)
+
+
+def blurred(px: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each image by its own Gaussian ``sizes(image_id, w, h, radius)``, with radii above zero; the border value repeats outwards."""
+
+    def weights(side: str) -> DataFrame:
+        taps = F.sequence(-F.ceil(F.col("radius") * 2.5).cast("int"), F.ceil(F.col("radius") * 2.5).cast("int"))
+        bell = sizes.select("radius").distinct().select("radius", F.explode(taps).alias("d"))
+        bell = bell.withColumn("raw", F.exp(-(F.col("d") * F.col("d")) / (F.lit(2.0) * F.col("radius") * F.col("radius"))))
+        bell = bell.join(bell.groupBy("radius").agg(F.sum("raw").alias("total")), "radius").select("radius", "d", (F.col("raw") / F.col("total")).alias("weight"))
+        outs = sizes.select(F.col(side).alias("n"), "radius").distinct().select("n", "radius", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
+        source = F.least(F.greatest(F.col("o") + F.col("d"), F.lit(0)), F.col("n") - 1)
+        return outs.join(bell, "radius").groupBy(F.struct("n", "radius").alias("key"), "o", source.alias("i")).agg(F.sum("weight").alias("weight"))
+
+    key = lambda side: F.struct(F.col(side).alias("n"), "radius")
+    return weighed(px, sizes.select("image_id", key("w").alias("kx"), key("h").alias("ky")), weights("w"), weights("h"))
 
 
 def resize(px: DataFrame, width: int | None = None, height: int | None = None, scale: float | None = None) -> DataFrame:
@@ -55,34 +78,41 @@ def resize(px: DataFrame, width: int | None = None, height: int | None = None, s
         nw, nh = ((F.col(c) * F.lit(float(scale))).cast("int") for c in ("w", "h"))
     else:
         nw, nh = (F.lit(int(v)) if v else F.col(c) for v, c in ((width, "w"), (height, "h")))
-    return _resized_where_needed(px, size.withColumn("nw", nw).withColumn("nh", nh))
+    return resized_where_needed(px, size.withColumn("nw", nw).withColumn("nh", nh))
 
 
-def _resized_where_needed(px: DataFrame, sizes: DataFrame) -> DataFrame:
+def resized_where_needed(px: DataFrame, sizes: DataFrame) -> DataFrame:
     same = (F.col("nw") == F.col("w")) & (F.col("nh") == F.col("h"))
     return px.join(sizes.where(same).select("image_id"), "image_id", "left_semi").select(*PX).union(resized(px, sizes.where(~same)).select(*PX))
 
 
+def fitted_sides(sizes: DataFrame, width: Column, height: Column) -> DataFrame:
+    """``sizes(w, h, ...)`` with the sides ``nw`` and ``nh`` that fit the box."""
+    s = F.least(width / F.col("w"), height / F.col("h"), F.lit(1.0))
+    side = lambda c: F.greatest(F.floor(F.round(F.col(c) * s, 6) + F.lit(0.5)), F.lit(1)).cast("int")
+    return sizes.withColumn("nw", side("w")).withColumn("nh", side("h"))
+
+
 def thumbnail(px: DataFrame, width: int = 256, height: int = 256) -> DataFrame:
     """Shrink into the box, sides in proportion; images that fit stay as they are."""
-    s = F.least(F.lit(float(width)) / F.col("w"), F.lit(float(height)) / F.col("h"), F.lit(1.0))
-    side = lambda c: F.greatest(F.floor(F.round(F.col(c) * s, 6) + F.lit(0.5)), F.lit(1)).cast("int")
-    return _resized_where_needed(px, image_sizes(px).withColumn("nw", side("w")).withColumn("nh", side("h")))
+    return resized_where_needed(px, fitted_sides(image_sizes(px), F.lit(float(width)), F.lit(float(height))))
 
 
 def pixelate(px: DataFrame, block: int = 10) -> DataFrame:
     """Nearest shrink by ``block``, nearest grow back; a block of 1 or less does nothing. A side shorter than a block keeps one cell."""
-    if block <= 1:
-        return px.select(*PX)
+    return px.select(*PX) if block <= 1 else from_cells(px.select(*PX).join(image_sizes(px), "image_id"), F.lit(block))
+
+
+def from_cells(sized: DataFrame, block: Column) -> DataFrame:
+    """As `pixelate`, of pixels with their image's ``w`` and ``h``, by a block of 1 and more that may be a column."""
 
     def source(v: Column, n: Column) -> Column:
         cells = F.greatest(F.floor(n / block), F.lit(1))
         cell = F.floor((v + F.lit(0.5)) * cells / n)
         return F.least(F.floor((cell + F.lit(0.5)) * n / cells), n - 1).cast("int")
 
-    sized = px.select("image_id", "y", "x").join(image_sizes(px), "image_id")
     asked = sized.select("image_id", F.col("y").alias("oy"), F.col("x").alias("ox"), source(F.col("y"), F.col("h")).alias("y"), source(F.col("x"), F.col("w")).alias("x"))
-    return asked.join(px, ["image_id", "y", "x"]).select("image_id", F.col("oy").alias("y"), F.col("ox").alias("x"), *RGB)
+    return asked.join(sized.select(*PX), ["image_id", "y", "x"]).select("image_id", F.col("oy").alias("y"), F.col("ox").alias("x"), *RGB)
 
 
 def _cubic(t: Column) -> Column:
@@ -97,14 +127,22 @@ def rotate(px: DataFrame, angle: float, expand: bool = True, fill: tuple[int, in
     """Counter-clockwise by any angle, bicubic; ``expand`` grows the canvas. Pixels whose source lies outside take ``fill``."""
     names = channels or RGB
     turn = math.radians(angle)
-    cos, sin = round(math.cos(turn), 12), round(math.sin(turn), 12)
-    size = image_sizes(px)
-    side = lambda a, b: F.ceil(F.round(F.col(a) * F.lit(abs(cos)) + F.col(b) * F.lit(abs(sin)), 9)).cast("int")
-    size = size.withColumn("nw", side("w", "h") if expand else F.col("w")).withColumn("nh", side("h", "w") if expand else F.col("h"))
+    size = image_sizes(px).withColumn("cos", F.lit(round(math.cos(turn), 12))).withColumn("sin", F.lit(round(math.sin(turn), 12)))
+    return rotated(px, turned_sides(size, F.lit(expand)).select("*", *[F.lit(v).alias(f"fill_{c}") for c, v in zip(names, fill)]), names)
+
+
+def turned_sides(size: DataFrame, expand: Column) -> DataFrame:
+    """``size(w, h, cos, sin, ...)`` with the sides ``nw`` and ``nh`` of the canvas after the turn."""
+    side = lambda a, b: F.when(expand, F.ceil(F.round(F.col(a) * F.abs("cos") + F.col(b) * F.abs("sin"), 9)).cast("int")).otherwise(F.col(a))
+    return size.withColumn("nw", side("w", "h")).withColumn("nh", side("h", "w"))
+
+
+def rotated(px: DataFrame, size: DataFrame, names: list[str]) -> DataFrame:
+    """Each image by its own turn ``size(image_id, w, h, nw, nh, cos, sin, fill_<name>...)``."""
     grid = size.select("*", F.explode(F.sequence(F.lit(0), F.col("nh") - 1)).alias("oy")).select("*", F.explode(F.sequence(F.lit(0), F.col("nw") - 1)).alias("ox"))
     dx, dy = F.col("ox") + F.lit(0.5) - F.col("nw") / 2.0, F.col("oy") + F.lit(0.5) - F.col("nh") / 2.0
-    grid = grid.withColumn("sx", F.round(dx * F.lit(cos) - dy * F.lit(sin) + F.col("w") / 2.0 - F.lit(0.5), 9))
-    grid = grid.withColumn("sy", F.round(dx * F.lit(sin) + dy * F.lit(cos) + F.col("h") / 2.0 - F.lit(0.5), 9))
+    grid = grid.withColumn("sx", F.round(dx * F.col("cos") - dy * F.col("sin") + F.col("w") / 2.0 - F.lit(0.5), 9))
+    grid = grid.withColumn("sy", F.round(dx * F.col("sin") + dy * F.col("cos") + F.col("h") / 2.0 - F.lit(0.5), 9))
     inside = F.col("sx").between(F.lit(-0.5), F.col("w") - F.lit(0.5)) & F.col("sy").between(F.lit(-0.5), F.col("h") - F.lit(0.5))
     taps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-1, 3) for j in range(-1, 3)])
     each = grid.where(inside).select("*", F.inline(taps))
@@ -116,7 +154,7 @@ def rotate(px: DataFrame, angle: float, expand: bool = True, fill: tuple[int, in
         F.least(F.greatest(tx, F.lit(0)), F.col("w") - 1).cast("int").alias("x"),
     )
     drawn = each.join(px, ["image_id", "y", "x"]).groupBy("image_id", "oy", "ox").agg(*[channel(F.sum(F.col(c) * F.col("weight"))).alias(c) for c in names])
-    bare = grid.where(~inside).select("image_id", "oy", "ox", *[F.lit(v).alias(c) for c, v in zip(names, fill)])
+    bare = grid.where(~inside).select("image_id", "oy", "ox", *[F.col(f"fill_{c}").alias(c) for c in names])
     return drawn.union(bare).select("image_id", F.col("oy").alias("y"), F.col("ox").alias("x"), *names)
 
 

@@ -64,10 +64,15 @@ def gaussian_blur(px: DataFrame, radius: float = 2.0, passes: int = 1) -> DataFr
 
 def sharpen(px: DataFrame, factor: float = 2.0) -> DataFrame:
     """``smooth * (1 - factor) + image * factor``; smooth is (box + 4 * centre) / 13, border pixels as they are."""
+    return sharpened(px, F.lit(float(factor)))
+
+
+def sharpened(px: DataFrame, factor: Column) -> DataFrame:
+    """As `sharpen`, by a factor that may be a column of ``px``."""
 
     def out(c: str) -> Column:
         smooth = F.when(F.col("edge"), F.col(c)).otherwise(channel((F.col(f"{c}3") + F.col(c) * 4) / F.lit(13.0)))
-        return channel(smooth * F.lit(1.0 - factor) + F.col(c) * F.lit(float(factor)))
+        return channel(smooth * (F.lit(1.0) - factor) + F.col(c) * factor)
 
     return each_channel(boxed(px, RGB), out)
 
@@ -94,10 +99,13 @@ def per_image(px: DataFrame, **aggregates: Column) -> DataFrame:
 
 
 def contrast(px: DataFrame, factor: float = 1.0) -> DataFrame:
-    if factor == 1:
-        return px.select(*PX)
+    return px.select(*PX) if factor == 1 else contrasted(px, F.lit(float(factor)))
+
+
+def contrasted(px: DataFrame, factor: Column) -> DataFrame:
+    """Away from or towards the image's mean gray, by a factor that may be a column of ``px``."""
     mean = F.floor(F.avg(gray()) + F.lit(0.5))
-    return each_channel(per_image(px, mean=mean), lambda c: channel(F.col("mean") * F.lit(1.0 - factor) + F.col(c) * F.lit(float(factor))))
+    return each_channel(per_image(px, mean=mean), lambda c: channel(F.col("mean") * (F.lit(1.0) - factor) + F.col(c) * factor))
 
 
 def brightness_contrast(px: DataFrame, b: float = 1.0, c: float = 1.0) -> DataFrame:

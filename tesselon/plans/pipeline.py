@@ -131,9 +131,9 @@ def pipeline_metadata(px: DataFrame, steps: Sequence[Step], glyphs: Glyphs | Non
 
 
 def apply_pipelines(px: DataFrame, specs: DataFrame, pipelines: dict[str, Sequence[Step]], glyphs: Glyphs | None = None) -> DataFrame:
-    """``specs(image_id, signature)`` names each image's pipeline among ``pipelines``: one branch per signature, joined by union."""
-    parts = []
-    for signature, steps in pipelines.items():
-        own = px.join(specs.where(F.col("signature") == signature).select("image_id"), "image_id", "left_semi")
-        parts.append(apply_pipeline(own, steps, glyphs))
-    return reduce(DataFrame.unionByName, parts)
+    """``specs(image_id, signature)`` names each image's pipeline among ``pipelines``; other images come through unchanged."""
+    from tesselon.plans.steps import STEPS, apply_specs
+
+    rows = [(name, [(step, {k: str(v) for k, v in params.items() if v is not None}) for step, params in steps]) for name, steps in pipelines.items()]
+    table = px.sparkSession.createDataFrame(rows, f"signature string, steps {STEPS}")
+    return apply_specs(px, specs.join(table, "signature").select("image_id", "steps"), glyphs)

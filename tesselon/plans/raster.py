@@ -9,6 +9,7 @@ from tesselon.operators import raster_resample as resample
 from tesselon.operators import raster_window as window
 from tesselon.plans import raster_sql as d
 from tesselon.plans.pipeline import apply_pipeline, apply_pipelines, pipeline_metadata
+from tesselon.plans.steps import apply_specs
 from tesselon.sources import views
 from tesselon.sources.views import sql
 
@@ -50,6 +51,28 @@ def _spec(px):
     return px.select("image_id", F.when(kind == 0, "a").when(kind == 1, "b").otherwise("c").alias("signature")).distinct()
 
 
+def _own_steps(px):
+    """A list of steps for each image but every seventh, hardly two of them alike."""
+    i, text = F.col("image_id"), lambda v: F.round(v, 2).cast("string")
+    step = lambda name, *params: F.struct(F.lit(name).alias("name"), F.create_map(*params).alias("params"))
+    steps = F.array(
+        step("brightness", F.lit("brightness"), text(0.5 + i % 37 / 20.0)), step("flip", F.lit("direction"), F.lit("horizontal")),
+        step("sharpen", F.lit("factor"), text(1.0 + i % 29 / 10.0)), step("color_tint", F.lit("r"), (i % 256).cast("string"), F.lit("intensity"), F.lit("0.25")),
+    )
+    return px.select("image_id").distinct().where(i % 7 != 0).select("image_id", steps.alias("steps"))
+
+
+def _own_steps_sql() -> str:
+    bright, sharp = "round(0.5e0 + image_id % 37 / 20.0e0, 2)", "round(1.0e0 + image_id % 29 / 10.0e0, 2)"
+    smooth = lambda c: f"CASE WHEN edge THEN {c} ELSE {d.q(f'({c}3 + {c} * 4) / 13.0e0')} END"
+    tint = {"r": "s.image_id % 256", "g": "255", "b": "255"}
+    return ", ".join([
+        "mine AS (SELECT * FROM px WHERE image_id % 7 <> 0)", d.each("mine", "k1", lambda c: d.q(f"{c} * {bright}")), d.moved("k1", "k2", "w - 1 - s.x", "s.y"),
+        d.boxed("k2", "k3", "rgb"), d.each("k3", "k4", lambda c: d.q(f"({smooth(c)}) * (1.0e0 - {sharp}) + {c} * {sharp}")), d.each("k4", "k5", lambda c: d.q(f"{c} * 0.75e0 + {tint[c]} * 0.25e0")),
+        "o AS (SELECT image_id, y, x, r, g, b FROM k5 UNION ALL SELECT image_id, y, x, r, g, b FROM px WHERE image_id % 7 = 0)",
+    ])
+
+
 def _branches() -> str:
     a = f"{d.sepia('pa', 'a1')}, {d.crop('a1', 'a2', 1, 1, 7, 6)}"
     b = f"{d.moved('pb', 'b1', 's.y', 'w - 1 - s.x')}, {d.brightness('b1', 'b2', 1.2)}, {d.contrast('b2', 'b3', 0.8)}"
@@ -60,7 +83,8 @@ def _branches() -> str:
 
 STAT_COLUMNS = "image_id, r_mean, r_std, g_mean, g_std, b_mean, b_std, gray_mean, gray_std, s_mean, w, h, edge_mean"
 _alpha_sql = "pa AS (SELECT *, (x * 31 + y * 17 + image_id) % 256 AS a FROM px), " + d.each("pa", "o", lambda c: d.q(f"{c} * (a / 255.0e0) + 255.0e0 * (1.0e0 - a / 255.0e0)"))
-_blend_sql = f"{d.grayscale('px', 'k')}, o AS (SELECT s.image_id, s.y, s.x, {', '.join(d.lerp('s.' + c, 'k.' + c, 0.35) + f' AS {c}' for c in 'rgb')} FROM px s JOIN k USING (image_id, y, x))"
+# The other image of each pair is the same one in gray; pixel by pixel that needs no second look at the table.
+_blend_sql = d.each("px", "o", lambda c: d.lerp(c, d.q(d.GRAY), 0.35))
 _marked = d.rotate("px", "w0", 30.0, (9, 8, 7)) + ", " + d.watermark("w0", "w1", MASK, 3, 3, 80, 45.0, resample.GAP)
 _chain = f"{d.grayscale('px', 'p1', 0.6)}, {d.resize('p1', 'p2', 12, 6)}, {d.moved('p2', 'p3', 'w - 1 - s.x', 'h - 1 - s.y')}, {d.sharpen('p3', 'o', 1.5)}"
 
@@ -104,6 +128,7 @@ _ALL = [
     _pair("r28_apply_pipeline", lambda p: apply_pipeline(p, PIPELINE), _chain),
     _pair("r28_apply_steps_without_pixels", lambda p: apply_pipeline(p, SAYING, _glyphs(p.sparkSession)), _marked + ", " + d.brightness("w1", "o", 1.2)),
     _pair("r28_pipeline_metadata", _said, _marked + ", " + d.topk("w1", "t", 3) + ", o AS (SELECT image_id, true AS no_reader, label, labels FROM t)", columns="*"),
+    _pair("r28_own_steps", lambda p: apply_specs(p, _own_steps(p)), _own_steps_sql()),
     _pair("r28_apply_pipelines", lambda p: apply_pipelines(p, _spec(p), PIPELINES), _branches()),
 ]
 QUERIES = {name: run for name, run, _ in _ALL}
