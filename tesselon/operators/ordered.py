@@ -51,3 +51,19 @@ def over_last(rows: DataFrame, by: str, bucket: Column, order: list, n: int, val
     dealt = numbered.withColumn(part, F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
     frame = W.partitionBy(by, part).orderBy(place).rowsBetween(1 - n, 0)
     return dealt.withColumn(out, value.over(frame)).where(F.col(part) == own).drop(place, part)
+
+
+def carried(rows: DataFrame, by: str, bucket: Column, order: Column, value: Column, out: str) -> DataFrame:
+    """Adds ``out``: the last ``value`` that is not null, at or before each row of ``by`` in the order of ``bucket``, then ``order``.
+
+    ``bucket`` must not fall along ``order``. The last value of each bucket comes from partial aggregation and is handed on to the
+    later ones, so that a key with most rows is spread over its buckets.
+    """
+    b, key, v, tail, before = (free(rows, n) for n in ("bucket", "key", "carried", "tail", "before"))
+    cut = rows.withColumn(b, bucket).withColumn(v, value)
+    tails = cut.groupBy(F.col(by).alias(key), F.col(b).alias(b + "_")).agg(F.max_by(v, F.when(F.col(v).isNotNull(), order)).alias(tail))
+    earlier = W.partitionBy(key).orderBy(b + "_").rowsBetween(W.unboundedPreceding, -1)
+    tails = tails.select(key, b + "_", F.last(tail, ignorenulls=True).over(earlier).alias(before))
+    joined = cut.join(tails, cut[by].eqNullSafe(F.col(key)) & (F.col(b) == F.col(b + "_")))
+    inside = W.partitionBy(by, b).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return joined.withColumn(out, F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col(before))).drop(b, b + "_", key, v, before)

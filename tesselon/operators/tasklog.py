@@ -3,18 +3,79 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesselon.operators.ordered import carried
+from tesselon.sources.files import scratch
+
 TERMINAL = ("succeeded", "failed", "cancelled", "rejected")
 
 
-def dedupe_ttl(tasks: DataFrame, ttl_days: int) -> DataFrame:
+#: Tasks of one key that are folded as one array; keys with more are followed by links.
+FOLDED = 4096
+_LAST = (1 << 63) - 1
+
+
+def dedupe_ttl(tasks: DataFrame, ttl_days: int, folded: int = FOLDED) -> DataFrame:
     """``(task_id, reuses)``: the task whose result each one reuses, null for tasks that run themselves.
 
     A task reuses the last one of its key that ran, unless that one finished more than the time to live before;
-    one in flight never expires. The anchor is the *kept* task, so this is a fold in order and not a lag. A key's history is
-    gathered in one array, three narrow fields per task.
+    one in flight never expires. The anchor is the *kept* task, so this is a fold in order and not a lag. A key of up to ``folded`` tasks
+    is folded as one array, three narrow fields per task; `dedupe_linked` takes the others. Tasks are ordered by time and id,
+    those without a time first; tasks without a key are one key.
+    """
+    narrow = tasks.select("idempotency_key", "created_at", "task_id", "finished_at")
+    large = narrow.groupBy("idempotency_key").agg(F.count("*").alias("n")).where(F.col("n") > folded).select(F.col("idempotency_key").alias("key"))
+    if large.first() is None:
+        return dedupe_folded(narrow, ttl_days)
+    # Few by number, as each has more than ``folded`` tasks; written, so that their sizes are known where they are joined.
+    path = scratch(tasks.sparkSession, "keys")
+    large.write.parquet(path)
+    large = tasks.sparkSession.read.schema(large.schema).parquet(path)
+    same = narrow["idempotency_key"].eqNullSafe(large["key"])
+    return dedupe_folded(narrow.join(large, same, "left_anti"), ttl_days).union(dedupe_linked(narrow.join(large, same, "left_semi"), ttl_days))
+
+
+def dedupe_linked(tasks: DataFrame, ttl_days: int) -> DataFrame:
+    """As `dedupe_ttl`, with no more than an hour of a key in one task.
+
+    Each task has a link to the first one past its time to live. Those that run are the ones on the way from a key's first task along the
+    links; links are doubled each round, so that a way of n tasks takes log2(n) rounds. Each round is written.
     """
+    spark, micros = tasks.sparkSession, lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz"))
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        path = scratch(spark, tag)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    place = W.partitionBy("idempotency_key", "created_at", "task_id").orderBy(F.col("finished_at").asc_nulls_first())
+    node = F.struct(F.coalesce(micros("created_at"), F.lit(-(1 << 62))).alias("at"), F.col("task_id").cast("bigint").alias("id"), F.row_number().over(place).cast("bigint").alias("copy"))
+    rows = kept(tasks.select("idempotency_key", node.alias("node"), (micros("finished_at") + ttl_days * 86_400_000_000).alias("until"), "task_id"), "nodes")
+    # Rows and searches in one falling order: the last row before a search is the first one past it.
+    at, own = F.col("node.at"), F.struct("node.at", "node.id", "node.copy")
+    past = F.when(F.col("until") >= at, F.struct(F.col("until").alias("at"), F.lit(_LAST).alias("id"), F.lit(_LAST).alias("copy"))).otherwise(own)
+    both = rows.select("idempotency_key", own.alias("pos"), F.lit(0).alias("asks"), "node").union(rows.where("until is not null").select("idempotency_key", past.alias("pos"), F.lit(1).alias("asks"), "node"))
+    falling = F.struct(-F.col("pos.at"), -F.col("pos.id"), -F.col("pos.copy"), -F.col("asks"))
+    links = carried(both, "idempotency_key", -F.floor(F.col("pos.at") / 3_600_000_000), falling, F.when(F.col("asks") == 0, F.col("node")), "next")
+    links = kept(links.where("asks = 1 and next is not null").select("idempotency_key", "node", "next"), "links")
+    runs = kept(rows.groupBy("idempotency_key").agg(F.min("node").alias("node")), "runs")
+    while True:
+        far = links.select(F.col("idempotency_key").alias("k"), F.col("node").alias("via"), F.col("next").alias("to"))
+        joined = lambda df, c: df.join(far, df["idempotency_key"].eqNullSafe(F.col("k")) & (df[c] == F.col("via")))
+        more = kept(joined(runs, "node").select("idempotency_key", F.col("to").alias("node")), "more")
+        if more.first() is None:
+            break
+        runs = kept(runs.union(more), "runs")
+        links = kept(joined(links, "next").select("idempotency_key", "node", F.col("to").alias("next")), "links")
+    marked = rows.join(runs.select(F.col("idempotency_key").alias("k"), F.col("node").alias("run")), rows["idempotency_key"].eqNullSafe(F.col("k")) & (rows["node"] == F.col("run")), "left").drop("k")
+    told = carried(marked, "idempotency_key", F.floor(at / 3_600_000_000), own, F.col("run"), "anchor")
+    return told.select("task_id", F.when(F.col("run").isNull(), F.col("anchor.id")).alias("reuses"))
+
+
+def dedupe_folded(tasks: DataFrame, ttl_days: int) -> DataFrame:
+    """As `dedupe_ttl`, each key's history as one array."""
     seen = F.array_sort(F.collect_list(F.struct("created_at", "task_id", "finished_at")))
     keyed = tasks.groupBy("idempotency_key").agg(seen.alias("seen"))
     item = "struct<task_id:bigint,reuses:bigint>"
