@@ -188,12 +188,13 @@ def priority_out(internal: Column) -> Column:
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
-    """Adds ``reason``: the first limit that a request breaks, null for none."""
+    """Adds ``reason``: the first limit that a request breaks, null for none. An image whose sides are not known could not be opened."""
     w, h, size = F.col("width"), F.col("height"), F.col("size_bytes")
     reason = (
         F.when(size.isNull() | (size <= 0), "empty payload")
         .when(size > MAX_BYTES, "payload too large")
         .when(F.size("filters") > MAX_FILTERS, "too many filters")
+        .when(w.isNull() | h.isNull(), "invalid image")
         .when((w <= 0) | (h <= 0), "dimensions not positive")
         .when(w > MAX_SIDE, "width over limit")
         .when(h > MAX_SIDE, "height over limit")

@@ -74,27 +74,40 @@ def registrations(beats: DataFrame) -> DataFrame:
     return joined.withColumn("result", F.when(F.struct(*ORDER) == F.col(first), "REGISTERED").otherwise("UPDATED")).drop(key, first)
 
 
-def dead_spans(beats: DataFrame, interval_s: float, misses: int = 3) -> DataFrame:
-    """``(node_id, dead_from, dead_until)``: gaps in which ``misses`` beats in a row are missing.
+def dead_spans(beats: DataFrame, interval_s: float, misses: int = 3, as_of: Column | None = None) -> DataFrame:
+    """``(node_id, dead_from, dead_until)``: gaps in which ``misses`` beats in a row are missing, that is longer ones than as many intervals.
 
-    The next beat is looked up inside the hour; the last one of an hour takes the first of the node's next hour with beats.
+    A node that beats no more is dead from its last beat on, with a null end, if that is longer ago at ``as_of`` (without one: the
+    last beat of any node). The next beat is looked up inside the hour; the last one of an hour takes the first of the node's next hour
+    with beats. Beats without a time say nothing.
     """
-    cut = beats.select("node_id", *ORDER).withColumn("hour", hours(beats, "ts"))
+    cut = beats.where("ts is not null").select("node_id", *ORDER).withColumn("hour", hours(beats, "ts"))
+    now = cut.agg(F.max("ts").alias("now")) if as_of is None else cut.sparkSession.range(1).select(as_of.alias("now"))
     heads = cut.groupBy(F.col("node_id").alias("key"), F.col("hour").alias("at")).agg(F.min("ts").alias("head"))
     heads = heads.select("key", "at", F.lead("head").over(W.partitionBy("key").orderBy("at")).alias("after"))
     joined = cut.join(heads, cut["node_id"].eqNullSafe(F.col("key")) & (F.col("hour") == F.col("at")))
     nxt = F.coalesce(F.lead("ts").over(W.partitionBy("node_id", "hour").orderBy(*ORDER)), "after")
-    gaps = joined.select("node_id", F.col("ts").alias("dead_from"), nxt.alias("dead_until")).where("dead_until is not null")
-    return gaps.where(F.timestamp_diff("MICROSECOND", F.col("dead_from"), F.col("dead_until")) >= int(interval_s * misses * 1e6))
+    gaps = joined.select("node_id", F.col("ts").alias("dead_from"), nxt.alias("dead_until")).join(F.broadcast(now))
+    silent = F.timestamp_diff("MICROSECOND", F.col("dead_from"), F.coalesce("dead_until", "now"))
+    return gaps.where(silent > int(interval_s * misses * 1e6)).drop("now")
 
 
-def requeue_rows(tasks: DataFrame, spans: DataFrame, at: str = "ts") -> DataFrame:
-    """Tasks that were handed to a node while it was dead: a range join within the node and the hour, so that a node's
-    whole history never meets itself. Spans are cut into hours; a task lies in one."""
-    hours = F.sequence(F.date_trunc("hour", F.col("dead_from").cast("timestamp")), F.col("dead_until").cast("timestamp"), F.expr("interval 1 hour"))
-    cut = spans.select("*", F.explode(hours).alias("hour"))
-    keyed = tasks.withColumn("hour", F.date_trunc("hour", F.col(at).cast("timestamp")))
-    return keyed.join(cut, ["node_id", "hour"]).where((F.col(at) > F.col("dead_from")) & (F.col(at) < F.col("dead_until"))).drop("hour")
+def requeue_rows(tasks: DataFrame, spans: DataFrame, as_of: Column, assigned: str = "ts", finished: str = "finished_at") -> DataFrame:
+    """Tasks that a node had open while it was dead, handed to it before or meanwhile: ``tasks`` with the span's ends, a row for each such span.
+
+    A task is open from ``assigned`` until ``finished``, without an end for good; a span without an end lasts. Both are cut into days and
+    meet by node and day, where the later of their beginnings lies, so that a node's whole history never meets itself.
+    Nothing after ``as_of`` is looked at.
+    """
+    day = lambda c: F.date_trunc("day", c.cast("timestamp"))
+
+    def by_day(df: DataFrame, since: str, until: str) -> DataFrame:
+        last = F.least(F.coalesce(F.col(until), as_of), as_of)
+        return df.where(F.col(since) <= as_of).withColumn("day", F.explode(F.sequence(day(F.col(since)), F.greatest(day(last), day(F.col(since))), F.expr("interval 1 day"))))
+
+    keyed = by_day(tasks, assigned, finished).join(by_day(spans, "dead_from", "dead_until"), ["node_id", "day"])
+    meet = (F.col(finished).isNull() | (F.col(finished) > F.col("dead_from"))) & (F.col("dead_until").isNull() | (F.col(assigned) < F.col("dead_until")))
+    return keyed.where(meet & (F.col("day") == day(F.greatest(assigned, "dead_from")))).drop("day")
 
 
 def queue_status(beats: DataFrame, as_of: Column, capacity: int) -> DataFrame:

@@ -14,6 +14,11 @@ from tesselon.sources.views import sql
 
 MIB = 1024 * 1024
 BEAT_S = 60.0
+#: Node 7 falls silent for good on this day, so that spans without an end are there.
+SILENT, E9_AS_OF = "2024-01-20", "2024-02-01"
+GAPS = f"""SELECT node_id, ts AS dead_from, n AS dead_until FROM (
+      SELECT *, lead(ts) OVER (PARTITION BY node_id ORDER BY ts, event_id) AS n, max(ts) OVER () AS now FROM heartbeats WHERE node_id <> 7 OR ts < TIMESTAMP '{SILENT}')
+      WHERE epoch_us(coalesce(n, now)) - epoch_us(ts) > {int(BEAT_S * 60 * 3 * 1e6)}"""
 
 
 def results(spark, sf) -> DataFrame:
@@ -151,12 +156,18 @@ def e8(spark, sf):
 
 
 def _spans(spark, sf):
-    return e.dead_spans(views.heartbeats(spark, sf), BEAT_S * 60)
+    heard = (F.col("node_id") != 7) | (F.col("ts") < F.lit(SILENT).cast("timestamp_ntz"))
+    return e.dead_spans(views.heartbeats(spark, sf).where(heard), BEAT_S * 60)
 
 
 def e9(spark, sf):
-    log = views.table(spark, sf, "events").select((F.col("event_id") + 1).alias("task_id"), ((F.col("user_id") + 3) % 8).alias("node_id"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(7))).alias("ts"))
-    return e.requeue_rows(log, _spans(spark, sf)).select("node_id", "task_id", "dead_from", "dead_until")
+    """Tasks from events: assigned seven minutes after, most of them finished some minutes later."""
+    at, number = F.col("ts"), F.col("event_id")
+    minutes = lambda n: F.make_dt_interval(F.lit(0), F.lit(0), n.cast("int"))
+    events = views.table(spark, sf, "events")
+    done = F.when(number % 11 != 0, at + minutes(F.lit(7) + number % 300))
+    log = events.select((number + 1).alias("task_id"), ((F.col("user_id") + 3) % 8).alias("node_id"), (at + minutes(F.lit(7))).alias("ts"), done.alias("finished_at"))
+    return e.requeue_rows(log, _spans(spark, sf), F.lit(E9_AS_OF).cast("timestamp_ntz")).select("node_id", "task_id", "dead_from", "dead_until")
 
 
 def e9_gaps(spark, sf):
@@ -222,9 +233,10 @@ _ALL = [
     ("e6_node_snapshot", e6, "heartbeats", " SELECT node_id, " + ", ".join(f"{LAST.format(c)} AS {c}" for c in ("queue_size", "workers_busy", "workers_total", "cpu_percent", "accepting")) + f", count(*) AS beats, count(*) FILTER (stole) AS steals, date_sub('second', min(ts), max(ts)) AS uptime_s, 5 AS capacity, greatest(5 - {LAST.format('queue_size')}, 0) AS slots_free FROM heartbeats GROUP BY node_id"),
     ("e7_readiness", e7, "heartbeats", " SELECT event_id, CASE WHEN accepting AND queue_size < 5 AND queue_size * 104857600 > 268435456 THEN 'READY' ELSE 'NOT_READY' END AS readiness FROM heartbeats"),
     ("e8_registrations", e8, "heartbeats", " SELECT event_id, node_id, CASE WHEN lag(event_id) OVER (PARTITION BY node_id ORDER BY ts, event_id) IS NULL THEN 'REGISTERED' ELSE 'UPDATED' END AS result FROM heartbeats"),
-    ("e9_heartbeat_gaps", e9_gaps, "heartbeats", f" SELECT node_id, ts AS dead_from, n AS dead_until FROM (SELECT *, lead(ts) OVER (PARTITION BY node_id ORDER BY ts, event_id) AS n FROM heartbeats) WHERE epoch_us(n) - epoch_us(ts) >= {int(BEAT_S * 60 * 3 * 1e6)}"),
-    ("e9_requeue_rows", e9, "heartbeats", f""", gaps AS (SELECT node_id, ts AS dead_from, n AS dead_until FROM (SELECT *, lead(ts) OVER (PARTITION BY node_id ORDER BY ts, event_id) AS n FROM heartbeats) WHERE epoch_us(n) - epoch_us(ts) >= {int(BEAT_S * 60 * 3 * 1e6)})
-      SELECT g.node_id, x.event_id + 1 AS task_id, g.dead_from, g.dead_until FROM gaps g JOIN (SELECT *, ts + INTERVAL 7 MINUTE AS at FROM events) x ON (x.user_id + 3) % 8 = g.node_id AND x.at > g.dead_from AND x.at < g.dead_until"""),
+    ("e9_heartbeat_gaps", e9_gaps, "heartbeats", f" SELECT node_id, dead_from, dead_until FROM ({GAPS})"),
+    ("e9_requeue_rows", e9, "heartbeats", f""", gaps AS ({GAPS})
+      SELECT g.node_id, x.event_id + 1 AS task_id, g.dead_from, g.dead_until FROM gaps g JOIN (SELECT *, ts + INTERVAL 7 MINUTE AS at, CASE WHEN event_id % 11 <> 0 THEN ts + to_minutes(7 + event_id % 300) END AS done FROM events) x
+        ON (x.user_id + 3) % 8 = g.node_id AND (x.done IS NULL OR x.done > g.dead_from) AND (g.dead_until IS NULL OR x.at < g.dead_until) AND x.at <= TIMESTAMP '{E9_AS_OF}' AND g.dead_from <= TIMESTAMP '{E9_AS_OF}'"""),
     ("e10_queue_status", e10, "heartbeats", """, n AS (SELECT node_id, arg_max(queue_size, (ts, event_id)) AS q, arg_max(workers_busy, (ts, event_id)) AS w FROM heartbeats WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' GROUP BY node_id)
       SELECT CAST(coalesce(sum(q), 0) AS BIGINT) AS central_size, 100 AS central_capacity, coalesce(string_agg(concat(node_id, ':', q, ':6:', w), ',' ORDER BY node_id), '') AS nodes FROM n"""),
     ("e11_imbalance_pairs", e11, "heartbeats", """, load AS (SELECT user_id % 64 AS node_id, count(*) FILTER (event_type = 'signup') % 7 AS queue_size, count(*) FILTER (event_type = 'error') % 3 AS workers_busy FROM events GROUP BY 1)

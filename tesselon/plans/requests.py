@@ -90,7 +90,8 @@ def q10(spark, sf):
 
 
 def q11(spark, sf):
-    return r.validate_requests(views.requests(spark, sf)).select("request_id", "reason")
+    opened = F.when(F.col("request_id") % 13 != 5, F.col("width"))  # the others could not be opened
+    return r.validate_requests(views.requests(spark, sf).withColumn("width", opened)).select("request_id", "reason")
 
 
 def q12(spark, sf):
@@ -303,7 +304,7 @@ _ALL = [
     ("q9_project_transforms", q9, "requests", PARSED + """, good AS (SELECT *, CASE WHEN key = 'resize' AND problem IS NULL THEN CAST(trim(split_part(payload, 'x', 1)) AS INT) END AS tw, CASE WHEN key = 'resize' AND problem IS NULL THEN CAST(trim(substr(payload, instr(payload, 'x') + 1)) AS INT) END AS th FROM judged)
       SELECT q.request_id, coalesce(arg_max(op, pos) FILTER (op IN ('grayscale', 'ocr', 'inference')), 'none') AS filter_type, coalesce(arg_max(tw, pos) FILTER (tw IS NOT NULL), 0) AS target_width, coalesce(arg_max(th, pos) FILTER (th IS NOT NULL), 0) AS target_height FROM requests q LEFT JOIN good USING (request_id) GROUP BY 1"""),
     ("q10_priority", q10, "tasks", " SELECT task_id, CASE WHEN priority - 5 > 0 THEN 9 ELSE 5 END AS priority_in, CASE WHEN priority >= 8 THEN 1 ELSE 0 END AS priority_out FROM tasks"),
-    ("q11_validate_requests", q11, "requests", """ SELECT request_id, CASE WHEN size_bytes <= 0 THEN 'empty payload' WHEN size_bytes > 26214400 THEN 'payload too large' WHEN len(filters) > 12 THEN 'too many filters' WHEN width <= 0 OR height <= 0 THEN 'dimensions not positive'
+    ("q11_validate_requests", q11, "requests", """ SELECT request_id, CASE WHEN size_bytes <= 0 THEN 'empty payload' WHEN size_bytes > 26214400 THEN 'payload too large' WHEN len(filters) > 12 THEN 'too many filters' WHEN request_id % 13 = 5 THEN 'invalid image' WHEN width <= 0 OR height <= 0 THEN 'dimensions not positive'
       WHEN width > 12000 THEN 'width over limit' WHEN height > 12000 THEN 'height over limit' WHEN CAST(width AS BIGINT) * height > 40000000 THEN 'pixels over limit' END AS reason FROM requests"""),
     ("q12_limit_batches", q12, "requests", " SELECT request_id, batch_id, count(*) OVER (PARTITION BY batch_id) AS batch_size, count(*) OVER (PARTITION BY batch_id) <= 16 AS accepted FROM requests"),
     ("q13_assemble_uploads", q13, "uploads", """ SELECT upload_id, CASE WHEN n_bytes <= 2000 THEN md5(payload) END AS payload_md5, n_bytes, coalesce(named, concat('upload-', CAST(upload_id AS STRING), '.png')) AS file_name, CASE WHEN n_bytes > 2000 THEN 'payload too large' WHEN n_bytes = 0 THEN 'empty upload' END AS reason

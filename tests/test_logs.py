@@ -1,6 +1,7 @@
 """Dedupe, telemetry and streams against plain Python."""
 
 import datetime as dt
+import random
 import statistics
 
 import pytest
@@ -127,3 +128,51 @@ def test_slow_averages_keep_their_past(spark):
         v = 1.0 + i % 7
         ema = 0.999 * ema + 0.001 * v if ema > 0 else v
     assert abs(ema_service_ms(log, 0.001).first()["ema_ms"] - ema) < 1e-6
+
+
+def test_open_tasks_and_silent_nodes(spark):
+    """A node that is silent for good, one that misses exactly two beats, one that misses three; tasks from before, inside, after."""
+    from tesselon.operators.telemetry import dead_spans, requeue_rows
+
+    at = lambda m: f"2024-03-01 {m // 60:02d}:{m % 60:02d}:00"
+    beats = [(1, m) for m in range(6)] + [(2, m) for m in (0, 1, 2, 5, 6, 90)] + [(3, m) for m in (*range(0, 91), 600)] + [(4, None)]
+    df = spark.createDataFrame([(k, n, at(m) if m is not None else None) for k, (n, m) in enumerate(beats)], "event_id long, node_id int, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    text = lambda c: F.date_format(F.col(c).cast("timestamp"), "HH:mm").alias(c)
+    spans = dead_spans(df, 60, 3)
+    got = {tuple(r) for r in spans.select("node_id", text("dead_from"), text("dead_until")).collect()}
+    assert got == {(1, "00:05", None), (2, "00:06", "01:30"), (2, "01:30", None), (3, "01:30", "10:00")}
+    tasks = [(1, 1, 0, 3), (2, 1, 0, None), (3, 1, 50, 60), (4, 1, 0, 5), (5, 2, 1, 7), (6, 2, 95, None), (7, 3, 89, 90), (8, 3, 500, 700), (9, 3, 601, None), (10, 5, 0, None), (11, None, 0, None)]
+    log = spark.createDataFrame([(t, n, at(a), at(f) if f is not None else None) for t, n, a, f in tasks], "task_id int, node_id int, ts string, finished_at string")
+    log = log.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("finished_at", F.col("finished_at").cast("timestamp_ntz"))
+    met = requeue_rows(log, spans, F.lit("2024-03-02").cast("timestamp_ntz")).select("task_id", text("dead_from")).collect()
+    assert sorted(tuple(r) for r in met) == [(2, "00:05"), (3, "00:05"), (5, "00:06"), (6, "01:30"), (8, "01:30")]
+    assert dead_spans(df.limit(0), 60, 3).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_linked_dedupe_equals_fold(spark, seed):
+    """A key with half of all rows, ties, repeated rows, tasks in flight, no key, and ends before beginnings."""
+    from tesselon.operators.tasklog import dedupe_folded, dedupe_linked, dedupe_ttl
+
+    rng = random.Random(seed)
+    rows = []
+    for k in range(400):
+        day, took = rng.randrange(60), rng.choice([0, 0, 1, 3, -2])
+        rows.append((rng.choice(["hot", "a", "b", None]) if k % 2 else "hot", day * 24 + rng.randrange(0, 24, 6), k // (1 + seed), None if rng.random() < 0.01 * seed else took))
+    df = spark.createDataFrame(rows, "idempotency_key string, hour int, task_id long, took int")
+    hour = lambda c: F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), c)
+    df = df.withColumn("created_at", hour(F.col("hour"))).withColumn("finished_at", hour(F.col("hour") + F.col("took") * 24)).drop("hour", "took").distinct()
+    for ttl in (0, 2, 5):
+        told = lambda out: sorted((r["task_id"], -1 if r["reuses"] is None else r["reuses"]) for r in out.collect())
+        want = told(dedupe_folded(df, ttl))
+        assert told(dedupe_linked(df, ttl)) == want
+        assert told(dedupe_ttl(df, ttl, folded=100)) == want
+    assert dedupe_linked(df.limit(0), 2).count() == 0
+
+
+def test_requests_without_sides_are_refused(spark):
+    from tesselon.operators.requests import validate_requests
+
+    rows = [(1, 10, None, 5), (2, 10, 5, None), (3, 10, 5, 5), (4, 10, 0, 5), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "request_id int, size_bytes long, width int, height int").withColumn("filters", F.array().cast("array<string>"))
+    assert [r["reason"] for r in validate_requests(df).orderBy("request_id").collect()] == ["invalid image", "invalid image", None, "dimensions not positive", "empty payload"]
