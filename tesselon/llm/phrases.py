@@ -13,6 +13,7 @@ stretch at most, however common it is.
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -25,7 +26,7 @@ from tesselon.llm.shared import each_group, stored
 
 LEAST, WORDS, SHARE, TOP, NO_LANG = 10, 3, 50, 2000, "und"
 #: Bytes of text of one stretch (a longer text is one stretch for itself), and for which there is one bucket of words and of phrases.
-STRETCH_BYTES, WORD_BYTES, PHRASE_BYTES = 3_000_000, 24_000_000, 6_000_000
+STRETCH_BYTES, WORD_BYTES, PHRASE_BYTES = 2_000_000, 24_000_000, 4_000_000
 END = -1
 _BREAK = b"\xff"  # never a byte of UTF-8 text
 #: A-Z to a-z, marks and line ends that part pieces to _BREAK, tabs to spaces.
@@ -90,6 +91,21 @@ def three_way(flat: np.ndarray, at: np.ndarray, weight: np.ndarray, deepest: int
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _shrunk(x: np.ndarray) -> bytes:
+    """Whole numbers packed: lowest bytes first, then the higher ones, which are mostly zeros."""
+    x = x.astype(np.int32 if not len(x) or -(1 << 31) <= x.min() and x.max() < 1 << 31 else np.int64)
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return struct.pack("<Bq", x.itemsize, len(x)) + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _grown(data: bytes) -> np.ndarray:
+    size, n = struct.unpack_from("<Bq", data)
+    if not n:
+        return np.zeros(0, np.int32)
+    planes = pa.decompress(data[9:], size * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(np.int32 if size == 4 else np.int64).ravel()
+
+
 _CUT = {"stretch": pa.int64(), "flat": pa.binary(), "bucket": pa.int32(), "lang": pa.string(), "words": pa.list_(pa.binary()), "local": pa.binary(), "n": pa.binary()}
 
 
@@ -121,7 +137,7 @@ def _stretch(number: int, lang: list[str], texts: list[bytes | None], buckets: i
     # The commonest words get the smallest numbers, which pack best.
     used = used[np.argsort(-times[used], kind="stable")]
     number_of[used] = np.arange(len(used))
-    yield _rows(_CUT, 1, stretch=[number], flat=[number_of[both].tobytes()])  # END is the last one's number
+    yield _rows(_CUT, 1, stretch=[number], flat=[_shrunk(number_of[both])])  # END is the last one's number
     bucket_of = np.array([zlib.crc32(w) for w in vocabulary.to_pylist()], np.int64) % buckets
     group = bucket_of[used // n_langs] * n_langs + used % n_langs
     order = np.argsort(group, kind="stable")
@@ -131,7 +147,7 @@ def _stretch(number: int, lang: list[str], texts: list[bytes | None], buckets: i
         words = vocabulary.take(pa.array(used[local] // n_langs)).cast(pa.binary())
         own, into = int(used[local[0]] % n_langs), int(group[local[0]] // n_langs)
         lists = pa.ListArray.from_arrays(pa.array([0, e - b], pa.int32()), words)
-        yield _rows(_CUT, 1, stretch=[number], bucket=[into], lang=[langs.dictionary[own].as_py()], words=lists, local=[local.astype(np.int32).tobytes()], n=[times[used[local]].tobytes()])
+        yield _rows(_CUT, 1, stretch=[number], bucket=[into], lang=[langs.dictionary[own].as_py()], words=lists, local=[_shrunk(local)], n=[_shrunk(times[used[local]])])
 
 
 def stretches(docs: DataFrame, buckets: int) -> DataFrame:
@@ -165,25 +181,27 @@ def common_words(cut: DataFrame, least: int, buckets: int) -> DataFrame:
     def merged(batches):
         for table in each_group(batches, "bucket"):
             lang = np.array(table.column("lang").to_pylist(), str)
-            words, sizes = table.column("words").combine_chunks(), np.array([len(x) // 4 for x in table.column("local").to_pylist()])
+            words, locals_ = table.column("words").combine_chunks(), [_grown(x) for x in table.column("local").to_pylist()]
+            sizes = np.array([len(x) for x in locals_])
             coded, edge = words.flatten().dictionary_encode(), np.r_[0, np.cumsum(sizes)]
-            n = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("n").to_pylist()])
+            n = np.concatenate([_grown(x) for x in table.column("n").to_pylist()])
             langs, own = np.unique(lang, return_inverse=True)
             both = coded.indices.to_numpy().astype(np.int64) * len(langs) + np.repeat(own, sizes)
             times = np.zeros(int(both.max()) + 1, np.int64)
             np.add.at(times, both, n)
-            # Ids are unique, as a word stands in one bucket only, and small: numbers within the bucket, dealt out in turn.
+            # Ids are unique, as a word stands in one bucket only. The commonest words get the smallest ones, which pack best.
             kept = np.flatnonzero(times >= least)
+            kept = kept[np.argsort(-times[kept], kind="stable")]
             id_of = np.full(len(times), END, np.int64)
             id_of[kept] = np.arange(len(kept)) * buckets + table.column("bucket")[0].as_py()
             for b in range(0, len(kept), 10_000):
                 mine = kept[b : b + 10_000]
                 yield _rows(_NAMED, len(mine), lang=langs[mine % len(langs)].tolist(), word=coded.dictionary.take(pa.array(mine // len(langs))), id=id_of[mine], n=times[mine])
             yield _rows(_NAMED, len(langs), lang=langs.tolist(), n=[int(times[k :: len(langs)].sum()) for k in range(len(langs))])
-            for k, (number, local) in enumerate(zip(table.column("stretch").to_pylist(), table.column("local").to_pylist())):
+            for k, number in enumerate(table.column("stretch").to_pylist()):
                 ids = id_of[both[edge[k] : edge[k + 1]]]
                 common = ids != END
-                yield _rows(_NAMED, 1, stretch=[number], local=[np.frombuffer(local, np.int32)[common].tobytes()], ids=[ids[common].tobytes()])
+                yield _rows(_NAMED, 1, stretch=[number], local=[_shrunk(locals_[k][common])], ids=[_shrunk(ids[common])])
 
     dealt = cut.where("flat is null").select("bucket", "stretch", "lang", "words", "local", "n").repartition("bucket").sortWithinPartitions("bucket")
     return stored(dealt.mapInArrow(merged, "stretch bigint, local binary, ids binary, lang string, word binary, id bigint, n bigint"), "words")
@@ -199,17 +217,15 @@ def _packed(ids: np.ndarray, n: np.ndarray, bucket: np.ndarray):
     cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(n) else np.zeros(1, np.int64)
     for b, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
         mine = ids[:, b:e].copy()
-        mine[0] = np.diff(mine[0], prepend=0)
-        small = np.int32 if max(mine.max(), n[b:e].max()) < 1 << 31 else np.int64
-        columns = ([int(bucket[b])], [mine.astype(small).tobytes()], [n[b:e].astype(small).tobytes()], [e - b])
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.int64()))], names=["bucket", "ids", "n", "size"])
+        mine[0, 1:] = np.diff(mine[0])
+        columns = ([int(bucket[b])], [_shrunk(mine.ravel())], [_shrunk(n[b:e])])
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "ids", "n"])
 
 
-def _unpacked(ids: bytes, n: bytes, size: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    small = np.int32 if len(n) == 4 * size else np.int64
-    found = np.frombuffer(ids, small).reshape(words, size).astype(np.int64)
+def _unpacked(ids: bytes, n: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    found = _grown(ids).reshape(words, -1)
     found[0] = np.cumsum(found[0])
-    return found, np.frombuffer(n, small).astype(np.int64)
+    return found, _grown(n)
 
 
 def long_phrases(cut: DataFrame, named: DataFrame, words: int, least: int, buckets: int) -> DataFrame:
@@ -217,8 +233,8 @@ def long_phrases(cut: DataFrame, named: DataFrame, words: int, least: int, bucke
 
     def counted(batches):
         for table in each_group(batches, "stretch"):
-            (flat,) = (np.frombuffer(x, np.int32) for x in table.column("flat").drop_null().to_pylist())
-            local, ids = (np.concatenate([np.zeros(0, k), *(np.frombuffer(x, k) for x in table.column(c).drop_null().to_pylist())]) for c, k in (("local", np.int32), ("ids", np.int64)))
+            (flat,) = (_grown(x) for x in table.column("flat").drop_null().to_pylist())
+            local, ids = (np.concatenate([np.zeros(0, np.int32), *(_grown(x) for x in table.column(c).drop_null().to_pylist())]) for c in ("local", "ids"))
             if len(ids):
                 yield from parted(flat, local, ids)
 
@@ -232,13 +248,13 @@ def long_phrases(cut: DataFrame, named: DataFrame, words: int, least: int, bucke
         at, deep, n = three_way(flat, places, np.ones(len(places), np.int64), words)
         whole = (deep > 1) & (flat[at + deep - 1] != END)
         at, deep, n = at[whole], deep[whole], n[whole]
-        phrases = np.stack([np.where(deep > k, flat[at + k], END) for k in range(words)]).astype(np.int64)
+        phrases = np.stack([np.where(deep > k, flat[at + k], END) for k in range(words)])
         yield from _packed(phrases, n, _bucket(phrases, buckets))
 
     def merged(batches):
         for table in each_group(batches, "bucket"):
-            parts = [_unpacked(*r, words) for r in zip(*(table.column(c).to_pylist() for c in ("ids", "n", "size")))]
-            small = np.int32 if max(int(p.max(initial=0)) for p, _ in parts) < 1 << 31 else np.int64
+            parts = [_unpacked(*r, words) for r in zip(*(table.column(c).to_pylist() for c in ("ids", "n")))]
+            small = np.result_type(*(p for p, _ in parts))
             flat = np.full((sum(p.shape[1] for p, _ in parts), words + 1), END, small)
             np.concatenate([p.T for p, _ in parts], out=flat[:, :words], casting="same_kind")
             weight = np.concatenate([w for _, w in parts])
@@ -253,7 +269,7 @@ def long_phrases(cut: DataFrame, named: DataFrame, words: int, least: int, bucke
 
     whole = cut.where("flat is not null").select("stretch", "flat", F.lit(None).cast("binary").alias("local"), F.lit(None).cast("binary").alias("ids"))
     told = named.where("stretch is not null").select("stretch", F.lit(None).cast("binary").alias("flat"), "local", "ids")
-    packed = whole.union(told).repartition("stretch").sortWithinPartitions("stretch").mapInArrow(counted, "bucket int, ids binary, n binary, size bigint")
+    packed = whole.union(told).repartition("stretch").sortWithinPartitions("stretch").mapInArrow(counted, "bucket int, ids binary, n binary")
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged, "w array<bigint>, n bigint")
 
 
