@@ -38,8 +38,8 @@ class Rule:
 # base64 lines that follow and a short last one. Line breaks may be escaped, as in source code and JSON.
 PEM_BREAK = r"""(?:\\[rn]|[\s"'])"""
 PEM_TAIL = (
-    r"(?:[^-]*+(?:-{1,4}[^-]++){0,16}+-----END [A-Z ]{0,30}PRIVATE KEY-----"
-    rf"|(?:{PEM_BREAK}*+(?:[A-Za-z][A-Za-z-]{{0,30}}: [^\r\n\\]{{0,200}}{PEM_BREAK}++){{0,4}}(?:{PEM_BREAK}{{0,40}}[A-Za-z0-9+/=]{{16,}}+){{1,400}}+"
+    r"(?:[^-]*+(?:-{1,4}[^-]++)*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    rf"|(?:{PEM_BREAK}*+(?:[A-Za-z][A-Za-z-]{{0,30}}: [^\r\n\\]{{0,200}}{PEM_BREAK}++){{0,4}}(?:{PEM_BREAK}{{0,40}}[A-Za-z0-9+/=]{{16,}}+)++"
     rf"(?:(?:\\[rn]|[\r\n])++[ \t]*+[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?=[ \t\"']*(?:[\r\n]|\\[rn]|$)))?))?"
 )
 

@@ -17,6 +17,8 @@ def test_redaction_removes_the_key(spark):
         f"a {HEAD}\n{body}\nplain words follow": "a [SECRET]\nplain words follow",
         f"a {HEAD}\n{sealed}": "a [SECRET]",
         f"a {HEAD}\n{body}\n\n{HEAD}\n{body}\n{END} z": "a [SECRET]\n\n[SECRET] z",
+        f"a {HEAD}\n" + f"{LINE}\n" * 6000 + "plain words follow": "a [SECRET]\nplain words follow",
+        f"a {HEAD}\n" + "a-b-- c---\n" * 40 + f"{LINE}\n{END} z": "a [SECRET] z",
         f"a {HEAD} is how it begins": "a [SECRET] is how it begins",
         f"a {HEAD}\n" + f"{LINE}\n" * 3000 + f"{END} z": "a [SECRET] z",
         f"a {HEAD} " + "well-known words " * 20000: "a [SECRET] " + "well-known words " * 20000,
