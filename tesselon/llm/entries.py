@@ -84,14 +84,17 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every vector whose id is divisible by 20. Edges as `forest.nearest`."""
     return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each text, a tenth of which repeat themselves first (`periodic.with_repeats`), as digests. Edges as `periodic.periodic`."""
     return run_digest(periodic(with_repeats(read(spark, sf_dir, "documents"))))
 
 
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language. Edges as `phrases.collocations`."""
     return best_collocations(read(spark, sf_dir, "documents"))
 
 
