@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesselon.operators.ordered import free, running
+from tesselon.operators.ordered import free, ranked
 from tesselon.operators.requests import literal_map
 
 MIB = 1024 * 1024
@@ -131,10 +131,9 @@ def score_tasks(tasks: DataFrame, as_of: Column, deadline_s: float, aging_s: flo
 def rank_backlog(tasks: DataFrame, by: str = "node_id") -> DataFrame:
     """Adds ``rank`` within ``by``: best score first, then the earliest deadline (none last), then the smallest id.
 
-    Ranks are counted within thousandths of the score and added up, so one node with most tasks is spread.
+    Tasks are dealt out by ranges of this order, so one node with most tasks is spread, even if they all have one score.
     """
-    best_first = F.coalesce(-F.floor(F.col("score") * 1000), F.lit(1 << 40))
-    return running(tasks, by, best_first, [F.desc("score"), F.asc_nulls_last("deadline"), "task_id"], F.lit(1), "rank")
+    return ranked(tasks, by, [F.desc_nulls_last("score"), F.asc_nulls_last("deadline"), F.col("task_id")], "rank")
 
 
 def next_ready(tasks: DataFrame, as_of: Column, k: int) -> DataFrame:

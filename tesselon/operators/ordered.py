@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesselon.sources.files import scratch
+
 STRETCH = 8192
 
 
@@ -38,6 +40,27 @@ def running(rows: DataFrame, by: str, bucket: Column, order: list, value: Column
     return joined.withColumn(out, F.col(before) + F.sum(value).over(inside)).drop(b, b + "_", key, before)
 
 
+def ranked(rows: DataFrame, by: str, order: list[Column], out: str) -> DataFrame:
+    """Adds ``out``: each row's place, from 1, among the rows of ``by`` in the full ``order``; rows without ``by`` are one group.
+
+    Rows are dealt out by ranges of ``by`` and ``order``, cut at sampled rows, so that a key with most rows is spread whatever its values
+    look like. Places inside a range are its row numbers; what earlier ranges hold of a key is added. The dealt rows are written, as ranges
+    must not change between counting and numbering.
+    """
+    spark, place = rows.sparkSession, free(rows, "place")
+    path = scratch(spark, "ranges")
+    # Numbers of this kind hold the range above 33 bits and the row in it below.
+    dealt = rows.repartitionByRange(F.col(by), *order).sortWithinPartitions(F.col(by), *order).withColumn(place, F.monotonically_increasing_id())
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    part, key, first, before = (free(rows, n) for n in ("part", "key", "first", "before"))
+    counts = dealt.groupBy(F.col(by).alias(key), F.shiftright(place, 33).alias(part)).agg(F.min(place).alias(first), F.count("*").alias("n"))
+    earlier = W.partitionBy(key).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(key, part, first, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    joined = dealt.join(counts, dealt[by].eqNullSafe(F.col(key)) & (F.shiftright(place, 33) == F.col(part)))
+    return joined.withColumn(out, F.col(place) - F.col(first) + F.col(before) + 1).drop(place, key, part, first, before)
+
+
 def over_last(rows: DataFrame, by: str, bucket: Column, order: list, n: int, value: Column, out: str) -> DataFrame:
     """Adds ``out``: the aggregate ``value`` over a row and the ``n - 1`` rows before it in the order of its ``by``.
 

@@ -176,3 +176,23 @@ def test_requests_without_sides_are_refused(spark):
     rows = [(1, 10, None, 5), (2, 10, 5, None), (3, 10, 5, 5), (4, 10, 0, 5), (5, None, None, None)]
     df = spark.createDataFrame(rows, "request_id int, size_bytes long, width int, height int").withColumn("filters", F.array().cast("array<string>"))
     assert [r["reason"] for r in validate_requests(df).orderBy("request_id").collect()] == ["invalid image", "invalid image", None, "dimensions not positive", "empty payload"]
+
+
+def test_ranks_of_one_score(spark):
+    """A node with nearly all tasks, all of one score, is spread over ranges; nulls come last; tasks without a node are a group."""
+    from tesselon.operators.ordered import ranked
+
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, 1, 2, None]), 0.5 if k % 9 else rng.choice([0.1, 0.9, None]), rng.choice([None, 3, 4]), k) for k in range(3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "node_id int, score double, place int, task_id long").repartition(6)
+    order = [F.desc_nulls_last("score"), F.asc_nulls_last("place"), F.col("task_id")]
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[2] is None, r[2] or 0, r[3]))
+    place = {}
+    for r in want:
+        place[r[3]] = place.setdefault(("n", r[0]), 0) + 1
+        place["n", r[0]] = place[r[3]]
+    got = ranked(df, "node_id", order, "rank")
+    assert got.columns == [*df.columns, "rank"]
+    assert {r["task_id"]: r["rank"] for r in got.collect()} == {k: v for k, v in place.items() if not isinstance(k, tuple)}
+    assert ranked(df.limit(0), "node_id", order, "rank").count() == 0
