@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tesselon.llm.forest import nearest
 from tesselon.llm.gif import media_digest, text_media
 from tesselon.llm.html import page_texts
-from tesselon.llm.licences import EMPTY_LINE, LEAST, SENTENCES, STOP, licences, plain
+from tesselon.llm.licences import CUT_SHORT, EMPTY_LINE, FILLED, LEAST, LOWER, SENTENCES, SLOT, SLOT_HEAD, SLOT_TAIL, STOP, UPPER, licences, plain
 from tesselon.llm.licences import RULES as LICENCE_RULES
 from tesselon.llm.mixing import mixed
 from tesselon.llm.passages import BETWEEN, PASSAGE_WORDS, UNIT, UNIT_WORDS, without_repeats
@@ -121,7 +121,8 @@ QUERIES = {
 def licence_sql() -> str:
     rows = ", ".join("('{}', '{}')".format(plain(s), i) for i, s in SENTENCES.items())
     steps = ", ".join(f"({r}, '{lic}', {k}, '{s}', {len(seq)})" for r, (lic, seq) in enumerate(LICENCE_RULES) for k, s in enumerate(seq))
-    low = "trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+    norm = f"trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
+    low = f"CASE WHEN starts_with({norm}, '{SLOT_HEAD}') AND NOT contains({norm}, '{SLOT_TAIL}') THEN '{CUT_SHORT}' ELSE regexp_replace({norm}, '{SLOT}', '{FILLED}') END"
     lines, wrapped = "translate(t, chr(10), chr(1))", f"translate(regexp_replace(t, '{EMPTY_LINE}', chr(1), 'g'), chr(10), ' ')"
     cut = f"list_filter(list_transform(string_split(regexp_replace(text, '{STOP}', '\\1' || chr(1), 'g'), chr(1)), lambda x: {low}), lambda x: length(x) >= {LEAST})"
     return f"""

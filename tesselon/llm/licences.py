@@ -14,7 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A plus, as in ``GPL-2.0+``, tells licences apart and becomes a letter.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ+", "abcdefghijklmnopqrstuvwxyzp"
+#: A sentence with a slot for a name, in its normal form, and what the slot is filled with; a name that ends in a stop cuts it short.
+SLOT_HEAD, SLOT_TAIL, CUT_SHORT = "neither the name of ", "nor the names of", "neither the name of the copyright holder"
+SLOT, FILLED = "^neither the name of .+ nor the names of its contributors may", "neither the name of the copyright holder nor the names of its contributors may"
 #: Where a sentence ends inside a line, where a paragraph ends (comment marks may stand on the empty line), and what stands for an end.
 STOP, EMPTY_LINE, END = "([.!?;:])[ \\t\\r\\n]+", "\\n[ \\t\\r#*/;%-]*\\n", "\x01"
 LEAST = 3
@@ -58,6 +62,8 @@ SENTENCES = {
     "bsd-2": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-3": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-4": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-4a": "Neither the name of the copyright holder",
+    "bsd-4b": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "zlib-1": "This software is provided 'as-is', without any express or implied warranty.",
     "zlib-2": "In no event will the authors be held liable for any damages arising from the use of this software.",
     "zlib-3": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
@@ -66,6 +72,27 @@ SENTENCES = {
     "unlicense-1": "This is free and unencumbered software released into the public domain.",
     "cc-by-nc-sa-short": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
     "cc-by-nd-short": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "mit-short-3": "This project is licensed under the MIT License - see the LICENSE file for details.",
+    "mit-short-4": "This project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details.",
+    "mit-short-5": "This project is licensed under the MIT License - see the LICENSE.md file for details.",
+    "mit-short-6": "This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details.",
+    "mit-short-7": "This project is licensed under the MIT License.",
+    "apache2-short-2": "This project is licensed under the Apache License 2.0.",
+    "cc-by-short-2": "Licensed under CC BY 4.0.",
+    "cc-by-short-3": "Available under CC BY 4.0.",
+    "cc-by-sa-short-2": "Licensed under CC BY-SA 4.0.",
+    "cc-by-sa-short-3": "Available under CC BY-SA 4.0.",
+    "apache2-head": "Apache License",
+    "apache2-version": "Version 2.0, January 2004",
+    "gpl-head": "GNU GENERAL PUBLIC LICENSE",
+    "lgpl-head": "GNU LESSER GENERAL PUBLIC LICENSE",
+    "agpl-head": "GNU AFFERO GENERAL PUBLIC LICENSE",
+    "gpl2-version": "Version 2, June 1991",
+    "gpl3-version": "Version 3, 29 June 2007",
+    "agpl3-version": "Version 3, 19 November 2007",
+    "lgpl21-version": "Version 2.1, February 1999",
+    "gpl2-as-published": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "isc-2": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "spdx": "SPDX-License-Identifier:",
 }
 # Identifiers that a line may name outright.
@@ -73,7 +100,9 @@ SPDX = (
     "MIT ISC Zlib Unlicense WTFPL BSL-1.0 Apache-2.0 BSD-2-Clause BSD-3-Clause MPL-2.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later "
     "LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0"
 ).split()
-SENTENCES |= {f"spdx-{i}": i for i in SPDX}
+# Older identifiers of the same licences.
+OLDER = {f"{name}{mark}": f"{name}-{word}" for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for mark, word in (("", "only"), ("+", "or-later"))}
+SENTENCES |= {f"spdx-{i}": i for i in (*SPDX, *OLDER)}
 
 # The rules in order; an earlier rule takes precedence over the sentences that two rules claim.
 RULES = (
@@ -89,34 +118,51 @@ RULES = (
     ("MIT", ("mit-1", "mit-2", "mit-3")),
     ("MIT", ("mit-1", "mit-2")),
     ("Apache-2.0", ("apache2-1", "apache2-2")),
+    ("Apache-2.0", ("apache2-head", "apache2-version")),
+    ("GPL-2.0-only", ("gpl-head", "gpl2-version")),
+    ("GPL-3.0-only", ("gpl-head", "gpl3-version")),
+    ("LGPL-2.1-only", ("lgpl-head", "lgpl21-version")),
+    ("LGPL-3.0-only", ("lgpl-head", "gpl3-version")),
+    ("AGPL-3.0-only", ("agpl-head", "agpl3-version")),
+    ("GPL-2.0-only", ("gpl2-1", "gpl2-as-published")),
     ("GPL-3.0-only", ("gpl3-short",)),
     ("MIT", ("mit-short",)),
-    ("MIT", ("mit-short-2",)),
+    *(("MIT", (f"mit-short-{k}",)) for k in range(2, 8)),
     ("CC-BY-NC-4.0", ("cc-by-nc-short",)),
-    ("CC-BY-4.0", ("cc-by-short",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa-short",)),
+    *(("CC-BY-4.0", (f"cc-by-short{k}",)) for k in ("", "-2", "-3")),
+    *(("CC-BY-SA-4.0", (f"cc-by-sa-short{k}",)) for k in ("", "-2", "-3")),
     ("CC0-1.0", ("cc0-short",)),
     ("Apache-2.0", ("apache2-short",)),
+    ("Apache-2.0", ("apache2-short-2",)),
     ("BSD-3-Clause", ("bsd-1", "bsd-2", "bsd-3", "bsd-4")),
+    ("BSD-3-Clause", ("bsd-1", "bsd-2", "bsd-3", "bsd-4a", "bsd-4b")),
     ("BSD-2-Clause", ("bsd-1", "bsd-2", "bsd-3")),
     ("LicenseRef-BSD", ("bsd-1",)),
     ("ISC", ("isc-1",)),
+    ("ISC", ("isc-2",)),
     ("Zlib", ("zlib-1", "zlib-2", "zlib-3")),
     ("BSL-1.0", ("boost-1",)),
     ("Unlicense", ("unlicense-1",)),
     ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-short",)),
     ("CC-BY-ND-4.0", ("cc-by-nd-short",)),
     *((i, ("spdx", f"spdx-{i}")) for i in SPDX),
+    *((new, ("spdx", f"spdx-{old}")) for old, new in OLDER.items()),
 )
 
 
 def plain(sentence: str) -> str:
-    """Normal form of a known sentence: A-Z lower-cased, everything else but a-z and digits a single blank."""
+    """Normal form of a known sentence: A-Z lower-cased, a plus as a letter, everything else but a-z and digits a single blank."""
     return re.sub(r"[^a-z0-9]+", " ", sentence.translate(str.maketrans(UPPER, LOWER))).strip(" ")
 
 
 def plain_column(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
+    """As `plain`; a name in a slot is left out."""
+    return filled(F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " ")))
+
+
+def filled(norm: Column) -> Column:
+    whole = F.when(F.contains(norm, F.lit(SLOT_TAIL)), F.regexp_replace(norm, SLOT, FILLED)).otherwise(F.lit(CUT_SHORT))
+    return F.when(F.startswith(norm, F.lit(SLOT_HEAD)), whole).otherwise(norm)
 
 
 def sentences(text: Column, wrapped: bool) -> Column:
