@@ -156,11 +156,11 @@ def plain(sentence: str) -> str:
 
 
 def plain_column(sentence: Column) -> Column:
-    """As `plain`; a name in a slot is left out."""
-    return filled(F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " ")))
+    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
 
 
 def filled(norm: Column) -> Column:
+    """A normal form with the name in its slot left out."""
     whole = F.when(F.contains(norm, F.lit(SLOT_TAIL)), F.regexp_replace(norm, SLOT, FILLED)).otherwise(F.lit(CUT_SHORT))
     return F.when(F.startswith(norm, F.lit(SLOT_HEAD)), whole).otherwise(norm)
 
@@ -169,7 +169,8 @@ def sentences(text: Column, wrapped: bool) -> Column:
     """Normal forms of the sentences of a text in their order; list numbers and the like, shorter than LEAST, do not count."""
     joined = F.translate(F.regexp_replace(text, EMPTY_LINE, END), "\n", " ") if wrapped else F.translate(text, "\n", END)
     cut = F.split(F.regexp_replace(joined, STOP, "$1" + END), END)
-    return F.filter(F.transform(cut, plain_column), lambda s: F.length(s) >= LEAST)
+    # Two transforms, so that a normal form is worked out once and not wherever it is looked at.
+    return F.filter(F.transform(F.transform(cut, plain_column), filled), lambda s: F.length(s) >= LEAST)
 
 
 def recognised(docs: DataFrame) -> DataFrame:
