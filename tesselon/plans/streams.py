@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tesselon.functions import models
 from tesselon.operators.raster_window import CENTROIDS, FEATURES, image_features
+from tesselon.plans import logs
 from tesselon.plans import raster_sql as d
+from tesselon.plans.logs import TTL_DAYS
 from tesselon.plans.requests import EMA, PARSED
 from tesselon.sources import files, views
 from tesselon.sources.views import sql
@@ -19,15 +21,15 @@ from tesselon.streaming import operators as s
 GAP = "40 minutes"
 
 
-def streamed(view, table: str):
-    """``view`` over the stream of ``table`` instead of the table."""
+def streamed(view):
+    """``view`` over the streams of its tables instead of the tables."""
 
     def read(spark, sf) -> DataFrame:
-        kept, views.table = views.table, lambda sp, folder, name: s.stream_table(sp, folder, name)
+        token = views.READER.set(s.stream_table)
         try:
             return view(spark, sf)
         finally:
-            views.table = kept
+            views.READER.reset(token)
 
     return read
 
@@ -91,20 +93,20 @@ def k10(spark, sf):
 
 
 def k9(spark, sf):
-    return s.drained(streamed(views.requests, "orders")(spark, sf).select("request_id", "file_name")).drop("batch_id")
+    return s.drained(streamed(views.requests)(spark, sf).select("request_id", "file_name")).drop("batch_id")
 
 
 def t1(spark, sf):
-    return s.latest(s.drained(s.stream_latest_node(timed(streamed(views.heartbeats, "events")(spark, sf))), "update"), ["node_id"])
+    return s.latest(s.drained(s.stream_latest_node(timed(streamed(views.heartbeats)(spark, sf))), "update"), ["node_id"])
 
 
 def t2(spark, sf):
-    log = timed(streamed(views.task_log, "events")(spark, sf)).withColumn("idempotency_key", F.concat_ws("-", "signature", "task_id"))
-    return s.drained(s.stream_dedupe(log, "365 days").select("idempotency_key")).select("idempotency_key")
+    told = s.drained(s.stream_dedupe(s.task_events(streamed(views.tasks)(spark, sf)), TTL_DAYS))
+    return told.select("task_id", F.coalesce("reuses", "task_id").alias("result_of"))
 
 
 def t3(spark, sf):
-    beats = timed(streamed(views.heartbeats, "events")(spark, sf))
+    beats = timed(streamed(views.heartbeats)(spark, sf))
     rows = s.drained(s.stream_heartbeat_sessions(beats, GAP), "complete")
     last = rows.agg(F.max("batch_id").alias("batch_id"))
     ntz = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("alive_from", "alive_until")]
@@ -112,17 +114,17 @@ def t3(spark, sf):
 
 
 def t4(spark, sf):
-    return s.progress_upsert(streamed(views.task_log, "events")(spark, sf))
+    return s.progress_upsert(streamed(views.task_log)(spark, sf))
 
 
 def t5(spark, sf):
-    rows = s.latest(s.drained(s.stream_ema(streamed(views.task_log, "events")(spark, sf)), "update"), ["signature"])
+    rows = s.latest(s.drained(s.stream_ema(streamed(views.task_log)(spark, sf)), "update"), ["signature"])
     return rows.select("signature", F.round("ema_ms", 6).alias("ema_ms"), "n")
 
 
 def t6(spark, sf):
     path = files.scratch(spark, "intake")
-    s.drained(s.stream_normalize(streamed(views.requests, "orders")(spark, sf)).select("request_id", "reason"), each=s.two_sinks(f"{path}/good", f"{path}/bad"))
+    s.drained(s.stream_normalize(streamed(views.requests)(spark, sf)).select("request_id", "reason"), each=s.two_sinks(f"{path}/good", f"{path}/bad"))
     both = [spark.read.schema("request_id bigint, reason string, batch_id bigint").parquet(f"{path}/{kind}").withColumn("sink", F.lit(kind)) for kind in ("good", "bad")]
     return both[0].union(both[1]).select("request_id", "reason", "sink")
 
@@ -170,7 +172,7 @@ _ALL = [
     ("k9_stream_tasks", k9, "requests", " SELECT request_id, file_name FROM requests"),
     ("k10_probe_header", k10, "px px_wide", f" SELECT image_id, CASE WHEN image_id % 7 = 0 THEN NULL WHEN image_id % 2 = 0 THEN 'png' ELSE 'gif' END AS format, CASE WHEN image_id % 7 <> 0 THEN w ELSE 0 END AS width, CASE WHEN image_id % 7 <> 0 THEN h ELSE 0 END AS height FROM {d.sizes('px_wide')}"),
     ("t1_stream_latest_node", t1, "heartbeats", " SELECT node_id, arg_max(queue_size, (ts, event_id)) AS queue_size, arg_max(workers_busy, (ts, event_id)) AS workers_busy, arg_max(cpu_percent, (ts, event_id)) AS cpu_percent, count(*) AS beats FROM heartbeats GROUP BY node_id"),
-    ("t2_stream_dedupe", t2, "task_log", " SELECT DISTINCT concat(signature, '-', CAST(task_id AS STRING)) AS idempotency_key FROM task_log"),
+    ("t2_stream_dedupe", t2, "", ""),
     ("t3_stream_heartbeat_sessions", t3, "heartbeats", """, marked AS (SELECT node_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY node_id ORDER BY ts) + INTERVAL 40 MINUTE THEN 1 ELSE 0 END AS fresh FROM heartbeats),
       numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY node_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM marked)
       SELECT node_id, min(ts) AS alive_from, max(ts) + INTERVAL 40 MINUTE AS alive_until, count(*) AS beats FROM numbered GROUP BY node_id, k"""),
@@ -183,4 +185,4 @@ _ALL = [
     ("u3_adapter_output", u3, "px", NEAR + ", f AS (SELECT image_id, brightness FROM c_f) SELECT image_id, CASE WHEN brightness <= 0.6e0 THEN label END AS label, CASE WHEN brightness <= 0.6e0 THEN round(1.0e0 / (1.0e0 + distance), 4) END AS score FROM best JOIN f USING (image_id) WHERE n = 1"),
 ]
 QUERIES = {name: run for name, run, _, _ in _ALL}
-ORACLE_SQL = {name: sql(tables, body) for name, _, tables, body in _ALL if tables}
+ORACLE_SQL = {name: sql(tables, body) for name, _, tables, body in _ALL if tables} | {"t2_stream_dedupe": logs.ORACLE_SQL["l1_dedupe_ttl"]}

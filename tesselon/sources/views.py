@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: How stored tables are read by this thread, if not as they stand: a stream of their files, for one.
+READER: ContextVar = ContextVar("reader", default=None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = READER.get()
+    return reader(spark, sf_dir, name) if reader else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def px(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,9 +52,66 @@ def stream_latest_node(beats: DataFrame) -> DataFrame:
     return beats.groupBy("node_id").agg(last.alias("m"), F.count("*").alias("beats")).select("node_id", "m.*", "beats")
 
 
-def stream_dedupe(tasks: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """First row of each ``idempotency_key`` within ``ttl``; the time to live runs from the first arrival, not from completion."""
-    return tasks.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["idempotency_key"])
+class KeptTask(StatefulProcessor):
+    """State per key: the task that runs and when it completed, null while it is in flight. A timer takes the state away once its time
+    to live, counted from completion, lies behind the watermark."""
+
+    def __init__(self, ttl_us: int):
+        self.ttl = ttl_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("kept", "task bigint, done bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
+        task, done = self.state.get() if self.state.exists() else (None, None)
+        before = (task, done)
+        batch = pd.concat(list(rows)).sort_values(["ts", "completes", "task_id"])
+        micros = batch["ts"].astype("datetime64[us]").astype("int64")
+        told = []
+        for at, completes, own in zip(micros.tolist(), batch["completes"].tolist(), batch["task_id"].tolist()):
+            if completes:
+                done = at if own == task and done is None else done
+            elif task is None or (done is not None and at > done + self.ttl):
+                task, done = own, None
+                told.append((own, None))
+            else:
+                told.append((own, task))
+        if task is not None and (task, done) != before:
+            self.state.update((task, done))
+            if done is not None:
+                self.handle.registerTimer((done + self.ttl) // 1000 + 1)
+        yield pd.DataFrame({"task_id": pd.array([t for t, _ in told], "Int64"), "reuses": pd.array([r for _, r in told], "Int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        done = self.state.get()[1] if self.state.exists() else None
+        # A timer of a task that another one has followed finds the newer task's state and leaves it.
+        if done is not None and (done + self.ttl) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def task_events(tasks: DataFrame) -> DataFrame:
+    """Tasks ``(task_id, idempotency_key, created_at, finished_at)`` as what happens to them: ``(idempotency_key, task_id, ts, completes)``,
+    their arrival and, if they finished, their completion."""
+    event = lambda at, done: F.struct(F.col(at).cast("timestamp").alias("ts"), F.lit(done).alias("completes"))
+    return tasks.select("idempotency_key", "task_id", F.inline(F.array(event("created_at", False), event("finished_at", True)))).where("ts is not null")
+
+
+def stream_dedupe(events: DataFrame, ttl_days: int, late: str = "1 hour") -> DataFrame:
+    """``(task_id, reuses)`` for each task as it arrives: the task whose result it reuses, null if it runs itself.
+
+    As `dedupe_ttl`: the time to live runs from the completion of the task that ran, one in flight never expires. A batch counts in time
+    order; what is more than ``late`` behind the newest event is dropped, what comes late within it is decided when it comes. A key's
+    events of one batch, four narrow columns, are in one task. Needs the RocksDB state store; keys may be null and are one key then.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    keyed = events.select("idempotency_key", "task_id", "ts", "completes").withWatermark("ts", late).groupBy("idempotency_key")
+    kept = KeptTask(ttl_days * 86_400_000_000)
+    return keyed.transformWithStateInPandas(kept, outputStructType="task_id bigint, reuses bigint", outputMode="append", timeMode="EventTime")
 
 
 def stream_heartbeat_sessions(beats: DataFrame, gap: str) -> DataFrame:

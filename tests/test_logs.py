@@ -86,6 +86,36 @@ def test_latest_node_over_batches_equals_batch(spark, replay):
     assert sorted(map(tuple, s.latest(rows, ["node_id"]).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_stream_dedupe_over_batches_equals_batch(spark, tmp_path):
+    """A replay of tasks in six batches by event time decides what the batch form decides; state goes once all has expired."""
+    rng = random.Random(8)
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [(k, rng.choice(["hot", "hot", "a", "b", None]), at(k), at(k + rng.choice([0, 1, 30, 100]))) for k in range(600)]
+    df = spark.createDataFrame(rows, "task_id long, idempotency_key string, created_at timestamp_ntz, finished_at timestamp_ntz")
+    events = s.task_events(df)
+    assert events.count() == 1200
+    cuts = [0, 100, 200, 300, 400, 500, 10**6]
+    for k in range(6):
+        hour = F.timestamp_diff("HOUR", F.lit("2024-01-01").cast("timestamp"), F.col("ts"))
+        events.where((hour >= cuts[k]) & (hour < cuts[k + 1])).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    # An event of another key much later moves the watermark past all times to live.
+    spark.createDataFrame([("z", 9999, at(10**5), False)], events.schema).coalesce(1).write.parquet(f"{tmp_path}/in/6")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    out = f"{tmp_path}/out"
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch_id={n}")
+    run = s.stream_dedupe(source, 2).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    run.awaitTermination()
+    got = spark.read.schema("task_id bigint, reuses bigint, batch_id bigint").parquet(out)
+    assert got.select("batch_id").distinct().count() >= 7
+    told = {r["task_id"]: r["reuses"] for r in got.collect()}
+    assert told.pop(9999) is None
+    want = {r["task_id"]: r["reuses"] for r in t.dedupe_ttl(df, 2).collect()}
+    assert told == want
+    assert 10 < sum(v is None for v in want.values()) < 590
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    assert held[-1] < max(held)
+
+
 def test_moving_average_over_batches_equals_batch(spark, replay):
     from tesselon.operators.costing import ema_service_ms
 
