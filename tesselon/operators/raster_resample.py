@@ -168,7 +168,8 @@ def watermark_overlay(px: DataFrame, mask: DataFrame, mask_width: int, mask_heig
     shifted by half a tile; turn it by ``angle``, cut the centre and composite it at ``opacity``.
 
     The mask is a glyph picture, as small as its text; the overlay is looked up by modulo coordinates, so no canvas is
-    built. The turn is nearest-neighbour on the overlay.
+    built. The turn is bicubic: a pixel's 16 taps into the mask are summed, premultiplied, where the pixel is, so that edges are covered
+    in part and one row per pixel is shuffled.
     """
     tw, th = mask_width + gap, mask_height + gap
     fill = COLOURS.get(color.lower(), COLOURS["white"])
@@ -180,18 +181,23 @@ def watermark_overlay(px: DataFrame, mask: DataFrame, mask_width: int, mask_heig
     sized = sized.withColumn("d", diag)
     dx = F.col("x") + F.floor((F.col("d") - F.col("w")) / 2) + F.lit(0.5) - F.col("d") / 2.0
     dy = F.col("y") + F.floor((F.col("d") - F.col("h")) / 2) + F.lit(0.5) - F.col("d") / 2.0
-    u = F.floor(F.round(dx * F.lit(cos) - dy * F.lit(sin) + F.col("d") / 2.0, 9)).cast("int")
-    v = F.floor(F.round(dx * F.lit(sin) + dy * F.lit(cos) + F.col("d") / 2.0, 9)).cast("int")
-    placed = sized.withColumn("u", u).withColumn("v", v)
-    on = F.col("u").between(F.lit(0), F.col("d") - 1) & F.col("v").between(F.lit(0), F.col("d") - 1)
-    shift = F.pmod(F.floor(F.col("v") / th), F.lit(2)) * (tw // 2)
-    placed = placed.withColumn("my", F.when(on, F.pmod("v", F.lit(th))).cast("int")).withColumn("mx", F.when(on, F.pmod(F.col("u") - shift, F.lit(tw))).cast("int"))
-    marked = placed.join(mask, ["my", "mx"], "left")
+    half = F.col("d") / 2.0 - F.lit(0.5)
+    placed = sized.withColumn("u", F.round(dx * F.lit(cos) - dy * F.lit(sin) + half, 9)).withColumn("v", F.round(dx * F.lit(sin) + dy * F.lit(cos) + half, 9))
+    on = F.col("u").between(F.lit(-0.5), F.col("d") - F.lit(0.5)) & F.col("v").between(F.lit(-0.5), F.col("d") - F.lit(0.5))
+    taps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-1, 3) for j in range(-1, 3)])
+    each = placed.select(*PX, "u", "v", "d", F.explode(F.when(on, taps).otherwise(F.array(F.struct(F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("j"))))).alias("tap"))
+    tu, tv = F.floor("u") + F.col("tap.i"), F.floor("v") + F.col("tap.j")
+    held = lambda t: F.least(F.greatest(t, F.lit(0)), F.col("d") - 1)
+    each = each.withColumn("weight", _cubic(F.col("u") - tu) * _cubic(F.col("v") - tv)).withColumn("tu", F.when(tu.isNotNull(), held(tu))).withColumn("tv", F.when(tv.isNotNull(), held(tv)))
+    shift = F.pmod(F.floor(F.col("tv") / th), F.lit(2)) * (tw // 2)
+    each = each.withColumn("my", F.pmod("tv", F.lit(th)).cast("int")).withColumn("mx", F.pmod(F.col("tu") - shift, F.lit(tw)).cast("int"))
+    cover = lambda kind, name: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("weight"))), F.lit(0.0)).alias(name)
+    marked = each.join(mask, ["my", "mx"], "left").groupBy("image_id", "y", "x").agg(*[F.first(c).alias(c) for c in RGB], cover(1, "glyph"), cover(2, "outline"))
     share = F.lit(opacity / 255.0)
 
     def over(k: int) -> Column:
-        c = F.col(RGB[k])
-        top = F.when(F.col("kind") == 1, F.lit(fill[k])).otherwise(F.lit(line[k]))
-        return F.when(F.col("kind").isNull(), c).otherwise(channel(c * (F.lit(1.0) - share) + top * share)).alias(RGB[k])
+        whole = F.least(F.greatest(F.col("glyph") + F.col("outline"), F.lit(0.0)), F.lit(1.0))
+        ink = F.least(F.greatest(F.col("glyph") * F.lit(fill[k]) + F.col("outline") * F.lit(line[k]), F.lit(0.0)), whole * F.lit(255.0))
+        return channel(F.col(RGB[k]) * (F.lit(1.0) - whole * share) + ink * share).alias(RGB[k])
 
     return marked.select("image_id", "y", "x", *[over(k) for k in range(3)])

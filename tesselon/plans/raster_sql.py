@@ -93,9 +93,12 @@ def pixelate(src, dst, block):
 JOIN {src} s ON s.image_id = o.image_id AND s.y = o.sy AND s.x = o.sx)"""
 
 
+def cubic(t):
+    return f"CASE WHEN abs({t}) <= 1 THEN 1.5e0 * abs({t})**3 - 2.5e0 * abs({t})**2 + 1 WHEN abs({t}) < 2 THEN -0.5e0 * abs({t})**3 + 2.5e0 * abs({t})**2 - 4e0 * abs({t}) + 2 ELSE 0e0 END"
+
+
 def rotate(src, dst, angle, fill):
     cos, sin = round(math.cos(math.radians(angle)), 12), round(math.sin(math.radians(angle)), 12)
-    cubic = lambda t: f"CASE WHEN abs({t}) <= 1 THEN 1.5e0 * abs({t})**3 - 2.5e0 * abs({t})**2 + 1 WHEN abs({t}) < 2 THEN -0.5e0 * abs({t})**3 + 2.5e0 * abs({t})**2 - 4e0 * abs({t}) + 2 ELSE 0e0 END"
     return f"""{dst}_z AS (SELECT *, CAST(ceil(round(w * {abs(cos)!r}e0 + h * {abs(sin)!r}e0, 9)) AS INT) AS nw, CAST(ceil(round(h * {abs(cos)!r}e0 + w * {abs(sin)!r}e0, 9)) AS INT) AS nh FROM {sizes(src)}),
 {dst}_g AS (SELECT *, round((ox + 0.5e0 - nw / 2.0e0) * {cos!r}e0 - (oy + 0.5e0 - nh / 2.0e0) * {sin!r}e0 + w / 2.0e0 - 0.5e0, 9) AS sx,
   round((ox + 0.5e0 - nw / 2.0e0) * {sin!r}e0 + (oy + 0.5e0 - nh / 2.0e0) * {cos!r}e0 + h / 2.0e0 - 0.5e0, 9) AS sy
@@ -111,13 +114,20 @@ def watermark(src, dst, mask, mw, mh, opacity, angle, gap):
     cos, sin = round(math.cos(math.radians(angle)), 12), round(math.sin(math.radians(angle)), 12)
     tw, th = mw + gap, mh + gap
     values = ", ".join(f"({a}, {b}, {k})" for a, b, k in mask)
-    over = lambda c: f"CASE WHEN kind IS NULL THEN {c} ELSE {q(f'{c} * (1.0e0 - {opacity / 255.0!r}e0) + CASE WHEN kind = 1 THEN 255 ELSE 0 END * {opacity / 255.0!r}e0')} END AS {c}"
+    share = f"{opacity / 255.0!r}e0"
+    whole = "least(greatest(cg + cl, 0e0), 1e0)"
+    over = lambda c: q(f"{c} * (1.0e0 - {whole} * {share}) + least(greatest(cg * 255e0, 0e0), {whole} * 255e0) * {share}") + f" AS {c}"
+    held = lambda t: f"least(greatest({t}, 0), d - 1)"
     return f"""{dst}_m(my, mx, kind) AS (VALUES {values}),
 {dst}_d AS (SELECT s.*, w, h, CAST(floor(sqrt(CAST(w * w + h * h AS DOUBLE))) AS INT) AS d FROM {src} s JOIN {sizes(src)} z USING (image_id)),
 {dst}_o AS (SELECT *, x + floor((d - w) / 2.0e0) + 0.5e0 - d / 2.0e0 AS dx, y + floor((d - h) / 2.0e0) + 0.5e0 - d / 2.0e0 AS dy FROM {dst}_d),
-{dst}_u AS (SELECT *, CAST(floor(round(dx * {cos!r}e0 - dy * {sin!r}e0 + d / 2.0e0, 9)) AS INT) AS u, CAST(floor(round(dx * {sin!r}e0 + dy * {cos!r}e0 + d / 2.0e0, 9)) AS INT) AS v FROM {dst}_o),
-{dst}_p AS (SELECT *, u BETWEEN 0 AND d - 1 AND v BETWEEN 0 AND d - 1 AS inside, (u - (v // {th}) % 2 * {tw // 2} + 4 * {tw}) % {tw} AS mx, v % {th} AS my FROM {dst}_u),
-{dst} AS (SELECT image_id, y, x, {", ".join(over(c) for c in RGB)} FROM {dst}_p p LEFT JOIN {dst}_m m ON p.inside AND m.my = p.my AND m.mx = p.mx)"""
+{dst}_u AS (SELECT *, round(dx * {cos!r}e0 - dy * {sin!r}e0 + d / 2.0e0 - 0.5e0, 9) AS u, round(dx * {sin!r}e0 + dy * {cos!r}e0 + d / 2.0e0 - 0.5e0, 9) AS v FROM {dst}_o),
+{dst}_t AS (SELECT *, {cubic("(u - tu)")} AS wu, {cubic("(v - tv)")} AS wv, CAST({held("tu")} AS INT) AS hu, CAST({held("tv")} AS INT) AS hv FROM (
+  SELECT image_id, y, x, d, u, v, floor(u) + i.i AS tu, floor(v) + j.j AS tv FROM {dst}_u CROSS JOIN (SELECT unnest(range(-1, 3)) AS i) i CROSS JOIN (SELECT unnest(range(-1, 3)) AS j) j
+    WHERE u >= -0.5e0 AND u <= d - 0.5e0 AND v >= -0.5e0 AND v <= d - 0.5e0)),
+{dst}_p AS (SELECT image_id, y, x, wu * wv AS wt, (hu - (hv // {th}) % 2 * {tw // 2} + 4 * {tw}) % {tw} AS mx, hv % {th} AS my FROM {dst}_t),
+{dst}_s AS (SELECT image_id, y, x, coalesce(sum(wt) FILTER (kind = 1), 0e0) AS cg, coalesce(sum(wt) FILTER (kind = 2), 0e0) AS cl FROM {dst}_p JOIN {dst}_m USING (my, mx) GROUP BY image_id, y, x),
+{dst} AS (SELECT image_id, y, x, {", ".join(over(c) for c in RGB)} FROM (SELECT t.*, coalesce(cg, 0e0) AS cg, coalesce(cl, 0e0) AS cl FROM {src} t LEFT JOIN {dst}_s USING (image_id, y, x)))"""
 
 
 def blur(src, dst, radius):

@@ -94,6 +94,18 @@ def test_watermark_reaches_all_quarters(spark):
     assert changed.count() == 4
 
 
+def test_watermark_edges_are_covered_in_part(spark):
+    """A bar turned by 30 degrees on black: full in its middle, between at its edges, nothing outside; half a turn and none are sharp."""
+    image = flat(spark, 40, 40, (0, 0, 0))
+    mask = spark.createDataFrame([(y, x, 1) for y in range(20) for x in range(10)], "my int, mx int, kind int")
+    tones = lambda angle: {r["r"] for r in resample.watermark_overlay(image, mask, 10, 20, 255, angle, "white", 10).select("r").distinct().collect()}
+    assert tones(0.0) == {0, 255} and tones(180.0) == {0, 255}
+    seen = tones(30.0)
+    assert {0, 255} < seen and len(seen) > 20
+    pale = resample.watermark_overlay(image, mask, 10, 20, 51, 30.0, "white", 10).agg(F.max("r")).first()[0]
+    assert pale == 51
+
+
 def test_unknown_transform_is_refused(px):
     with pytest.raises(ValueError):
         apply_pipeline(px, [("swirl", {})])
