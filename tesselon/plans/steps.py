@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.functions.pixels import PX, RGB, channel, image_sizes
+from tesselon.functions.pixels import PX, RGB, channel, image_sizes, shuffled
 from tesselon.operators import raster_resample as resample
 from tesselon.operators import raster_window as window
 from tesselon.plans.pipeline import NO_PIXELS, Glyphs
@@ -124,7 +124,7 @@ def _pixel(now: Column) -> Column:
 
 def _lightly(px: DataFrame, image: DataFrame) -> DataFrame:
     """Point steps and turns of ``image(image_id, now, to, kind, p)``; keeps the image's next ``kind``, ``p`` and sides."""
-    joined = px.select(*PX).join(image, "image_id")
+    joined = px.select(*PX).join(shuffled(image), "image_id")
     moved = lambda a: (F.col(f"to.{a}x") * F.col("x") + F.col(f"to.{a}y") * F.col("y") + F.col(f"to.{a}0")).cast("int")
     points = F.filter("now", lambda s: s["kind"] == "point")
     drawn = joined.withColumn("c", _pixel(points))
@@ -137,7 +137,7 @@ def _p(k: int) -> Column:
 
 def _cropped(px: DataFrame, images: DataFrame) -> DataFrame:
     box = images.select("image_id", "w", "h", *[F.rint(_p(k)).cast("int").alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
-    inside = px.select(*PX).join(box, "image_id").where("x >= x0 and x < x1 and y >= y0 and y < y1")
+    inside = px.select(*PX).join(shuffled(box), "image_id").where("x >= x0 and x < x1 and y >= y0 and y < y1")
     moved = inside.select("image_id", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), *RGB)
     outside = box.where("(x0 < 0 or y0 < 0 or w < x1 or h < y1) and x1 > x0 and y1 > y0")
     grid = outside.select("*", F.explode(F.sequence(F.lit(0), F.expr("y1 - y0 - 1"))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.expr("x1 - x0 - 1"))).alias("x"))
@@ -177,7 +177,7 @@ def _by_kind(kind: str, px: DataFrame, images: DataFrame, glyphs: Glyphs | None,
     parts = []
     for r in told.drop("image_id").distinct().collect():
         mask, wide, high = glyphs(r["text"], int(float(r["size"])))
-        mine = px.join(told.where(reduce(lambda a, c: a & (F.col(c) == F.lit(r[c])), ("text", "size", "opacity", "angle", "color"), F.lit(True))).select("image_id"), "image_id", "left_semi")
+        mine = px.join(shuffled(told.where(reduce(lambda a, c: a & (F.col(c) == F.lit(r[c])), ("text", "size", "opacity", "angle", "color"), F.lit(True))).select("image_id")), "image_id", "left_semi")
         parts.append(resample.watermark_overlay(mine.select(*PX), mask, wide, high, int(float(r["opacity"])), float(r["angle"]), r["color"]))
     return reduce(DataFrame.unionByName, parts)
 
@@ -210,7 +210,7 @@ def apply_specs(px: DataFrame, specs: DataFrame, glyphs: Glyphs | None = None) -
         now = F.slice("done", since, F.greatest(upto - since, F.lit(0)))
         return table.where(F.size("spots") >= k).select("image_id", now.alias("now"), F.get(marks, F.lit(k))["kind"].alias("kind"), F.get(marks, F.lit(k))["p"].alias("p"), F.size(F.filter(F.slice(marks, 1, k + 1), lambda s: s["kind"] == "watermark_text")).alias("masks"))
 
-    now, finished = px.select(*PX), [px.select(*PX).join(table.select("image_id"), "image_id", "left_anti")]
+    now, finished = px.select(*PX), [px.select(*PX).join(shuffled(table.select("image_id")), "image_id", "left_anti")]
     for k in range(rounds + 1):
         image = _turned(cut(k).join(image_sizes(now), "image_id"))
         drawn = _lightly(now, image.drop("w", "h"))
@@ -230,7 +230,7 @@ def apply_specs(px: DataFrame, specs: DataFrame, glyphs: Glyphs | None = None) -
             for number in sorted(row["masks"]) if kind == "watermark_text" else [0]:
                 mine = images.where((F.col("kind") == kind) & ((F.col("masks") == number) if kind == "watermark_text" else F.lit(True)))
                 own = drawn.where(F.col("kind") == kind)
-                own = own.join(mine.select("image_id"), "image_id", "left_semi") if kind == "watermark_text" else own
+                own = own.join(shuffled(mine.select("image_id")), "image_id", "left_semi") if kind == "watermark_text" else own
                 parts.append(_by_kind(kind, own, mine, glyphs, once, number).select(*PX))
         path = scratch(px.sparkSession, f"after{k}")
         reduce(DataFrame.unionByName, parts).write.parquet(path)
