@@ -167,8 +167,14 @@ def test_rows_per_pixel_and_image_are_not_broadcast(spark):
     """The planner takes exploded pixels for as few as the stored rows; only weights, as many as there are distinct sides, and masks may be broadcast."""
     px = views.px_wide(spark, "/root/testdata/sf0.001")
     mask = spark.createDataFrame([(0, 0, 1)], "my int, mx int, kind int")
-    steps = [("rotate", {"angle": "30"}), ("pixelate", {"block_size": "3"}), ("contrast", {"contrast": "1.4"}), ("watermark_text", {})]
+    steps = [("rotate", {"angle": "30"}), ("resize", {"width": "5", "height": "12"}), ("pixelate", {"block_size": "3"}), ("contrast", {"contrast": "1.4"}), ("watermark_text", {})]
     outs = [apply_pipeline(px, [step], lambda text, size: (mask, 3, 3)) for step in steps] + [point.blend(px, point.grayscale(px), 0.5), point.flip(px), window.image_stats(px)]
     for out in outs:
         joins = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in line]
         assert all("n_in#" in line or "my#" in line for line in joins), joins
+
+
+def test_images_of_one_size_are_resized_in_many_parts(spark):
+    px = views.px_wide(spark, "/root/testdata/sf0.001")
+    joins = [line for line in resample.resize(px, 5, 12)._jdf.queryExecution().executedPlan().toString().split("\n") if "SortMergeJoin" in line and ("kx#" in line or "ky#" in line)]
+    assert len(joins) == 2 and all("part#" in line for line in joins)
