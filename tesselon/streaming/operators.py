@@ -17,9 +17,10 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
-    """A Parquet table of ``folder`` as a stream of its files, a bounded number of them per batch."""
+    """A Parquet table of ``folder``, one file or a folder of files, as a stream of its files, a bounded number of them per batch."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # A pattern, since a stream takes a plain path for a folder.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{name}.parque[t]")
 
 
 def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
@@ -52,42 +53,67 @@ def stream_latest_node(beats: DataFrame) -> DataFrame:
     return beats.groupBy("node_id").agg(last.alias("m"), F.count("*").alias("beats")).select("node_id", "m.*", "beats")
 
 
-class KeptTask(StatefulProcessor):
-    """State per key: the task that runs and when it completed, null while it is in flight. A timer takes the state away once its time
-    to live, counted from completion, lies behind the watermark."""
+class KeptTasks(StatefulProcessor):
+    """State per bucket of keys: for each key the task that runs and when it completed, null while it is in flight. A timer, set for the
+    first key of the bucket to expire, takes the keys away whose time to live, counted from completion, lies behind the watermark."""
 
     def __init__(self, ttl_us: int):
         self.ttl = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("kept", "task bigint, done bigint")
+        self.state = handle.getValueState("kept", "key array<string>, task array<bigint>, done array<bigint>, wake bigint")
+
+    def held(self) -> tuple[dict, int | None]:
+        """``(task, done)`` by key, and when the timer is set for."""
+        if not self.state.exists():
+            return {}, None
+        keys, tasks, done, wake = self.state.get()
+        return dict(zip(keys, zip(tasks, done))), wake
+
+    def keep(self, held: dict, wake: int | None) -> None:
+        """Write ``held``; ``wake`` is when the timer is set for."""
+        first = min((done for _, done in held.values() if done is not None), default=None)
+        due = None if first is None else self.expiry(first)
+        if due != wake:
+            if wake is not None:
+                self.handle.deleteTimer(wake)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if held:
+            self.state.update((list(held), [task for task, _ in held.values()], [done for _, done in held.values()], due))
+        else:
+            self.state.clear()
+
+    def expiry(self, done: int) -> int:
+        return (done + self.ttl) // 1000 + 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
-        task, done = self.state.get() if self.state.exists() else (None, None)
-        before = (task, done)
-        batch = pd.concat(list(rows)).sort_values(["ts", "completes", "task_id"])
-        micros = batch["ts"].astype("datetime64[us]").astype("int64")
-        told = []
-        for at, completes, own in zip(micros.tolist(), batch["completes"].tolist(), batch["task_id"].tolist()):
+        held, wake = self.held()
+        batch = pd.concat(list(rows)).sort_values(["at", "completes", "task_id"])
+        keys = batch["idempotency_key"].astype(object)
+        tasks, reuses = [], []
+        for name, at, completes, own in zip(keys.where(keys.notna(), None).tolist(), batch["at"].tolist(), batch["completes"].tolist(), batch["task_id"].tolist()):
+            task, done = held.get(name, (None, None))
             if completes:
-                done = at if own == task and done is None else done
+                if own == task and done is None:
+                    held[name] = task, at
             elif task is None or (done is not None and at > done + self.ttl):
-                task, done = own, None
-                told.append((own, None))
+                held[name] = own, None
+                tasks.append(own)
+                reuses.append(None)
             else:
-                told.append((own, task))
-        if task is not None and (task, done) != before:
-            self.state.update((task, done))
-            if done is not None:
-                self.handle.registerTimer((done + self.ttl) // 1000 + 1)
-        yield pd.DataFrame({"task_id": pd.array([t for t, _ in told], "Int64"), "reuses": pd.array([r for _, r in told], "Int64")})
+                tasks.append(own)
+                reuses.append(task)
+        self.keep(held, wake)
+        yield pd.DataFrame({"task_id": pd.array(tasks, "Int64"), "reuses": pd.array(reuses, "Int64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        done = self.state.get()[1] if self.state.exists() else None
-        # A timer of a task that another one has followed finds the newer task's state and leaves it.
-        if done is not None and (done + self.ttl) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
-            self.state.clear()
+        held, wake = self.held()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        live = {name: (task, done) for name, (task, done) in held.items() if done is None or self.expiry(done) > now}
+        # The timer at hand is gone by itself.
+        self.keep(live, None if wake == expiredTimerInfo.getExpiryTimeInMs() else wake)
         return iter(())
 
     def close(self) -> None:
@@ -101,17 +127,21 @@ def task_events(tasks: DataFrame) -> DataFrame:
     return tasks.select("idempotency_key", "task_id", F.inline(F.array(event("created_at", False), event("finished_at", True)))).where("ts is not null")
 
 
-def stream_dedupe(events: DataFrame, ttl_days: int, late: str = "1 hour") -> DataFrame:
+def stream_dedupe(events: DataFrame, ttl_days: int, late: str = "1 hour", buckets: int = 1024) -> DataFrame:
     """``(task_id, reuses)`` for each task as it arrives: the task whose result it reuses, null if it runs itself.
 
     As `dedupe_ttl`: the time to live runs from the completion of the task that ran, one in flight never expires. A batch counts in time
-    order; what is more than ``late`` behind the newest event is dropped, what comes late within it is decided when it comes. A key's
-    events of one batch, four narrow columns, are in one task. Needs the RocksDB state store; keys may be null and are one key then.
+    order; what is more than ``late`` behind the newest event is dropped, what comes late within it is decided when it comes. Keys, told
+    apart by their text, are dealt into ``buckets`` by a hash, so that Python and the state store are called for each bucket of a batch and not for
+    each key; a bucket's events of one batch, four narrow columns, and its live keys are in one task, and what a stream was started with stays its number.
+    Needs the RocksDB state store; keys may be null and are one key then.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    keyed = events.select("idempotency_key", "task_id", "ts", "completes").withWatermark("ts", late).groupBy("idempotency_key")
-    kept = KeptTask(ttl_days * 86_400_000_000)
-    return keyed.transformWithStateInPandas(kept, outputStructType="task_id bigint, reuses bigint", outputMode="append", timeMode="EventTime")
+    name = F.col("idempotency_key").cast("string")
+    bucket = F.pmod(F.xxhash64(name), F.lit(buckets)).alias("bucket")
+    keyed = events.withWatermark("ts", late).select(bucket, name.alias("idempotency_key"), "task_id", "ts", F.unix_micros("ts").alias("at"), "completes")
+    kept = KeptTasks(ttl_days * 86_400_000_000)
+    return keyed.groupBy("bucket").transformWithStateInPandas(kept, outputStructType="task_id bigint, reuses bigint", outputMode="append", timeMode="EventTime")
 
 
 def stream_heartbeat_sessions(beats: DataFrame, gap: str) -> DataFrame:

@@ -117,6 +117,22 @@ def test_stream_dedupe_over_batches_equals_batch(spark, tmp_path):
     assert held[-1] < max(held)
 
 
+def test_stream_dedupe_holds_many_keys_in_few_rows_of_state(spark, tmp_path):
+    """5,000 keys in two files of a folder: no more rows of state than buckets, and what the batch form decides."""
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [(k, f"k{k % 5000}", at(k % 97), at(k % 97 + k % 60)) for k in range(12000)]
+    df = spark.createDataFrame(rows, "task_id long, idempotency_key string, created_at timestamp_ntz, finished_at timestamp_ntz")
+    df.repartition(2).write.parquet(f"{tmp_path}/tasks.parquet")
+    out = f"{tmp_path}/out"
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch_id={n}")
+    source = s.task_events(s.stream_table(spark, str(tmp_path), "tasks"))
+    run = s.stream_dedupe(source, 1).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    run.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]) <= 1024
+    got = spark.read.schema("task_id bigint, reuses bigint, batch_id bigint").parquet(out).drop("batch_id")
+    assert sorted(map(str, got.collect())) == sorted(map(str, t.dedupe_ttl(df, 1).collect()))
+
+
 def test_moving_average_over_batches_equals_batch(spark, replay):
     from tesselon.operators.costing import ema_service_ms
 
