@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tesselon.llm.shared import KEPT
+
 MARK = "▁"
 KNOWN_WORDS, KNOWN_PAIRS, KNOWN_LENGTH, RUN = 400_000, 1_000_000, 64, 256
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -388,6 +390,7 @@ class PieceTransducer:
 
 
 _compiled: dict[bytes, PieceTransducer] = {}
+KEPT.append(_compiled)
 
 
 def transducer(model: bytes) -> PieceTransducer:
