@@ -15,6 +15,7 @@ import hashlib
 import math
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from tesselon.llm.shared import KEPT
 
 MARK = "▁"
-KNOWN_WORDS, KNOWN_PAIRS, KNOWN_LENGTH, RUN = 400_000, 1_000_000, 64, 256
+KNOWN_WORDS, KNOWN_PARTS, KNOWN_PAIRS, KNOWN_LENGTH, RUN = 400_000, 200_000, 500_000, 64, 256
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 START, WORD, GAP = 0, 1, 2
@@ -149,6 +150,25 @@ class Arc(NamedTuple):
     ids: tuple[int, ...]
 
 
+class Known(dict):
+    """What was worked out, in two generations of at most ``most``: the older goes when the newer is full."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
+def packed(ids) -> bytes:
+    """Ids as 32-bit integers: far smaller than a tuple."""
+    return array("i", ids).tobytes()
+
+
 class PieceTransducer:
     """A compiled model. ``encode`` and ``decode`` take and give whole texts; memory for known words is bounded."""
 
@@ -176,7 +196,7 @@ class PieceTransducer:
         self.frozen = re.compile("|".join(map(re.escape, sorted(user, key=len, reverse=True)))) if user and self.kind == BPE else None
         self.joints = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.cut = self.cuts(rules, user)
-        self.words, self.older, self.parts, self.pairs = ({}, {}, {}), ({}, {}, {}), {}, {}
+        self.words, self.parts, self.pairs = [Known(KNOWN_WORDS) for _ in (START, WORD, GAP)], Known(KNOWN_PARTS), Known(KNOWN_PAIRS)
 
     def add(self, raw: bytes, user: list[str]) -> None:
         piece, score, kind = "", 0.0, NORMAL
@@ -235,8 +255,10 @@ class PieceTransducer:
     def hold_together(self, a: str, b: str) -> bool:
         """Whether the merges leave ``a`` and ``b`` as two pieces when the two stand side by side (``a`` empty: ``b`` as one)."""
         key = (a, b)
-        known = self.pairs.get(key)
-        if known is None:
+        known = self.pairs.older.get(key)
+        if known is not None:
+            self.pairs.keep(key, known)
+        else:
             parts, rank = [*a, *b], self.rank
             while len(parts) > 1:
                 low, at = math.inf, -1
@@ -248,9 +270,7 @@ class PieceTransducer:
                     break
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
             known = parts == ([a, b] if a else [b])
-            if len(self.pairs) >= KNOWN_PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = known
+            self.pairs.keep(key, known)
         return known
 
     def arcs(self, chunk: str, s: int) -> list[Arc]:
@@ -312,45 +332,41 @@ class PieceTransducer:
                     ahead.append(self.arcs(chunk, at))
         return path
 
-    def part(self, chunk: str) -> tuple[int, ...]:
+    def part(self, chunk: str) -> bytes:
         found = self.parts.get(chunk)
         if found is None:
-            found = self.path(chunk)
-            if len(self.parts) >= KNOWN_WORDS:
-                self.parts.clear()
+            found = self.parts.older.get(chunk)
+            if found is None:
+                found = packed(self.path(chunk))
             if len(chunk) <= KNOWN_LENGTH:
-                self.parts[chunk] = found
+                self.parts.keep(chunk, found)
         return found
 
-    def shortest(self, chunk: str) -> tuple[int, ...]:
-        """``path`` of a normalised stretch, cut where no piece holds both neighbours: the composition is in a single state there."""
+    def shortest(self, chunk: str) -> bytes:
+        """Packed ``path`` of a normalised stretch, cut where no piece holds both neighbours: the composition is in a single state there."""
         if self.frozen is not None:
             found, at = [], 0
             for m in self.frozen.finditer(chunk):
                 found += self.path(chunk[at : m.start()])
                 found.append(self.ids[m.group()])
                 at = m.end()
-            return tuple(found) + self.path(chunk[at:])
+            return packed(tuple(found) + self.path(chunk[at:]))
         joints = self.joints
         cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in joints]
         if not cuts:
-            return self.path(chunk)
-        return tuple(i for s, e in zip([0, *cuts], [*cuts, len(chunk)]) for i in self.part(chunk[s:e]))
+            return packed(self.path(chunk))
+        return b"".join(self.part(chunk[s:e]) for s, e in zip([0, *cuts], [*cuts, len(chunk)]))
 
-    def solved(self, stretch: str, state: int) -> tuple[tuple[int, ...], int]:
-        """Ids of a stretch not at hand and the normaliser's state behind it. Known ones live in two generations; the older goes when the newer is full."""
-        found = self.older[state].get(stretch)
+    def solved(self, stretch: str, state: int) -> tuple[bytes, int]:
+        """Ids of a stretch not at hand and the normaliser's state behind it. Those that end inside a word, nearly all, are kept."""
+        known = self.words[state]
+        found, then = known.older.get(stretch), WORD
         if found is None:
             written, then = self.normaliser.run(stretch, state)
-            found = self.shortest(written), then
-        if sum(map(len, self.words)) >= KNOWN_WORDS:
-            for older, newer in zip(self.older, self.words):
-                older.clear()
-                older.update(newer)
-                newer.clear()
-        if len(stretch) <= KNOWN_LENGTH:
-            self.words[state][stretch] = found
-        return found
+            found = self.shortest(written)
+        if then == WORD and len(stretch) <= KNOWN_LENGTH:
+            known.keep(stretch, found)
+        return found, then
 
     def encode(self, text: str | None) -> list[int]:
         """Piece ids of a whole text. Stretches between places where the composition is in a single state are solved
@@ -359,13 +375,15 @@ class PieceTransducer:
             text = text.rstrip(self.normaliser.tail)
         if not text:
             return []
-        out, words, state = [], self.words, START
+        raw, words, state = bytearray(), self.words, START
         for stretch in self.cut.findall(text) if self.cut else [text]:
             found = words[state].get(stretch)
             if found is None:
-                found = self.solved(stretch, state)
-            ids, state = found
-            out += ids
+                found, state = self.solved(stretch, state)
+            else:
+                state = WORD
+            raw += found
+        out = array("i", bytes(raw)).tolist()
         if not self.bytes:
             out = [i for k, i in enumerate(out) if i != self.unknown or not k or out[k - 1] != i]
         return out

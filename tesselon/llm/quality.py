@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesselon.llm.shared import bounded_sample, stored
+from tesselon.llm.shared import bounded_sample, forget, stored
 
 BUCKETS, DIM, EPOCHS, SAMPLE, MOST_FEATURES = 1 << 17, 8, 6, 4000, 1 << 24
 #: Steps for the vectors, of which a document moves each by its small share only, and for the softmax layer.
@@ -163,6 +163,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_f
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def count(batches):
+        forget()
         for batch in batches:
             found = shares(batch.column(2).to_pylist())
             columns = [pa.array([x.tobytes() for x in part], pa.binary()) for part in zip(*found)] if found else [pa.array([], pa.binary())] * 2
@@ -187,6 +188,7 @@ def quality_score(spark, model: np.ndarray):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         for texts in batches:
             yield pd.Series(score_texts(texts.tolist(), shipped.value))
 

@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tesselon.llm import licences, mixing, quality, secrets
+from tesselon.llm import licences, mixing, pieces, quality, secrets
 from tesselon.llm.entries import PIECES, op4_mixing, op9_quality_classifier
 from tesselon.llm.pieces import Normaliser, PieceTransducer, with_pieces
 
@@ -31,6 +31,20 @@ def test_pieces_equal_the_library(spark, coder):
         assert coder.decode(ids) == lib.decode(ids)
 
 
+def test_little_is_kept_and_ids_stay_equal(spark, monkeypatch):
+    for name, most in (("KNOWN_WORDS", 40), ("KNOWN_PARTS", 20), ("KNOWN_PAIRS", 30)):
+        monkeypatch.setattr(pieces, name, most)
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    with open(PIECES, "rb") as f:
+        few = PieceTransducer(f.read())
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    for t in [*texts, *texts[:20]]:
+        assert few.encode(t) == lib.encode(t), repr(t[:60])
+    for known, most in [*((w, 40) for w in few.words), (few.parts, 20), (few.pairs, 30)]:
+        assert len(known) <= most and len(known.older) <= most
+    assert {type(x) for w in few.words for x in w.values()} == {bytes}
+
+
 def test_pieces_are_the_only_path_that_holds_together(coder):
     """Brute force over all segmentations: exactly one has neighbours that all hold together."""
 
