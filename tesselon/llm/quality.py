@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -170,9 +171,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_f
             yield pa.record_batch([*batch.columns[:2], *columns, pa.array([len(ids) for ids, _ in found], pa.int64())], names=["doc_id", "quality", "ids", "share", "n"])
 
     def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
-        rows = [(np.frombuffer(i, np.int32), np.frombuffer(s, np.float32)) for i, s in zip(table["ids"].to_pylist(), table["share"].to_pylist())]
-        return pa.table({"model": pa.array([train(rows, table["quality"].to_pylist()).tobytes()], pa.binary())})
+        order = pc.sort_indices(table["doc_id"]).to_pylist()
+        ids, share, label = table["ids"], table["share"], table["quality"].to_pylist()
+        # Views of the table's own buffers: sorted or listed, the features would stand in memory three times.
+        rows = [(np.frombuffer(ids[i].as_buffer(), np.int32), np.frombuffer(share[i].as_buffer(), np.float32)) for i in order]
+        return pa.table({"model": pa.array([train(rows, [label[i] for i in order]).tobytes()], pa.binary())})
 
     counted = stored(texts.mapInArrow(count, f"doc_id {kind}, quality int, ids binary, share binary, n bigint"), "features")
     before = F.sum("n").over(W.orderBy(F.xxhash64("doc_id"), "doc_id")) - F.col("n")
